@@ -14,7 +14,7 @@ import pyarrow as pa
 
 U = np.uint64
 #: Bytes of text handled at once; one longer text is handled alone.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 19
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from docloom.llm import _words
-from docloom.llm._shared import written
+from docloom.llm._shared import small_batches, written
 
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
@@ -74,6 +74,7 @@ def base_failed(n_words: Column, n_repeat_words: Column) -> Column:
 
 def with_counts(docs: DataFrame, text: str = "text") -> tuple[DataFrame, str]:
     """docs and the name of an added struct column with the base counts and base_failed."""
+    small_batches(docs.sparkSession)
     name = unused(docs, "rules")
     counted = docs.withColumn(name, F.arrow_udf(count_texts, COUNTS)(F.col(text).cast("string")))
     return counted.withColumn(name, F.col(name).withField("base_failed", base_failed(F.col(f"{name}.n_words"), F.col(f"{name}.n_repeat_words")))), name
