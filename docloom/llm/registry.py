@@ -2,12 +2,22 @@
 
 from __future__ import annotations
 
-from docloom.llm import blocks, rules
+from docloom.llm import blocks, bpe, pii, rules, warc
 
 
 def queries():
-    return {"op5_exact_dedup": blocks.op5_exact_dedup, "op8_quality_rules": rules.op8_quality_rules}
+    return {
+        "op2_bpe": bpe.op2_bpe,
+        "op4_warc": warc.op4_warc,
+        "op5_exact_dedup": blocks.op5_exact_dedup,
+        "op8_quality_rules": rules.op8_quality_rules,
+        "op10_pii": pii.op10_pii,
+    }
 
 
 def oracle_sql():
-    return {"op5_exact_dedup": blocks.op5_sql(), "op8_quality_rules": rules.op8_sql()}
+    return {
+        "op4_warc": warc.op4_sql(),
+        "op5_exact_dedup": blocks.op5_sql(),
+        "op8_quality_rules": rules.op8_sql(),
+    }
