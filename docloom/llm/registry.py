@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from docloom.llm import blocks, bpe, pii, rules, warc
+from docloom.llm import blocks, bpe, packing, pii, quality, rules, toxicity, warc
 
 
 def queries():
     return {
+        "op1_toxicity": toxicity.op1_toxicity,
         "op2_bpe": bpe.op2_bpe,
+        "op3_packing": packing.op3_packing,
         "op4_warc": warc.op4_warc,
         "op5_exact_dedup": blocks.op5_exact_dedup,
+        "op6_quality": quality.op6_quality,
         "op8_quality_rules": rules.op8_quality_rules,
         "op10_pii": pii.op10_pii,
     }
