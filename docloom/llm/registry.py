@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from docloom.llm import blocks, bpe, packing, pii, quality, rules, toxicity, warc
+import corpus_pipeline
+from docloom.llm import blocks, bpe, jaccard, packing, pii, quality, rules, toxicity, warc
 
 
 def queries():
@@ -13,8 +14,10 @@ def queries():
         "op4_warc": warc.op4_warc,
         "op5_exact_dedup": blocks.op5_exact_dedup,
         "op6_quality": quality.op6_quality,
+        "op7_jaccard": jaccard.op7_jaccard,
         "op8_quality_rules": rules.op8_quality_rules,
         "op10_pii": pii.op10_pii,
+        "pipeline": corpus_pipeline.run,
     }
 
 
@@ -22,5 +25,6 @@ def oracle_sql():
     return {
         "op4_warc": warc.op4_sql(),
         "op5_exact_dedup": blocks.op5_sql(),
+        "op7_jaccard": jaccard.op7_sql(),
         "op8_quality_rules": rules.op8_sql(),
     }

@@ -24,8 +24,8 @@ from docloom.llm import _words
 from docloom.llm._shared import small_batches
 
 BITS = 18
-TRAIN_POSITIVE, TRAIN_NEGATIVE = 3000, 6000
-EPOCHS, ALPHA, BETA, L1, L2 = 4, 0.1, 1.0, 1.5, 1.0
+TRAIN_POSITIVE, TRAIN_NEGATIVE = 5000, 8000
+EPOCHS, ALPHA, BETA, L1, L2 = 4, 0.5, 1.0, 7.0, 1.0
 THRESHOLD = 0.3
 
 
