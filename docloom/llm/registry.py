@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from docloom.llm import blocks, bpe, jaccard, packing, pii, quality, rules, toxicity, warc
+from docloom.llm import blocks, bpe, jaccard, packing, pii, quality, rules, substring, toxicity, warc
 
 
 def queries():
@@ -16,6 +16,7 @@ def queries():
         "op6_quality": quality.op6_quality,
         "op7_jaccard": jaccard.op7_jaccard,
         "op8_quality_rules": rules.op8_quality_rules,
+        "op9_substring": substring.op9_substring,
         "op10_pii": pii.op10_pii,
         "pipeline": corpus_pipeline.run,
     }
@@ -27,4 +28,5 @@ def oracle_sql():
         "op5_exact_dedup": blocks.op5_sql(),
         "op7_jaccard": jaccard.op7_sql(),
         "op8_quality_rules": rules.op8_sql(),
+        "op9_substring": substring.op9_sql(),
     }
