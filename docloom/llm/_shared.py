@@ -4,8 +4,12 @@ from __future__ import annotations
 
 import atexit
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Used only where the session names no folder, as in tests on one machine.
 LOCAL_DEFAULT = "file:///tmp/checkpoints/docloom"
@@ -53,7 +57,25 @@ def partitions(spark: SparkSession) -> int:
 
 
 def small_batches(spark: SparkSession, rows: int = 256) -> None:
-    """Bounds what a Python worker holds of long texts: at most `rows` texts reach it at once."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) > rows:
-        spark.conf.set(key, str(rows))
+    """Bounds what a task holds of long texts: at most `rows` at once, in Parquet's readers and in Python workers."""
+    for key in ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.parquet.columnarReaderBatchSize"):
+        if int(spark.conf.get(key)) > rows:
+            spark.conf.set(key, str(rows))
+
+
+def map_texts(df: DataFrame, text: str, kept: list[str], fn: Callable[[pa.Array], pa.Array], ddl: str) -> DataFrame:
+    """The kept columns of df, then those of fn(texts), a struct array of type ddl; names may clash.
+
+    Rows pass through as Arrow batches: unlike with a UDF, no queue of rows holds the texts meanwhile.
+    """
+    made = T.StructType.fromDDL(ddl)
+    inner = df.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(kept)], F.col(f"`{text}`").cast("string").alias("t"))
+    schema = T.StructType([T.StructField(f"k{i}", inner.schema[i].dataType) for i in range(len(kept))] + [T.StructField(f"m{i}", f.dataType) for i, f in enumerate(made)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = fn(batch.column("t"))
+            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(len(kept))], *out.flatten()], schema.names)
+
+    small_batches(df.sparkSession)
+    return inner.mapInArrow(run, schema).toDF(*kept, *made.names)

@@ -27,10 +27,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm._shared import small_batches
+from docloom.llm._shared import map_texts
 
 #: Words of a worker's store after which it starts a new generation; the generation before is kept beside it.
-CACHE_WORDS = 120_000
+CACHE_WORDS = 60_000
 #: Characters of texts whose words are looked up together.
 BATCH_CHARS = 1 << 20
 _FAST = 0x250
@@ -303,7 +303,4 @@ def decode_column(path: str):
 
 
 def op2_bpe(spark, sf_dir: str) -> DataFrame:
-    small_batches(spark)
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    done = docs.select("doc_id", F.arrow_udf(encode_digests(default_path()), ENCODED)(F.col("text").cast("string")).alias("e"))
-    return done.select("doc_id", "e.*")
+    return map_texts(spark.read.parquet(f"{sf_dir}/documents.parquet"), "text", ["doc_id"], encode_digests(default_path()), ENCODED)

@@ -17,6 +17,7 @@ only the key and the text are read.
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,8 +36,6 @@ BUCKETS = 1024
 #: Most pivots of the linear program; a feasible solution stands after each.
 PIVOTS = 500
 
-PIECES = "array<struct<start: bigint, length: bigint, ids_crc32: bigint, doc_tokens: bigint>>"
-
 
 def cut(n: int) -> list[tuple[int, int]]:
     """(start, length) of the pieces of n ids."""
@@ -49,18 +48,20 @@ def cut(n: int) -> list[tuple[int, int]]:
     return out
 
 
-def _piece_column(path: str):
-    end = END_ID.to_bytes(4, "little")
-    kind = pa.list_(pa.struct([(c, pa.int64()) for c in ("start", "length", "ids_crc32", "doc_tokens")]))
-
-    def run(texts: pa.Array) -> pa.Array:
-        rows = []
-        for ids, _ in bpe.loaded(path, True).encode_texts([x or "" for x in texts.to_pylist()], show=False):
-            ids += end
-            rows.append([{"start": a, "length": n, "ids_crc32": zlib.crc32(ids[4 * a : 4 * (a + n)]), "doc_tokens": len(ids) // 4} for a, n in cut(len(ids) // 4)])
-        return pa.array(rows, kind)
+def _pieces_of(path: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        end = END_ID.to_bytes(4, "little")
+        for batch in batches:
+            rows, of = [], []
+            for i, (ids, _) in enumerate(bpe.loaded(path, True).encode_texts([x or "" for x in batch.column("text").to_pylist()], show=False)):
+                ids += end
+                pieces = cut(len(ids) // 4)
+                rows += [(a, n, zlib.crc32(ids[4 * a : 4 * (a + n)]), len(ids) // 4) for a, n in pieces]
+                of += [i] * len(pieces)
+            columns = [pa.array([r[k] for r in rows], pa.int64()) for k in range(4)]
+            yield pa.RecordBatch.from_arrays([batch.column("key").take(pa.array(of, pa.int64())), *columns], ["key", "start", "length", "ids_crc32", "doc_tokens"])
 
-    return F.arrow_udf(run, PIECES)
+    return run
 
 
 def knapsack(values: np.ndarray, lengths: np.ndarray, capacity: int) -> np.ndarray:
@@ -136,7 +137,8 @@ def packed(docs: DataFrame, text: str = "text", key: str = "doc_id", path: str |
     """A row for each piece: key, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     spark = docs.sparkSession
     small_batches(spark)
-    pieces = docs.select(F.col(key).alias("key"), F.explode(_piece_column(path or bpe.default_path())(F.col(text).cast("string"))).alias("p")).select("key", "p.*")
+    docs = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
+    pieces = docs.mapInArrow(_pieces_of(path or bpe.default_path()), f"key {docs.schema['key'].dataType.simpleString()}, start long, length long, ids_crc32 long, doc_tokens long")
     pieces = written(pieces.withColumn("bucket", F.pmod(F.xxhash64("key", "start"), F.lit(BUCKETS))), "pieces")
     counts = written(pieces.groupBy("length", "bucket").agg(F.count("*").alias("c")), "piece-counts")
     total = {n: c for n, c in counts.groupBy("length").agg(F.sum("c")).collect()}  # at most 2 * GRID lengths

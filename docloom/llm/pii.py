@@ -24,9 +24,8 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from docloom.llm._shared import small_batches
+from docloom.llm._shared import map_texts
 
 KINDS = ("email", "ip", "card", "phone", "idnumber", "secret")
 TRAIN_EXAMPLES = 400
@@ -239,7 +238,7 @@ def finder(fitted):
         names = [x.split()[0] for x in FOUND.split(", ")]
         return pa.StructArray.from_arrays([pa.array([r[i] for r in rows], pa.int64() if i < 4 else pa.string()) for i in range(6)], names)
 
-    return F.arrow_udf(run, FOUND)
+    return run
 
 
 def redact_text(text: str, spans: list[tuple[str, int, int]]) -> str:
@@ -254,7 +253,6 @@ def redact_text(text: str, spans: list[tuple[str, int, int]]) -> str:
 
 def redacted(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with personal data in the text replaced; null stays null."""
-    small_batches(docs.sparkSession)
     fitted = model()
 
     def run(texts: pa.Array) -> pa.Array:
@@ -262,12 +260,11 @@ def redacted(docs: DataFrame, text: str = "text") -> DataFrame:
         for x in texts.to_pylist():
             base = base_spans(x or "")
             out.append(x if x is None else redact_text(x, base + added_spans(x, base, fitted)))
-        return pa.array(out, pa.string())
+        return pa.StructArray.from_arrays([pa.array(out, pa.string())], ["t"])
 
-    return docs.withColumn(text, F.arrow_udf(run, "string")(F.col(f"`{text}`").cast("string")))
+    others = [c for c in docs.columns if c != text]
+    return map_texts(docs, text, others, run, f"`{text}` string").select(*[f"`{c}`" for c in docs.columns])
 
 
 def op10_pii(spark, sf_dir: str) -> DataFrame:
-    small_batches(spark)
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return docs.select("doc_id", finder(model())(F.col("text").cast("string")).alias("f")).select("doc_id", "f.*")
+    return map_texts(spark.read.parquet(f"{sf_dir}/documents.parquet"), "text", ["doc_id"], finder(model()), FOUND)

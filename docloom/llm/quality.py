@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docloom.llm import _words
-from docloom.llm._shared import small_batches
+from docloom.llm._shared import map_texts
 from docloom.llm.toxicity import training_rows
 
 PASSAGE = 64
@@ -140,15 +140,15 @@ def fit(bags: list[np.ndarray], labels: np.ndarray) -> tuple[GatedAttention, np.
     return model, mean, scale
 
 
-def score_column(model: GatedAttention, mean: np.ndarray, scale: np.ndarray):
+def score_texts(model: GatedAttention, mean: np.ndarray, scale: np.ndarray):
     def run(texts: pa.Array) -> pa.Array:
         out = []
         for chunk in _words.chunks(texts):
             text, x = passages(chunk)
             out.append(model.forward((x - mean) / scale, np.searchsorted(text, np.arange(chunk.n)))[0])
-        return pa.array(np.concatenate(out) if out else np.zeros(0))
+        return pa.StructArray.from_arrays([pa.array(np.concatenate(out) if out else np.zeros(0))], ["score"])
 
-    return F.arrow_udf(run, "double")
+    return run
 
 
 def trained(docs: DataFrame, labels: DataFrame, usable) -> tuple[GatedAttention, np.ndarray, np.ndarray]:
@@ -159,8 +159,7 @@ def trained(docs: DataFrame, labels: DataFrame, usable) -> tuple[GatedAttention,
 
 
 def op6_quality(spark, sf_dir: str) -> DataFrame:
-    small_batches(spark)
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
     held_out = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 0
-    scored = docs.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), score_column(*trained(docs, labels, ~held_out))(F.col("text").cast("string")).alias("score"))
+    scored = map_texts(docs, "text", ["doc_id"], score_texts(*trained(docs, labels, ~held_out)), "score double").select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score")
     return scored.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))

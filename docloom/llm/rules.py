@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from docloom.llm import _words
-from docloom.llm._shared import small_batches, written
+from docloom.llm._shared import map_texts, written
 
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
@@ -72,12 +72,10 @@ def base_failed(n_words: Column, n_repeat_words: Column) -> Column:
     return (n_words < MIN_WORDS) | (100 * n_repeat_words > MAX_REPEAT_PERCENT * n_words)
 
 
-def with_counts(docs: DataFrame, text: str = "text") -> tuple[DataFrame, str]:
-    """docs and the name of an added struct column with the base counts and base_failed."""
-    small_batches(docs.sparkSession)
-    name = unused(docs, "rules")
-    counted = docs.withColumn(name, F.arrow_udf(count_texts, COUNTS)(F.col(text).cast("string")))
-    return counted.withColumn(name, F.col(name).withField("base_failed", base_failed(F.col(f"{name}.n_words"), F.col(f"{name}.n_repeat_words")))), name
+def _counted(docs: DataFrame, text: str, name: str, carry: list[str]) -> DataFrame:
+    """The columns carry of docs and a struct column with the base counts and base_failed."""
+    counted = map_texts(docs, text, carry, lambda texts: pa.StructArray.from_arrays([count_texts(texts)], ["c"]), f"`{name}` struct<{COUNTS.replace(' bigint', ': bigint')}>")
+    return counted.withColumn(name, F.col(name).withField("base_failed", base_failed(F.col(f"{name}.n_words"), F.col(f"{name}.n_repeat_words"))))
 
 
 def sketches(counted: DataFrame, name: str, lang: str, source: str) -> DataFrame:
@@ -115,10 +113,10 @@ def fences(sketch: DataFrame) -> DataFrame:
     return per_group.select("lang", "source", *columns)
 
 
-def judged(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> tuple[DataFrame, str]:
-    """docs with the struct column of counts, base_failed and kept; and that column's name."""
-    counted, name = with_counts(docs, text)
-    sketch = written(sketches(counted, name, lang, source), "rules-sketch")
+def judged(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", carry: list[str] | None = None) -> tuple[DataFrame, str]:
+    """docs (or its columns carry, with lang and source) and the struct column of counts, base_failed and kept; and that column's name."""
+    name = unused(docs, "rules")
+    sketch = written(sketches(_counted(docs, text, name, [lang, source]), name, lang, source), "rules-sketch")
     table = written(fences(sketch), "rules-fences")
     if table.count() <= BROADCAST_GROUPS:
         table = F.broadcast(table)
@@ -131,8 +129,9 @@ def judged(docs: DataFrame, text: str = "text", lang: str = "lang", source: str
             inside = inside & (value >= F.col(f"_fence.{rule}_least"))
     on = F.col(lang).eqNullSafe(F.col("_fence_lang")) & F.col(source).eqNullSafe(F.col("_fence_source"))
     kept = ~F.col(f"{name}.base_failed") & F.coalesce(inside, F.lit(True))
+    counted = _counted(docs, text, name, docs.columns if carry is None else carry)
     joined = counted.join(limits, on, "left").withColumn(name, F.col(name).withField("kept", kept))
-    return joined.select(*[F.col(f"`{c}`") for c in docs.columns], name), name
+    return joined.select(*[F.col(f"`{c}`") for c in counted.columns]), name
 
 
 def _on(ratio: str, name: str) -> str:
@@ -149,7 +148,7 @@ def keep_quality(docs: DataFrame, text: str = "text", lang: str = "lang", source
 
 def op8_quality_rules(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang", "source")
-    out, name = judged(docs)
+    out, name = judged(docs, carry=["doc_id", "lang", "source"])
     return out.select("doc_id", *[f"{name}.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")])
 
 

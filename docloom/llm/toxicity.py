@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docloom.llm import _words
-from docloom.llm._shared import small_batches
+from docloom.llm._shared import map_texts, small_batches
 
 BITS = 18
 TRAIN_POSITIVE, TRAIN_NEGATIVE = 5000, 8000
@@ -74,7 +74,7 @@ def fit(examples: list[tuple[int, np.ndarray]]) -> tuple[np.ndarray, float]:
     return weights[:-1].astype(np.float32), float(weights[-1])
 
 
-def score_column(weights: np.ndarray, bias: float):
+def score_texts(weights: np.ndarray, bias: float):
     places_kept, values = np.flatnonzero(weights).astype(np.int32), weights[np.flatnonzero(weights)]
 
     def run(texts: pa.Array) -> pa.Array:
@@ -87,13 +87,14 @@ def score_column(weights: np.ndarray, bias: float):
             key = np.unique(t[hit] << BITS | places[hit])
             out.append(np.bincount(key >> BITS, dense[key & ((1 << BITS) - 1)], chunk.n))
         total = np.concatenate(out) if out else np.zeros(0)
-        return pa.array(1 / (1 + np.exp(-np.clip(total + bias, -30, 30))))
+        return pa.StructArray.from_arrays([pa.array(1 / (1 + np.exp(-np.clip(total + bias, -30, 30))))], ["score"])
 
-    return F.arrow_udf(run, "double")
+    return run
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, usable, positive: int, negative: int) -> DataFrame:
     """text and label of a bounded sample of usable labels, by hash of the id; no shuffle of texts."""
+    small_batches(docs.sparkSession)
     known = labels.where(usable & F.col(label).isin(0, 1)).select("doc_id", F.col(label).cast("int").alias("label"))
     rank = F.xxhash64(F.col("doc_id").cast("string"))
     chosen = [known.where(F.col("label") == v).orderBy(rank, "doc_id").limit(most) for v, most in ((1, positive), (0, negative))]
@@ -110,8 +111,7 @@ def trained(docs: DataFrame, labels: DataFrame, usable) -> tuple[np.ndarray, flo
 
 
 def op1_toxicity(spark, sf_dir: str) -> DataFrame:
-    small_batches(spark)
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
     held_out = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) == 2
-    scored = docs.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), score_column(*trained(docs, labels, ~held_out))(F.col("text").cast("string")).alias("score"))
+    scored = map_texts(docs, "text", ["doc_id"], score_texts(*trained(docs, labels, ~held_out)), "score double").select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score")
     return scored.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))

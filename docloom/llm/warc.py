@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm._shared import new_folder
+from docloom.llm._shared import new_folder, small_batches
 
 MIN_REVISIT = 100
 END = "\r\n"
@@ -36,6 +36,7 @@ def _record_id(page_id: Column) -> Column:
 def write_archive(pages: DataFrame, path: str) -> None:
     """Writes the tables `payloads` and `records` under path."""
     spark = pages.sparkSession
+    small_batches(spark)
     keyed = pages.select("page_id", "url", _bytes(F.col("html")).alias("payload")).withColumn("digest", F.sha2("payload", 256)).withColumn("n", F.octet_length("payload").cast("long"))
     # partial aggregation drops copies before the shuffle
     stored = keyed.groupBy("digest").agg(F.min("page_id").alias("first_page"), F.first("payload").alias("payload"), F.first("n").alias("n"))
