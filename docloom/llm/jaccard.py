@@ -43,6 +43,8 @@ FLUSH = 400_000
 BLOCK = 64
 #: Parts into which comparisons with one leader are dealt.
 SALTS = 16
+#: Bits of the filter that spares sets without comparisons the shuffle.
+FILTER_BITS = 1 << 20
 
 _POSTING = np.dtype([("token", "<u8"), ("sid", "<i8"), ("n", "<u4"), ("pos", "<u4")])
 
@@ -104,7 +106,7 @@ def _poster(frequent: np.ndarray, rank: np.ndarray, buckets: int):
         rows, bucket = rows[order], bucket[order]
         cuts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
         ends = np.append(cuts[1:], len(rows))
-        return pa.RecordBatch.from_arrays([pa.array(bucket[cuts]), pa.array([b"".join(rows[c][a:b].tobytes() for c in _POSTING.names) for a, b in zip(cuts, ends)], pa.binary())], ["bucket", "blob"])
+        return pa.RecordBatch.from_arrays([pa.array(bucket[cuts]), pa.array([_planes(rows[a:b]) for a, b in zip(cuts, ends)], pa.binary())], ["bucket", "blob"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -131,13 +133,18 @@ def _poster(frequent: np.ndarray, rank: np.ndarray, buckets: int):
     return run
 
 
+def _planes(rows: np.ndarray) -> bytes:
+    """Column after column, the numbers' upper halves apart from the lower ones, since those are mostly zero."""
+    halves = [np.ascontiguousarray(rows[c]).view("<u2").reshape(-1, 2).T.tobytes() for c in ("n", "pos")]
+    return b"".join([rows["token"].tobytes(), rows["sid"].tobytes(), *halves])
+
+
 def _unpacked(blob: bytes) -> np.ndarray:
     n = len(blob) // _POSTING.itemsize
-    out, at = np.zeros(n, _POSTING), 0
-    for c in _POSTING.names:
-        width = _POSTING[c].itemsize
-        out[c] = np.frombuffer(blob, _POSTING[c], n, at)
-        at += n * width
+    out = np.zeros(n, _POSTING)
+    out["token"], out["sid"] = np.frombuffer(blob, "<u8", n), np.frombuffer(blob, "<i8", n, 8 * n)
+    for c, at in (("n", 16 * n), ("pos", 20 * n)):
+        out[c] = np.ascontiguousarray(np.frombuffer(blob, "<u2", 2 * n, at).reshape(2, n).T).view("<u4")[:, 0]
     return out
 
 
@@ -245,10 +252,25 @@ def _between(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield done(held)
 
 
-def _blob_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        sets = [s for s in text_sets(batch.column("text")) if len(s)]
-        yield pa.RecordBatch.from_arrays([pa.array([set_id(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["sid", "s"])
+def _wanted_sets(wanted: bytes):
+    """sid and set of the texts whose sid passes the filter, each once in a task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits, seen = np.frombuffer(wanted, "<u4"), set()
+        for batch in batches:
+            out = []
+            for s in text_sets(batch.column("text")):
+                if not len(s):
+                    continue
+                sid = set_id(s)
+                p = sid & (FILTER_BITS - 1)
+                if bits[p >> 5] >> (p & 31) & 1 and sid not in seen:
+                    seen = seen if len(seen) < 500_000 else set()
+                    seen.add(sid)
+                    out.append((sid, s.tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.binary())], ["sid", "s"])
+
+    return run
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -265,32 +287,21 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.int64()) for i in range(5)], ["a", "b", "shared", "n_a", "n_b"])
 
 
-def compared(pairs: DataFrame, docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """pairs (a, b of set ids) with shared and the sets' sizes. docs: key, text; ids: key, sid."""
+def compared(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """pairs (a, b of set ids) with shared and the sets' sizes."""
     spark = pairs.sparkSession
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
-    keys = written(ids.groupBy("sid").agg(F.min("key").alias("key")).join(wanted, "sid").select("key"), "wanted")
-    # a filter of 2**20 bits, whatever the input's size: it only spares texts the shuffle
-    bits = 1 << 20
-    place = lambda c: F.pmod(F.xxhash64(c), F.lit(bits))
-    words = keys.select(place("key").alias("p")).groupBy(F.floor(F.col("p") / 32).cast("int").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(p % 32 as int)))").alias("m")).collect()
-    table = np.zeros(bits // 32, np.int64)
+    salted = pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)))
+    mine = salted.select(F.col("a").alias("sid"), "a", "salt", F.lit(None).cast("long").alias("b")).distinct()
+    wanted = written(salted.select(F.col("b").alias("sid"), "a", "salt", "b").unionByName(mine), "wanted")
+    # a filter of FILTER_BITS bits, whatever the input's size: it only spares sets the shuffle
+    places = wanted.select(F.expr(f"sid & {FILTER_BITS - 1}").alias("p"))
+    words = places.groupBy(F.floor(F.col("p") / 32).cast("int").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(p % 32 as int)))").alias("m")).collect()
+    table = np.zeros(FILTER_BITS // 32, np.int64)
     for w, m in words:
         table[w] = m
-    blob = table.astype("<u4").tobytes()
-
-    def maybe(places: pa.Array) -> pa.Array:
-        p = places.to_numpy(zero_copy_only=False)
-        return pa.array((np.frombuffer(blob, "<u4")[p >> 5] >> (p & 31).astype(np.uint32)) & 1 == 1)
-
-    some = docs.where(F.arrow_udf(maybe, "boolean")(place("key")))
-    texts = some.join(keys.distinct(), "key").select("text")
-    sets = texts.mapInArrow(_blob_sets, "sid long, s binary").join(wanted, "sid").dropDuplicates(["sid"])
-    sets = written(sets, "sets")
-    salted = pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)))
-    theirs = salted.join(sets, salted["b"] == sets["sid"]).select("a", "salt", "b", "s")
-    mine = salted.select("a", "salt").distinct().join(sets, F.col("a") == F.col("sid")).select("a", "salt", F.lit(None).cast("long").alias("b"), "s")
-    ordered = mine.unionByName(theirs).repartition(partitions(spark), "a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
+    sets = docs.select("text").mapInArrow(_wanted_sets(table.astype("<u4").tobytes()), "sid long, s binary").dropDuplicates(["sid"])
+    rows = wanted.join(sets, "sid").select("a", "salt", "b", "s")
+    ordered = rows.repartition(partitions(spark), "a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
     return written(ordered.mapInArrow(_compare, "a long, b long, shared long, n_a long, n_b long"), "compared")
 
 
@@ -314,10 +325,10 @@ def near_groups(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Dat
     order = np.argsort(frequent)
     frequent, rank = frequent[order], top.column("c").to_numpy()[order]
 
-    blobs = docs.select("text").mapInArrow(_poster(frequent, rank, 1 << 16), "bucket int, blob binary")
+    blobs = docs.select("text").mapInArrow(_poster(frequent, rank, 8 * n), "bucket int, blob binary")
     found = written(blobs.repartition(n, "bucket").select("blob").mapInArrow(_lists, "list_id long, a long, b long, n long, pos long"), "lists")
     pairs = written(found.where("list_id IS NULL").select("a", "b").distinct(), "pairs")
-    first = compared(pairs, docs, ids)
+    first = compared(pairs, docs)
     links = first.where(linked()).select("a", "b")
     groups = components(links)
 
@@ -329,7 +340,7 @@ def near_groups(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Dat
     lists = lists.join(mixed, "list_id").join(known, ["a", "b"], "left")
     lists = lists.withColumn("distance", F.when(F.col("a") == F.col("b"), 0.0).otherwise(F.coalesce("d", F.lit(-1.0)))).select("list_id", "a", "b", "n", "pos", "comp", "distance")
     more = written(lists.repartition(n, "list_id").sortWithinPartitions("list_id").mapInArrow(_between, "a long, b long").distinct(), "more-pairs")
-    second = compared(more, docs, ids)
+    second = compared(more, docs)
     links = links.unionByName(second.where(linked()).select("a", "b"))
     groups = components(links)
 

@@ -305,7 +305,7 @@ def without_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", te
     n = partitions(spark)
     docs = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
     schema = f"key {docs.schema['key'].dataType.simpleString()}, uid long, n long, text string, sha string"
-    posted = docs.select("text").mapInArrow(_poster(1 << 16), "bucket int, blob binary").repartition(n, "bucket").select("blob")
+    posted = docs.select("text").mapInArrow(_poster(8 * n), "bucket int, blob binary").repartition(n, "bucket").select("blob")
     runs = written(posted.mapInArrow(_repeated, "key long, uid long, s long, r long"), "runs")
     per_text = runs.groupBy("uid").agg(F.collect_list(F.struct("key", "s", "r")).alias("runs"))  # as long as one text
     candidates = docs.mapInArrow(_with_ids(_filter(runs)), schema).where("text IS NOT NULL").select("uid", "text")
