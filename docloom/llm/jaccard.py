@@ -9,8 +9,9 @@ from blobs of whole batches, dealt out by a hash of the shingle.
 Skipping in lists: entries stand in blocks by position, and a block is passed over when even its
 first position leaves too few shingles to reach the threshold. Skipping of sets: in each list a leader
 is compared first; sets it links to need no comparisons of their own with what it has been linked to,
-and with the rest only where the exact similarities to the leader leave room for a link (the
-distance 1 - Jaccard obeys the triangle inequality). So a group of near copies costs comparisons in
+and with the rest only where the similarities to the leader leave room for a link (the distance
+1 - Jaccard obeys the triangle inequality). Comparisons first take a quarter of each set, which
+bounds what two sets can share, and whole sets only where that bound allows a link. So a group of near copies costs comparisons in
 proportion to its size, and no link between different texts that could join two groups is lost.
 
 Defined results: null text and text without words have no shingles and are linked with nothing.
@@ -213,8 +214,7 @@ def _between(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def pairs(rows: dict[str, np.ndarray]) -> set[tuple[int, int]]:
         order = np.argsort(rows["pos"], kind="stable")
-        n, pos, sid, comp, lead, d = (rows[c][order] for c in ("n", "pos", "b", "comp", "a", "distance"))
-        lo, hi = np.where(d < 0, 0.0, d), np.where(d < 0, 1.0, d)
+        n, pos, sid, comp, lead, lo, hi = (rows[c][order] for c in ("n", "pos", "b", "comp", "a", "lo", "hi"))
         out: set[tuple[int, int]] = set()
         for i in range(len(n)):
             # blocks by position: the first of a block leaves the most shingles
@@ -252,8 +252,14 @@ def _between(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield done(held)
 
 
-def _wanted_sets(wanted: bytes):
-    """sid and set of the texts whose sid passes the filter, each once in a task."""
+def _sampled(s: np.ndarray) -> bytes:
+    """Size of the set, size of its part below 2**62, and that part's lower halves."""
+    part = s[: np.searchsorted(s, np.uint64(1 << 62))]
+    return np.array([len(s), len(part)], "<u4").tobytes() + np.unique(part.astype("<u4")).tobytes()
+
+
+def _wanted_sets(wanted: bytes, sample: bool):
+    """sid and set (or its sample) of the texts whose sid passes the filter, each once in a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, seen = np.frombuffer(wanted, "<u4"), set()
@@ -267,28 +273,50 @@ def _wanted_sets(wanted: bytes):
                 if bits[p >> 5] >> (p & 31) & 1 and sid not in seen:
                     seen = seen if len(seen) < 500_000 else set()
                     seen.add(sid)
-                    out.append((sid, s.tobytes()))
+                    out.append((sid, _sampled(s) if sample else s.tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.binary())], ["sid", "s"])
 
     return run
 
 
-def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by a, its own set first: shared shingles and sizes of a with each b."""
-    current, mine = None, None
-    for batch in batches:
-        out = []
-        for a, b, s in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), batch.column("s").to_pylist()):
-            theirs = np.frombuffer(s, np.uint64)
-            if b is None:
-                current, mine = a, theirs
-            elif a == current:
-                out.append((a, b, len(np.intersect1d(mine, theirs, assume_unique=True)), len(mine), len(theirs)))
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.int64()) for i in range(5)], ["a", "b", "shared", "n_a", "n_b"])
+def most_shared(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int]:
+    """No fewer shingles than two sets share, by their samples; and the sets' sizes.
+
+    Of the sampled shingles no more are shared than lower halves are, but for shingles of one set with equal
+    lower halves; of the others at most all of the smaller rest.
+    """
+    (n_a, part_a), (n_b, part_b) = a[:2].tolist(), b[:2].tolist()
+    halves = len(np.intersect1d(a[2:], b[2:], assume_unique=True))
+    return halves + min(part_a - len(a) + 2, part_b - len(b) + 2) + min(n_a - part_a, n_b - part_b), n_a, n_b
+
+
+def _compare(sample: bool):
+    """Rows sorted by a, its own set first: shingles that a shares with each b (at most shares, if samples), and sizes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, mine = None, None
+        for batch in batches:
+            out = []
+            for a, b, s in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), batch.column("s").to_pylist()):
+                theirs = np.frombuffer(s, "<u4" if sample else "<u8")
+                if b is None:
+                    current, mine = a, theirs
+                elif a == current:
+                    out.append((a, b, *(most_shared(mine, theirs) if sample else (len(np.intersect1d(mine, theirs, assume_unique=True)), len(mine), len(theirs)))))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.int64()) for i in range(5)], ["a", "b", "shared", "n_a", "n_b"])
+
+    return run
 
 
 def compared(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """pairs (a, b of set ids) with shared and the sets' sizes."""
+    """pairs (a, b of set ids) with the sets' sizes, shared, and whether that is exact or, for pairs that can't be linked, an upper bound."""
+    bound = _against(pairs, docs, True)
+    exact = _against(bound.where(linked()).select("a", "b"), docs, False)
+    return bound.where(~linked()).withColumn("exact", F.lit(False)).unionByName(exact.withColumn("exact", F.lit(True)))
+
+
+def _against(pairs: DataFrame, docs: DataFrame, sample: bool) -> DataFrame:
+    """pairs with shared and sizes, from whole sets or from samples of a quarter of each."""
     spark = pairs.sparkSession
     salted = pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)))
     mine = salted.select(F.col("a").alias("sid"), "a", "salt", F.lit(None).cast("long").alias("b")).distinct()
@@ -299,10 +327,10 @@ def compared(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     table = np.zeros(FILTER_BITS // 32, np.int64)
     for w, m in words:
         table[w] = m
-    sets = docs.select("text").mapInArrow(_wanted_sets(table.astype("<u4").tobytes()), "sid long, s binary").dropDuplicates(["sid"])
+    sets = docs.select("text").mapInArrow(_wanted_sets(table.astype("<u4").tobytes(), sample), "sid long, s binary").dropDuplicates(["sid"])
     rows = wanted.join(sets, "sid").select("a", "salt", "b", "s")
     ordered = rows.repartition(partitions(spark), "a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
-    return written(ordered.mapInArrow(_compare, "a long, b long, shared long, n_a long, n_b long"), "compared")
+    return written(ordered.mapInArrow(_compare(sample), "a long, b long, shared long, n_a long, n_b long"), "compared")
 
 
 def linked() -> F.Column:
@@ -334,15 +362,16 @@ def near_groups(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Dat
 
     lists = found.where("list_id IS NOT NULL")
     at = groups.select(F.col("v").alias("b"), "root")
-    known = first.select("a", "b", (1 - F.col("shared") / (F.col("n_a") + F.col("n_b") - F.col("shared"))).alias("d"))
+    least = 1 - F.col("shared") / (F.col("n_a") + F.col("n_b") - F.col("shared"))
+    known = first.select("a", "b", least.alias("lo"), F.when(F.col("exact"), least).otherwise(1.0).alias("hi"))
     lists = lists.join(at, "b", "left").withColumn("comp", F.coalesce("root", "b")).drop("root")
     mixed = lists.groupBy("list_id").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("list_id")
     lists = lists.join(mixed, "list_id").join(known, ["a", "b"], "left")
-    lists = lists.withColumn("distance", F.when(F.col("a") == F.col("b"), 0.0).otherwise(F.coalesce("d", F.lit(-1.0)))).select("list_id", "a", "b", "n", "pos", "comp", "distance")
+    lists = lists.select("list_id", "a", "b", "n", "pos", "comp", *[F.when(F.col("a") == F.col("b"), 0.0).otherwise(F.coalesce(c, F.lit(x))).alias(c) for c, x in (("lo", 0.0), ("hi", 1.0))])
     more = written(lists.repartition(n, "list_id").sortWithinPartitions("list_id").mapInArrow(_between, "a long, b long").distinct(), "more-pairs")
-    second = compared(more, docs)
-    links = links.unionByName(second.where(linked()).select("a", "b"))
-    groups = components(links)
+    if not more.isEmpty():
+        links = links.unionByName(compared(more, docs).where(linked()).select("a", "b"))
+        groups = components(links)
 
     sets = ids.groupBy("sid").agg(F.min("key").alias("least")).where("sid IS NOT NULL").join(groups, F.col("sid") == F.col("v"), "left").withColumn("comp", F.coalesce("root", "sid"))
     smallest = sets.groupBy("comp").agg(F.min("least").alias("component_id"))
