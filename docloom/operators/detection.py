@@ -32,7 +32,7 @@ def detect(content: Column) -> Column:
         .when(F.instr(latin, "%PDF-") > 0, made("pdf", F.lit(0.7)))
         .when(F.hex(F.substring(content, 1, 4)).isin("504B0304", "504B0506", "504B0708"), made("zip", F.lit(0.4)))
         .when(strong, made("html", F.least(F.lit(0.75) + 0.05 * F.least(weak, F.lit(5)), F.lit(0.99))))
-        .when(F.contains(F.decode(F.substring(content, 1, HEADER_BYTES), F.lit("ISO-8859-1")), F.lit("\0")), made("unknown", F.lit(0.2)))
+        .when(F.contains(F.decode(F.substring(content, 1, HEADER_BYTES), "ISO-8859-1"), F.lit("\0")), made("unknown", F.lit(0.2)))
         .when(ratio >= 0.95, made("plain_text", F.least(F.lit(0.6) + 0.3 * ratio, F.lit(0.99))))
         .otherwise(made("unknown", F.lit(0.2)))
     )
