@@ -37,7 +37,7 @@ SIZE = 5
 #: The threshold as parts of OF.
 PARTS, OF = 75, 100
 #: Texts sampled to find frequent shingles, the counts from which one is frequent, and how many are sent out at most (8 bytes each).
-SAMPLE, FREQUENT, MOST_FREQUENT = 4000, 4, 200_000
+SAMPLE, FREQUENT, MOST_FREQUENT = 40_000, 3, 500_000
 #: Postings a map task gathers before it sends blobs on.
 FLUSH = 400_000
 #: Entries of a list that share a block.

@@ -134,8 +134,8 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(part["key"].view(np.int64)), pa.array(part["uid"]), pa.array(part["s"].astype(np.int64)), pa.array(part["r"].astype(np.int64))], ["key", "uid", "s", "r"])
 
 
-def _with_ids(keep: bytes | None):
-    """key, uid, n words, and of texts that the filter lets through (all without one) the text."""
+def _with_ids(keep: bytes | None, texts_too: bool = False):
+    """key, uid, n words, and of texts that the filter lets through (all without one) the text; of others the digest of their words, with these if texts_too."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -148,8 +148,9 @@ def _with_ids(keep: bytes | None):
             if keep is not None:
                 p = uid.view(np.uint64) % np.uint64(FILTER_BITS)
                 ok = (np.frombuffer(keep, np.uint32)[(p >> np.uint64(5)).astype(np.int64)] >> (p & np.uint64(31)).astype(np.uint32)) & 1 == 1
-                texts = [t if o else None for t, o in zip(texts, ok.tolist())]
-                sha = [None if o else hashlib.sha256(b" ".join((t or "").encode().split())).hexdigest() for t, o in zip(batch.column("text").to_pylist(), ok.tolist())]
+                words = [None if o else b" ".join((t or "").encode().split()) for t, o in zip(texts, ok.tolist())]
+                sha = [None if w is None else hashlib.sha256(w).hexdigest() for w in words]
+                texts = [t if w is None else w.decode() if texts_too else None for t, w in zip(texts, words)]
             else:
                 sha = [None] * len(texts)
             yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(uid), pa.array(n), pa.array(texts, pa.string()), pa.array(sha, pa.string())], ["key", "uid", "n", "text", "sha"])
@@ -319,11 +320,11 @@ def without_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", te
     named = docs.mapInArrow(_with_ids(None), schema).select("uid", "n")
     copies = written(named.groupBy("uid").agg(F.count("*").alias("c"), F.max("n").alias("n")).where(f"c > 1 AND n >= {WINDOW}").select("uid", F.lit(True).alias("every")), "copies")
     hit = written(spans.join(copies, "uid", "full"), "hits")
-    rows = docs.mapInArrow(_with_ids(_filter(hit)), schema)
-    plain = rows.where("sha IS NOT NULL").select("key", F.col("n").alias("n_words"), F.lit(0).cast("long").alias("n_removed"), F.col("sha").alias("kept_sha256"))
+    rows = docs.mapInArrow(_with_ids(_filter(hit), texts), schema)
+    plain = rows.where("sha IS NOT NULL").select("key", F.col("n").alias("n_words"), F.lit(0).cast("long").alias("n_removed"), F.col("sha").alias("kept_sha256"), F.col("text").alias("kept_text"))
     cut = rows.where("sha IS NULL").join(hit, "uid", "left").select("key", "text", "spans", "every")
     cut = cut.mapInArrow(_removed, schema.split(",")[0] + ", n_words long, n_removed long, kept_text string")
-    out = plain.unionByName(cut.withColumn("kept_sha256", F.sha2(F.encode("kept_text", "UTF-8"), 256)), allowMissingColumns=True)
+    out = plain.unionByName(cut.withColumn("kept_sha256", F.sha2(F.encode("kept_text", "UTF-8"), 256)))
     return out.select(F.col("key").alias(key), "n_words", "n_removed", "kept_sha256", *(["kept_text"] if texts else []))
 
 
