@@ -34,6 +34,8 @@ CACHE_WORDS = 60_000
 #: Characters of texts whose words are looked up together.
 BATCH_CHARS = 1 << 20
 _FAST = 0x250
+#: Last characters by which the longest token that can end there is looked up.
+TAIL = 4
 
 
 def byte_alphabet() -> list[str]:
@@ -78,7 +80,7 @@ class WordBpe:
         self.slow = re.compile(f"[^\x00-{chr(_FAST - 1)}]")
         self._fits: dict[tuple[int, int], bool] = {}
         self._whole: dict[int, bool] = {}
-        #: Tokens inside and at the end of a word, by their characters; the longest of them by its last two characters.
+        #: Tokens inside and at the end of a word, by their characters; the longest of them by its last TAIL characters.
         self.inner: dict[str, int] = {}
         self.final: dict[str, int] = {}
         for t, i in self.vocab.items():
@@ -147,7 +149,8 @@ class WordBpe:
     def _reach(known: dict[str, int]) -> dict[str, int]:
         out: dict[str, int] = {}
         for t in known:
-            out[t[-2:]] = max(out.get(t[-2:], 1), len(t))
+            if len(t) >= TAIL:
+                out[t[-TAIL:]] = max(out.get(t[-TAIL:], 0), len(t))
         return out
 
     def encode_words(self, words: set[str]) -> dict[str, list[int]]:
@@ -181,7 +184,7 @@ class WordBpe:
     def _last(self, path: str, depth: int, known: dict[str, int], reach: dict[str, int], tokens: list[int]) -> int:
         """The one known token that ends the first depth characters of path and stays unmerged with the last token before it."""
         fits = self._fits
-        for k in range(min(depth, reach.get(path[max(depth - 2, 0) : depth], 1)), 0, -1):
+        for k in range(min(depth, reach.get(path[max(depth - TAIL, 0) : depth], TAIL - 1)), 0, -1):
             token = known.get(path[depth - k : depth])
             if token is not None:
                 if k == depth:
