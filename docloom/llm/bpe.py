@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from docloom.llm._shared import map_texts
 
 #: Words of a worker's store after which it starts a new generation; the generation before is kept beside it.
-CACHE_WORDS = 60_000
+CACHE_WORDS = 300_000
 #: Characters of texts whose words are looked up together.
 BATCH_CHARS = 1 << 20
 _FAST = 0x250
