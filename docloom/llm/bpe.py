@@ -6,7 +6,7 @@ the last token of that prefix's encoding: the one token that ends there and stay
 the last token before it. A word's ids are read backwards along these states, so prefixes that
 words share are encoded once. A decoded text is the ids' token strings joined by one space.
 
-Texts whose characters lie below U+0250 take a fast path; others are normalised and split by the
+Texts whose characters, and their lower case, lie below U+0250 take a fast path; others are normalised and split by the
 tokenizers library's own components. Special tokens' strings in a text become their ids.
 
 Defined results: null counts as empty; an empty text has no ids and decodes to an empty text.
@@ -77,7 +77,8 @@ class WordBpe:
                 classes[kind] += re.escape(c)
         space = r"\t-\r \x85\xa0"
         self.fast = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{classes['L']}]+|[{classes['N']}]|[^{space}{classes['L']}{classes['N']}]+")
-        self.slow = re.compile(f"[^\x00-{chr(_FAST - 1)}]")
+        grown = "".join(c for c in map(chr, range(_FAST)) if max(c.lower()) >= chr(_FAST))  # lower case leaves the fast path's characters
+        self.slow = re.compile(f"[^\x00-{chr(_FAST - 1)}]|[{grown}]")
         self._fits: dict[tuple[int, int], bool] = {}
         self._whole: dict[int, bool] = {}
         #: Tokens inside and at the end of a word, by their characters; the longest of them by its last TAIL characters.

@@ -105,6 +105,15 @@ def test_bpe_against_library():
         assert np.frombuffer(ids, "<u4").tolist() == want and shown == coder.library.decode(want, skip_special_tokens=False)
 
 
+def test_bpe_every_low_character():
+    coder = bpe.WordBpe(bpe.default_path())
+    texts = [f"{left}{chr(c)}{right}" for c in range(1, 0x600) for left, right in (("", ""), ("a", ""), ("a", "b"), ("1", "!"))]
+    for text, (ids, decoded) in zip(texts, coder.encode_texts(texts)):
+        expected = coder.library.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(ids, "<u4").tolist() == expected, text
+        assert decoded == coder.library.decode(expected, skip_special_tokens=False), text
+
+
 def test_packing(docs, empty):
     rows = packing.packed(docs).collect()
     places = {}
