@@ -219,13 +219,15 @@ class WordBpe:
         if len(self.ids) > CACHE_WORDS:
             self.old, self.ids, self.shown_ids = (self.ids, self.shown_ids), {}, {}
         for kept, now in zip(self.old, (self.ids, self.shown_ids)):
-            now.update({w: kept[w] for w in (needed - now.keys()) & kept.keys()})
+            if kept:
+                now.update({w: kept[w] for w in needed if w in kept and w not in now})
 
     def _learn(self, new: set, show: bool) -> None:
         mapped: dict = {}
         for key in new:
             if isinstance(key, str):
-                mapped[key] = "".join([self.shown[b] for b in key.encode()])
+                # printable ASCII stands for itself
+                mapped[key] = key if key.isascii() and key.isprintable() else "".join([self.shown[b] for b in key.encode()])
             elif isinstance(key[0], str):
                 mapped[key] = key[0]
             else:
@@ -250,13 +252,13 @@ class WordBpe:
                 size += len(texts[at])
                 keys.append(self._pieces(texts[at]))
                 at += 1
-            new = {w for words in keys for w in words}
+            new = set().union(*keys)
             self._recall(new)
             missing = new - (self.shown_ids if show else self.ids).keys()
             if missing:
                 self._learn(missing, show)
             ids, shown = self.ids, self.shown_ids
-            out += [(b"".join([ids[w] for w in words]), " ".join([shown[w] for w in words]) if show else "") for words in keys]
+            out += [(b"".join(map(ids.__getitem__, words)), " ".join(map(shown.__getitem__, words)) if show else "") for words in keys]
         return out
 
 
