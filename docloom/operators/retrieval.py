@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from decimal import ROUND_HALF_UP, Decimal
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from docloom.functions.text import cosine, overlap_score
+from docloom.functions.text import overlap_score
 
 RRF_K, RRF_POOL, RERANK_POOL = 60, 4, 3
-#: More queries than this are not sent to every task.
-BROADCAST_QUERIES = 10_000
+#: Values in a block of vectors; pairs scored at once; pairs added up at once; parts of the queries where they are too many for a broadcast.
+BLOCK_VALUES, SCORES, ROWS, QUERY_PARTS = 1 << 19, 1 << 21, 1 << 16, 8
 
 
 def ranked(scored: DataFrame, k: int) -> DataFrame:
@@ -19,16 +26,99 @@ def ranked(scored: DataFrame, k: int) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k)
 
 
-def _small(queries: DataFrame) -> DataFrame:
-    """The stated query set, sent to every task when its size allows; the other side is never collected."""
-    return F.broadcast(queries) if queries.limit(BROADCAST_QUERIES + 1).count() <= BROADCAST_QUERIES else queries
+def _vector_blocks(table: DataFrame, key: str, vector: str) -> DataFrame:
+    """ids and vectors (as bytes of doubles) of up to BLOCK_VALUES values; without vectors that are null, empty, all zero or not finite."""
+    most = BLOCK_VALUES
+    schema = T.StructType([T.StructField("ids", T.ArrayType(table.schema[key].dataType)), T.StructField("dim", T.IntegerType()), T.StructField("v", T.BinaryType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list] = {}
+
+        def block(dim: int) -> pa.RecordBatch:
+            ids, vectors = zip(*held.pop(dim))
+            ids, v = pa.concat_arrays(ids), np.concatenate(vectors)
+            return pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), pa.array([dim], pa.int32()), pa.array([v.tobytes()], pa.binary())], schema.names)
+
+        for batch in batches:
+            lists = batch.column(1).cast(pa.list_(pa.float64()))
+            lengths = pc.fill_null(pc.list_value_length(lists), 0)
+            for dim in pc.unique(lengths).to_pylist():
+                if not dim:
+                    continue
+                of_dim = pc.equal(lengths, dim)
+                ids, v = batch.column(0).filter(of_dim), lists.filter(of_dim).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+                good = np.isfinite(v).all(axis=1) & (v != 0).any(axis=1)
+                ids, v, rows = ids.filter(pa.array(good)), v[good], max(1, most // dim)
+                while len(v):
+                    room = rows - sum(len(x) for _, x in held.get(dim, ()))
+                    held.setdefault(dim, []).append((ids[:room], v[:room]))
+                    ids, v = ids[room:], v[room:]
+                    if sum(len(x) for _, x in held[dim]) == rows:
+                        yield block(dim)
+        for dim in list(held):
+            yield block(dim)
+
+    return table.select(key, vector).mapInArrow(run, schema)
+
+
+def _rounded(x: np.ndarray) -> np.ndarray:
+    """Six places, halves of the shortest decimal form away from zero, as Spark rounds."""
+    out, part = np.round(x, 6), np.abs(x) * 1e6 % 1
+    for i in np.flatnonzero(np.abs(part - 0.5) < 1e-6):
+        out[i] = float(Decimal(repr(float(x[i]))).quantize(Decimal("0.000001"), ROUND_HALF_UP))
+    return out + 0.0
+
+
+def _dot(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Row by row, added up in the order of functions.text.cosine."""
+    out = np.zeros(len(a))
+    for j in range(a.shape[1]):
+        out += a[:, j] * b[:, j]
+    return out
+
+
+def _best(q: np.ndarray, c: np.ndarray, place: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Places in q and in c and the scores of the k best of c for each of q; place: the order of c's ids."""
+    q_norm, c_norm = np.sqrt(_dot(q, q)), np.sqrt(_dot(c, c))
+    step = max(1, SCORES // len(c))
+    for at in range(0, len(q), step):
+        norm = q_norm[at : at + step, None] * c_norm
+        with np.errstate(divide="ignore", invalid="ignore"):
+            near = np.where(norm > 0, q[at : at + step] @ c.T / norm, -np.inf)
+        least = np.partition(near, len(c) - k, axis=1)[:, len(c) - k, None] if len(c) > k else -np.inf
+        i, j = np.nonzero((near >= least - 3e-6) & (norm > 0))  # whatever rounding may place among the k best
+        score = np.empty(len(i))
+        for x in range(0, len(i), ROWS):
+            part = slice(x, x + ROWS)
+            score[part] = _rounded(_dot(c[j[part]], q[at + i[part]]) / (c_norm[j[part]] * q_norm[at + i[part]]))
+        order = np.lexsort((place[j], -score, i))
+        i, j, score = i[order], j[order], score[order]
+        first = np.arange(len(i)) - np.searchsorted(i, i) < k
+        yield at + i[first], j[first], score[first]
 
 
 def dense(queries: DataFrame, chunks: DataFrame, k: int = 10) -> DataFrame:
-    """queries: query_id, query_embedding; chunks: chunk_id, embedding. Null and zero vectors find nothing."""
-    score = F.round(cosine(F.col("embedding"), F.col("query_embedding")), 6)
-    pairs = chunks.where("embedding IS NOT NULL").crossJoin(_small(queries))
-    return ranked(pairs.select("query_id", "chunk_id", score.alias("score")).where("score IS NOT NULL"), k)
+    """queries: query_id, query_embedding; chunks: chunk_id, embedding. All pairs, in blocks of vectors; a pair of blocks leaves its k best of each query.
+
+    Null, empty, zero and not finite vectors find nothing.
+    """
+    left = _vector_blocks(chunks, "chunk_id", "embedding").toDF("chunks", "dim", "c")
+    right = _vector_blocks(queries, "query_id", "query_embedding").repartition(QUERY_PARTS).toDF("queries", "of", "q")
+    schema = T.StructType([T.StructField("query_id", queries.schema["query_id"].dataType), T.StructField("chunk_id", chunks.schema["chunk_id"].dataType), T.StructField("score", T.DoubleType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                chunk_ids, dim, c, query_ids, of, q = (batch.column(x)[row] for x in range(6))
+                if dim.as_py() != of.as_py():
+                    continue
+                c, q = (np.frombuffer(x.as_buffer(), np.float64).reshape(-1, dim.as_py()) for x in (c, q))
+                place = np.empty(len(c), np.int64)
+                place[pc.sort_indices(chunk_ids.values).to_numpy()] = np.arange(len(c))
+                for i, j, score in _best(q, c, place, k):
+                    yield pa.RecordBatch.from_arrays([query_ids.values.take(pa.array(i)), chunk_ids.values.take(pa.array(j)), pa.array(score)], schema.names)
+
+    return ranked(left.crossJoin(right).mapInArrow(run, schema), k)
 
 
 def terms(text: Column) -> Column:

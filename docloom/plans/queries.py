@@ -14,9 +14,13 @@ def _t(spark, d, name):
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+#: The vectors that are searched for, among all.
+SEARCHED = "vec_id % 20 = 0"
+
+
 def _vectors(spark, d):
     e = _t(spark, d, "embeddings")
-    return e.where("vec_id < 10").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_embedding")), e.select(F.col("vec_id").alias("chunk_id"), "embedding")
+    return e.where(SEARCHED).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_embedding")), e.select(F.col("vec_id").alias("chunk_id"), "embedding")
 
 
 def dense_topk(spark, d):
@@ -37,8 +41,10 @@ def lexical_simple_topk(spark, d):
 
 
 def _two_lists(spark, d):
-    q, c = _vectors(spark, d)
-    return retrieval.dense(q, c, 20), retrieval.dense(q.select((9 - F.col("query_id")).alias("query_id"), "query_embedding"), c, 20)
+    """Of each query and of its counterpart, counted from the other end of the queries."""
+    found = retrieval.dense(*_vectors(spark, d), 20)
+    last = _t(spark, d, "embeddings").where(SEARCHED).agg(F.max("vec_id").alias("last"))
+    return found, found.crossJoin(F.broadcast(last)).select((F.col("last") - F.col("query_id")).alias("query_id"), "chunk_id", "rank")
 
 
 def hybrid_rrf(spark, d):
@@ -145,7 +151,7 @@ def caption_flags(spark, d):
 def hit_and_mrr(spark, d):
     e = _t(spark, d, "embeddings")
     found = retrieval.dense(*_vectors(spark, d), 10).join(e.select(F.col("vec_id").alias("chunk_id"), F.col("label").cast("string").alias("source")), "chunk_id").where("chunk_id <> query_id")
-    expected = e.where("vec_id < 10").select(F.col("vec_id").alias("query_id"), F.array(F.col("label").cast("string")).alias("expected"))
+    expected = e.where(SEARCHED).select(F.col("vec_id").alias("query_id"), F.array(F.col("label").cast("string")).alias("expected"))
     scored = evaluation.retrieval_metrics(expected, found.select("query_id", "rank", "source"))
     return scored.select("query_id", "hit", F.round("rr", 6).alias("rr"))
 
