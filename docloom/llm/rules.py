@@ -2,7 +2,7 @@
 
 Base rules judge a text by itself. The adaptive rules compare three ratios of a text with fences
 that its own language and source set: each group's values are counted into fixed-resolution
-histogram sketches (a sketch of a union is the sum of sketches, so partial aggregation merges
+histogram sketches without an upper end, of which only filled bins are rows (a sketch of a union is the sum of sketches, so partial aggregation merges
 them), the 25 % and 75 % quantiles are read from the counts, and a text falls outside when it lies
 beyond the quantile by three times their distance, or by the rule's least spread where the group
 hardly varies. Groups of fewer than MIN_GROUP texts merge their sketches with their language's,
@@ -28,7 +28,7 @@ MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
 WINDOW = 8
 MIN_GROUP = 100
-#: Bins of a sketch; larger values share the last one.
+#: Where the SQL below clamps values. The sketches do not: fences of groups with a quantile from here on differ from the SQL's.
 TOP_BIN = 1000
 #: More groups than this are joined by shuffle instead of broadcast (about 100 bytes each).
 BROADCAST_GROUPS = 50_000
@@ -80,7 +80,7 @@ def _counted(docs: DataFrame, text: str, name: str, carry: list[str]) -> DataFra
 
 def sketches(counted: DataFrame, name: str, lang: str, source: str) -> DataFrame:
     """Counts by lang, source, rule and bin, of the texts that pass the base rules."""
-    bins = F.expr("stack(3, " + ", ".join(f"'{rule}', least({ratio}, {TOP_BIN})" for rule, (ratio, _, _) in RULES.items()) + ") as (rule, bin)")
+    bins = F.expr("stack(3, " + ", ".join(f"'{rule}', {ratio}" for rule, (ratio, _, _) in RULES.items()) + ") as (rule, bin)")
     passed = counted.where(~F.col(f"{name}.base_failed")).select(F.col(lang).alias("lang"), F.col(source).alias("source"), f"{name}.*")
     return passed.select("lang", "source", bins).groupBy("lang", "source", "rule", "bin").agg(F.count("*").alias("c"))
 

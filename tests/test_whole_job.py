@@ -5,6 +5,7 @@ import random
 
 import pytest
 
+from docloom.llm import rules
 from docloom.operators import retrieval
 from docloom.plans import queries as plans
 
@@ -55,3 +56,23 @@ def test_hybrid_and_metrics_over_all_queries(spark, vectors):
         right = [k + 1 for k, (_, c) in enumerate(found[:10]) if c != q and labels[c] == labels[q]]
         metrics[q] = (float(bool(right)), round(1 / right[0], 6) if right else 0.0)
     assert {r["query_id"]: (r["hit"], r["rr"]) for r in plans.hit_and_mrr(spark, folder).collect()} == metrics
+
+
+def test_fences_of_groups_with_long_words(spark):
+    rng = random.Random(6)
+    rows = [(i, " ".join("語" * rng.randrange(90, 220) for _ in range(25)), "zh", "s") for i in range(120)]
+    rows += [(200 + i, " ".join("#" * rng.randrange(9, 30) + "x%d" % rng.randrange(10**6) for _ in range(25)), "code", "s") for i in range(120)]
+    rows += [(500, " ".join(["語" * 900 + str(i) for i in range(25)]), "zh", "s"), (501, " ".join("short%d" % i for i in range(25)), "zh", "s")]
+    values = {i: (10 * sum(map(len, t.split())) // 25, 100 * t.count("#") // 25, lang) for i, t, lang, _ in rows}
+    kept = {}
+    for i, (length, symbols, lang) in values.items():
+        inside = True
+        for at, value, spread in ((0, length, 40), (1, symbols, 15)):
+            group = sorted(v[at] for v in values.values() if v[2] == lang)
+            q25, q75 = (group[-(-p * len(group) // 100) - 1] for p in (25, 75))
+            reach = max(3 * (q75 - q25), spread)
+            inside = inside and value <= q75 + reach and (at or value >= q25 - reach)
+        kept[i] = bool(inside)
+    assert sum(kept.values()) >= 238 and not kept[500]
+    out, name = rules.judged(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"))
+    assert {r["doc_id"]: r[name]["kept"] for r in out.collect()} == kept
