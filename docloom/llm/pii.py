@@ -77,19 +77,20 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
-#: Generators of candidates; every part is bounded, so each takes time linear in the text.
+#: Generators of candidates; every part is bounded or begins only where a run does, so each takes time linear in the text.
 GENERATORS = {
     "email": re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64} ?(?:\(at\)|\[at\]) ?[A-Za-z0-9-]{1,63}(?: ?(?:\(dot\)|\[dot\]|\.) ?[A-Za-z0-9-]{1,63}){1,4}"),
-    "phone": re.compile(r"(?<![0-9A-Za-z+.,-])(?:00[0-9]{1,3}[ .-]?)?\(?[0-9]{2,5}\)?[ ./-][0-9]{3,4}[ .-][0-9]{2,5}(?![0-9A-Za-z]|[.,-][0-9])"),
+    "phone": re.compile(r"(?<![0-9A-Za-z+.,-])(?:00[0-9]{1,3}[ .-]?)?\(?[0-9]{2,5}\)?[ ./-][0-9]{3,4}[ .-][0-9]{2,5}(?![0-9A-Za-z]|[.,-][0-9])|(?<![0-9A-Za-z+.,-])[0-9]{2}(?:[ .-][0-9]{2}){3,5}(?![0-9A-Za-z]|[ .,-][0-9])"),
     "idnumber": re.compile(r"(?<![0-9A-Za-z-])(?:[0-9]{3}-[0-9]{2}-[0-9]{4}|[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?)(?![0-9A-Za-z-])"),
-    "secret": re.compile(r"(?<![A-Za-z0-9_+/=-])[A-Za-z0-9_+/-]{16,128}={0,2}(?![A-Za-z0-9_+/=-])|(?<=[A-Za-z]=)[A-Za-z0-9_+/-]{8,128}={0,2}(?![A-Za-z0-9_+/=-])"),
+    "secret": re.compile(r"(?<![A-Za-z0-9_+/=-])[A-Za-z0-9_+/-]{16,}={0,2}(?![A-Za-z0-9_+/=-])|(?<=[A-Za-z]=)[A-Za-z0-9_+/-]{8,}={0,2}(?![A-Za-z0-9_+/=-])"),
 }
-_DIGIT = re.compile(r"[0-9]")
+#: What a text must hold for any match of the kind; saves time only.
+_NEEDS = {"email": re.compile("at"), "phone": re.compile("[0-9]"), "idnumber": re.compile("[0-9]"), "secret": re.compile("")}
 _CUES = {
     "email": ("mail", "contact", "write"), "phone": ("phone", "tel", "call", "mobile", "fax"),
     "idnumber": ("ssn", "social", "iban", "account", "passport"), "secret": ("key", "token", "secret", "passw", "pwd", "api", "auth"),
 }
-FEATURES = 16
+FEATURES = 17
 
 
 def features(kind: str, text: str, a: int, b: int) -> list[float]:
@@ -97,13 +98,13 @@ def features(kind: str, text: str, a: int, b: int) -> list[float]:
     span, before, after = text[a:b], text[max(0, a - 24) : a].lower(), text[b : b + 2]
     n = len(span)
     digits, upper, lower = (sum(map(f, span)) for f in (str.isdigit, str.isupper, str.islower))
-    counts = np.array([span.count(c) for c in set(span)]) / n
+    counts = np.array([span.count(c) for c in sorted(set(span))]) / n
     bare = "".join(filter(str.isdigit, span))
     switches = sum(x.isdigit() != y.isdigit() for x, y in zip(span, span[1:]))
     return [
         KINDS.index(kind), n, digits / n, upper / n, lower / n, (n - digits - upper - lower) / n, float(-(counts * np.log2(counts)).sum()), switches / n,
         any(c in before for c in _CUES[kind]), span.startswith("AKIA"), all(c in "0123456789abcdef" for c in span), len(bare),
-        bool(re.match(r"(19|20)[0-9]{2}", span)), before.endswith("="), before.endswith(('"', "'")) and after.startswith(('"', "'")), span.count("-") + span.count(" "),
+        bool(re.match(r"(19|20)[0-9]{2}", span)), before.endswith("="), before.endswith(('"', "'")) and after.startswith(('"', "'")), span.count("-") + span.count(" "), span.startswith("0"),
     ]
 
 
@@ -114,17 +115,19 @@ def examples(seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     digits, small, big = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
     word = lambda: pick(small, int(rng.integers(2, 10)))
     one = lambda *options: options[int(rng.integers(len(options)))]
+    pairs = lambda first, n: one(" ", ".", "-").join([first, *(pick(digits, 2) for _ in range(n))])
+    camel = lambda: "".join(word().capitalize() for _ in range(int(rng.integers(3, 5))))
     good = {
         "email": lambda: f"{word()}{one(' (at) ', '(at)', '[at]')}{word()}{one('.', '[dot]', ' (dot) ')}{one('com', 'org', 'net', 'de')}",
-        "phone": lambda: one(f"({pick(digits, 3)}) {pick(digits, 3)}-{pick(digits, 4)}", f"{pick(digits, 3)}-{pick(digits, 3)}-{pick(digits, 4)}", f"0049 {pick(digits, 3)} {pick(digits, 4)} {pick(digits, 4)}"),
+        "phone": lambda: one(f"({pick(digits, 3)}) {pick(digits, 3)}-{pick(digits, 4)}", f"{pick(digits, 3)}-{pick(digits, 3)}-{pick(digits, 4)}", f"0049 {pick(digits, 3)} {pick(digits, 4)} {pick(digits, 4)}", pairs("0" + pick("123456789", 1), 4)),
         "idnumber": lambda: one(f"{pick(digits, 3)}-{pick(digits, 2)}-{pick(digits, 4)}", f"DE{pick(digits, 2)} {pick(digits, 4)} {pick(digits, 4)} {pick(digits, 4)} {pick(digits, 4)} {pick(digits, 2)}"),
-        "secret": lambda: one("AKIA" + pick(big + "234567", 16), pick("0123456789abcdef", 40), pick("0123456789abcdef", int(rng.integers(16, 33))), pick(small + big + digits, int(rng.integers(20, 44)))),
+        "secret": lambda: one("AKIA" + pick(big + "234567", 16), pick("0123456789abcdef", 40), pick("0123456789abcdef", int(rng.integers(16, 33))), pick(small + big + digits, int(rng.integers(20, 44))), one("AKIA" + pick(big, 16), pick(small + big + digits + "-_", int(rng.integers(60, 700))), camel())),
     }
     bad = {
         "email": lambda: f"{word()} (at) {word()}.{word()}{word()}",
-        "phone": lambda: one(f"{one('19', '20')}{pick(digits, 2)} {pick(digits, 3)} {pick(digits, 3)}", f"{pick(digits, 2)} {pick(digits, 3)} {pick(digits, 3)}", f"{pick(digits, 3)}.{pick(digits, 3)}.{pick(digits, 3)}"),
+        "phone": lambda: one(f"{one('19', '20')}{pick(digits, 2)} {pick(digits, 3)} {pick(digits, 3)}", f"{pick(digits, 2)} {pick(digits, 3)} {pick(digits, 3)}", f"{pick(digits, 3)}.{pick(digits, 3)}.{pick(digits, 3)}", pairs(pick("123456789", 1) + pick(digits, 1), int(rng.integers(3, 6)))),
         "idnumber": lambda: f"{pick(big, 2)}{pick(digits, 2)}{pick(big, 12)}",
-        "secret": lambda: one(word() + word() + word() + word(), pick(big, int(rng.integers(16, 30))), f"{word()}-{word()}-{word()}-{word()}", f"{word()}/{word()}/{word()}/{word()}", pick(digits, int(rng.integers(16, 24))), word().capitalize() + word() + word() + word() + pick(digits, 1)),
+        "secret": lambda: one(word() + word() + word() + word(), pick(big, int(rng.integers(16, 30))), f"{word()}-{word()}-{word()}-{word()}", f"{word()}/{word()}/{word()}/{word()}", pick(digits, int(rng.integers(16, 24))), word().capitalize() + word() + word() + word() + pick(digits, 1), one(camel(), pick("ACGT", int(rng.integers(16, 300)))), one(one(*"-_/+"), one(*small)) * int(rng.integers(16, 300))),
     }
     cues = {"email": ["contact ", "mail "], "phone": ["call ", "tel. ", "phone: "], "idnumber": ["ssn ", "iban "], "secret": ["api_key = \"", "password=", "token: ", "secret_key="]}
     x, y, kinds = [], [], []
@@ -133,6 +136,8 @@ def examples(seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             for _ in range(TRAIN_EXAMPLES):
                 cue = one(*cues[kind]) if rng.random() < (0.7 if label else 0.1) else word() + " "
                 span = made[kind]()
+                if kind == "secret" and label and span.isalpha() and not span.startswith("AKIA") and len(span) < 60:
+                    cue = one("password=", "secret_key=")  # words are a secret only where they are called one
                 end = '"' if cue.endswith('"') else " "
                 x.append(features(kind, cue + span + end + word(), len(cue), len(cue) + len(span)))
                 y.append(label)
@@ -205,11 +210,9 @@ def added_spans(text: str, base: list[tuple[str, int, int]], fitted) -> list[tup
     trees, limits = fitted
     proposed = []
     for kind, pattern in GENERATORS.items():
-        if kind == "email" and "at" not in text or kind != "email" and not _DIGIT.search(text):
+        if not _NEEDS[kind].search(text):
             continue
         for m in pattern.finditer(text):
-            if kind != "email" and not _DIGIT.search(m[0]):
-                continue
             score = trees.score(features(kind, text, *m.span()))
             if score >= limits[kind]:
                 proposed.append((-score, m.start(), -m.end(), kind))
