@@ -61,24 +61,35 @@ def _turns(spark, d):
 
 
 def _answers(spark, d):
-    return _turns(spark, d).where("role = 'assistant'").groupBy("conv_id").agg(F.max_by("text", "turn").alias("answer")).select(F.col("conv_id").alias("query_id"), "answer")
+    """Every assistant turn, named by its conversation and turn."""
+    return _turns(spark, d).where("role = 'assistant'").select(F.struct("conv_id", "turn").alias("query_id"), F.col("text").alias("answer"))
 
 
 def _passages(spark, d):
     return _turns(spark, d).where("role = 'user'").select(F.col("conv_id").alias("query_id"), (F.col("turn") + 1).cast("long").alias("rank"), F.lit("talk").alias("source"), "text")
 
 
+def _passages_before(spark, d):
+    """For every assistant turn the user turns before it."""
+    said = _passages(spark, d).withColumnRenamed("query_id", "conv_id")
+    return _turns(spark, d).where("role = 'assistant'").select("conv_id", "turn").join(said, "conv_id").where("rank <= turn").select(F.struct("conv_id", "turn").alias("query_id"), "rank", "source", "text")
+
+
+def _by_turn(df):
+    return df.select(F.col("query_id.conv_id").alias("query_id"), F.col("query_id.turn").alias("turn"), *[c for c in df.columns if c != "query_id"])
+
+
 def sentences(spark, d):
-    return answering.sentences(_answers(spark, d))
+    return _by_turn(answering.sentences(_answers(spark, d)))
 
 
 def word_overlap(spark, d):
-    pairs = _answers(spark, d).join(_passages(spark, d), "query_id")
-    return pairs.select("query_id", "rank", F.round(fx.overlap_score(F.col("answer"), F.col("text")), 6).alias("score"))
+    pairs = _answers(spark, d).join(_passages_before(spark, d), "query_id")
+    return _by_turn(pairs.select("query_id", "rank", F.round(fx.overlap_score(F.col("answer"), F.col("text")), 6).alias("score")))
 
 
 def ground_sentences(spark, d):
-    return answering.ground(answering.sentences(_answers(spark, d)), _passages(spark, d))
+    return _by_turn(answering.ground(answering.sentences(_answers(spark, d)), _passages_before(spark, d)))
 
 
 def prompt(spark, d):

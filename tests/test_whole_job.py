@@ -86,3 +86,15 @@ def test_candidates_without_digits_long_ones_and_pairs():
         assert pii.added_spans(text, pii.base_spans(text), fitted) == [(kind, len(before), len(before) + len(span))], text
     for plain in ("-" * 200, "_" * 40, "the Donaudampfschifffahrtsgesellschaft went", "see InternationalizationOfThings here", "/usr/local/lib/python/site-packages/numpy", "a well-known-state-of-the-art-thing", "ACGT" * 60, "draw 12 34 45 46 of it"):
         assert pii.added_spans(plain, [], fitted) == [], plain
+
+
+def test_every_assistant_turn_is_an_answer(spark, tmp_path):
+    turns = [(1, 0, "user", "red fox"), (1, 1, "assistant", "The red fox. It ran."), (1, 2, "user", "it ran home"), (1, 3, "assistant", "It ran home. Red fox!"), (1, 4, "user", "red fox ran"), (2, 0, "assistant", "Hello.")]
+    table(spark, tmp_path, "conversations", turns, "conv_id long, turn long, role string, text string")
+    answers = {(1, 1): ["The red fox.", "It ran."], (1, 3): ["It ran home.", "Red fox!"], (2, 0): ["Hello."]}
+    got = {(r["query_id"], r["turn"], r["i"]): r["sentence"] for r in plans.sentences(spark, str(tmp_path)).collect()}
+    assert got == {(*key, i): x for key, found in answers.items() for i, x in enumerate(found)}
+    got = {(r["query_id"], r["turn"], r["rank"]): r["score"] for r in plans.word_overlap(spark, str(tmp_path)).collect()}
+    assert got == {(1, 1, 1): 0.4, (1, 3, 1): 0.4, (1, 3, 3): 0.6}
+    got = {(r["query_id"], r["turn"], r["i"]): (r["support_score"], r["n_citations"], r["grounded"]) for r in plans.ground_sentences(spark, str(tmp_path)).collect()}
+    assert got == {(1, 1, 0): (0.666667, 1, True), (1, 1, 1): (0.0, 0, False), (1, 3, 0): (1.0, 1, True), (1, 3, 1): (1.0, 1, True), (2, 0, 0): (0.0, 0, False)}
