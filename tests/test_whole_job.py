@@ -98,3 +98,10 @@ def test_every_assistant_turn_is_an_answer(spark, tmp_path):
     assert got == {(1, 1, 1): 0.4, (1, 3, 1): 0.4, (1, 3, 3): 0.6}
     got = {(r["query_id"], r["turn"], r["i"]): (r["support_score"], r["n_citations"], r["grounded"]) for r in plans.ground_sentences(spark, str(tmp_path)).collect()}
     assert got == {(1, 1, 0): (0.666667, 1, True), (1, 1, 1): (0.0, 0, False), (1, 3, 0): (1.0, 1, True), (1, 3, 1): (1.0, 1, True), (2, 0, 0): (0.0, 0, False)}
+
+
+def test_whole_items_are_searched(spark, tmp_path):
+    table(spark, tmp_path, "benchmark", [(1, "Red fox ran home, home"), (2, "blue sky"), (3, "red fox ran away")], "item_id long, text string")
+    table(spark, tmp_path, "documents", [(1, "red fox ran far"), (2, "home: the red, red fox ran"), (3, "blue blue sky")], "doc_id long, text string")
+    assert {(r["query_id"], r["chunk_id"], r["score"]) for r in plans.lexical_simple_topk(spark, str(tmp_path)).collect()} == {(1, 2, 0.5), (2, 3, 0.3)}
+    assert {(r["query_id"], r["chunk_id"], r["score"]) for r in plans.rerank_topk(spark, str(tmp_path)).collect()} == {(1, 2, 1.0), (2, 3, 1.0)}
