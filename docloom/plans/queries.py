@@ -154,8 +154,7 @@ def html_block_rows(spark, d):
 
 
 def caption_flags(spark, d):
-    lines = _blocks(spark, d).where("ord < 2")
-    tagged = lines.withColumn("text", F.when(F.col("doc") % 5 == 0, F.concat(F.lit("Table "), F.col("doc").cast("string"), F.lit(": "), F.col("text"))).otherwise(F.col("text")))
+    tagged = _blocks(spark, d).withColumn("text", F.when(F.col("doc") % 5 == 0, F.concat(F.lit("Table "), F.col("doc").cast("string"), F.lit(": "), F.col("text"))).otherwise(F.col("text")))
     return tagged.select("doc", "ord", fx.is_caption(F.col("text")).alias("is_caption"), F.lead("ord").over(Window.partitionBy("doc").orderBy("ord")).alias("next_ord"))
 
 

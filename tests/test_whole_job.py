@@ -105,3 +105,9 @@ def test_whole_items_are_searched(spark, tmp_path):
     table(spark, tmp_path, "documents", [(1, "red fox ran far"), (2, "home: the red, red fox ran"), (3, "blue blue sky")], "doc_id long, text string")
     assert {(r["query_id"], r["chunk_id"], r["score"]) for r in plans.lexical_simple_topk(spark, str(tmp_path)).collect()} == {(1, 2, 0.5), (2, 3, 0.3)}
     assert {(r["query_id"], r["chunk_id"], r["score"]) for r in plans.rerank_topk(spark, str(tmp_path)).collect()} == {(1, 2, 1.0), (2, 3, 1.0)}
+
+
+def test_captions_of_all_lines(spark, tmp_path):
+    table(spark, tmp_path, "documents", [(1, "a\n\nb\nTable 1: c\nfig. 2\nTables"), (2, None), (5, "x\ny\nz")], "doc_id long, text string")
+    got = sorted((r["doc"], r["ord"], r["is_caption"], r["next_ord"]) for r in plans.caption_flags(spark, str(tmp_path)).collect())
+    assert got == [(1, 0, False, 1), (1, 1, False, 2), (1, 2, True, 3), (1, 3, True, 4), (1, 4, False, None), (5, 0, True, 1), (5, 1, True, 2), (5, 2, True, None)]
