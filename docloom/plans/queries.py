@@ -122,16 +122,19 @@ def _paths(spark, d):
     return _t(spark, d, "documents").select("doc_id", F.format_string("doc-%d", "doc_id").alias("source_path"), store.content_hash(F.col("text")).alias("content_hash"))
 
 
+def _stored(spark, d):
+    """The state before: documents with labels, of another hash where the quality is 0."""
+    labels = _t(spark, d, "labels").groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    return _paths(spark, d).join(labels, "doc_id").withColumn("content_hash", F.when(F.col("quality") == 0, "old").otherwise(F.col("content_hash")))
+
+
 def content_hash_diff(spark, d):
-    p = _paths(spark, d)
-    stored = p.where("doc_id % 3 < 2").select("source_path", F.when(F.col("doc_id") % 3 == 0, F.col("content_hash")).otherwise("old").alias("content_hash"))
-    return store.changes(p.select("source_path", "content_hash"), stored)
+    return store.changes(_paths(spark, d).select("source_path", "content_hash"), _stored(spark, d).select("source_path", "content_hash"))
 
 
 def upsert_documents(spark, d):
-    p = _paths(spark, d)
-    stored = p.where("doc_id % 2 = 0").select((F.col("doc_id") + 1).alias("id"), "source_path", F.lit("old").alias("content_hash"))
-    return store.upsert(stored, p.where("doc_id % 3 = 0").select("source_path", "content_hash"))
+    stored = _stored(spark, d).select((F.col("doc_id") + 1).alias("id"), "source_path", "content_hash")
+    return store.upsert(stored, _paths(spark, d).select("source_path", "content_hash"))
 
 
 def cascade_delete(spark, d):

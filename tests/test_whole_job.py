@@ -1,5 +1,6 @@
 """The queries over whole tables, against brute force on small ones."""
 
+import hashlib
 import math
 import random
 
@@ -111,3 +112,14 @@ def test_captions_of_all_lines(spark, tmp_path):
     table(spark, tmp_path, "documents", [(1, "a\n\nb\nTable 1: c\nfig. 2\nTables"), (2, None), (5, "x\ny\nz")], "doc_id long, text string")
     got = sorted((r["doc"], r["ord"], r["is_caption"], r["next_ord"]) for r in plans.caption_flags(spark, str(tmp_path)).collect())
     assert got == [(1, 0, False, 1), (1, 1, False, 2), (1, 2, True, 3), (1, 3, True, 4), (1, 4, False, None), (5, 0, True, 1), (5, 1, True, 2), (5, 2, True, None)]
+
+
+def test_all_documents_are_put_in(spark, tmp_path):
+    table(spark, tmp_path, "documents", [(i, f"text {i}") for i in range(12)], "doc_id long, text string")
+    table(spark, tmp_path, "labels", [(1, 0, 0), (5, 1, 0), (6, None, 0), (7, 0, 1)], "doc_id long, quality int, toxic int")
+    state = {r["source_path"]: r["status"] for r in plans.content_hash_diff(spark, str(tmp_path)).collect()}
+    assert state == {f"doc-{i}": "changed" if i in (1, 7) else "skipped_unchanged" if i in (5, 6) else "new" for i in range(12)}
+    ids = {f"doc-{i}": i + 1 for i in (1, 5, 6, 7)}
+    ids |= {path: 9 + k for k, path in enumerate(sorted(f"doc-{i}" for i in range(12) if f"doc-{i}" not in ids))}
+    got = {r["source_path"]: (r["id"], r["content_hash"]) for r in plans.upsert_documents(spark, str(tmp_path)).collect()}
+    assert got == {f"doc-{i}": (ids[f"doc-{i}"], hashlib.sha256(f"text {i}".encode()).hexdigest()) for i in range(12)}
