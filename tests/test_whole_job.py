@@ -3,10 +3,13 @@
 import hashlib
 import math
 import random
+import re
+import zlib
 
+import corpus_pipeline
 import pytest
 
-from docloom.llm import pii, rules
+from docloom.llm import bpe, packing, pii, rules
 from docloom.operators import retrieval
 from docloom.plans import queries as plans
 
@@ -123,3 +126,77 @@ def test_all_documents_are_put_in(spark, tmp_path):
     ids |= {path: 9 + k for k, path in enumerate(sorted(f"doc-{i}" for i in range(12) if f"doc-{i}" not in ids))}
     got = {r["source_path"]: (r["id"], r["content_hash"]) for r in plans.upsert_documents(spark, str(tmp_path)).collect()}
     assert got == {f"doc-{i}": (ids[f"doc-{i}"], hashlib.sha256(f"text {i}".encode()).hexdigest()) for i in range(12)}
+
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def good_by_brute_force(texts):
+    """Ids of the texts that the quality rules keep, where all groups are small and share one set of fences."""
+    values = {}
+    for i, t in texts.items():
+        w, lines = WORD.findall(t), [x for x in t.split("\n") if x.strip()]
+        grams = [tuple(w[a : a + 8]) for a in range(len(w) - 7)]
+        repeated = {a + k for a, g in enumerate(grams) if grams.count(g) > 1 for k in range(8)}
+        if len(w) >= 20 and 100 * len(repeated) <= 30 * len(w):
+            values[i] = (100 * len(re.findall(r"[#*$%&|<>]", t)) // len(w), 100 * (len(lines) - len(set(lines))) // len(lines), 10 * sum(map(len, w)) // len(w))
+    good = set(values)
+    for at, spread in enumerate((15, 30, 40)):
+        group = sorted(v[at] for v in values.values())
+        q25, q75 = (group[-(-p * len(group) // 100) - 1] for p in (25, 75))
+        reach = max(3 * (q75 - q25), spread)
+        good -= {i for i, v in values.items() if v[at] > q75 + reach or at == 2 and v[at] < q25 - reach}
+    return good
+
+
+def hold_against_library(rows, texts):
+    """Pieces of every text follow each other from 0 to its last id, and have the ids of the tokenizers library."""
+    library = bpe.WordBpe(bpe.default_path()).library
+    assert {r["doc_id"] for r in rows} == set(texts)
+    for i, t in texts.items():
+        ids, at = [*library.encode(t or "", add_special_tokens=False).ids, packing.END_ID], 0
+        for r in sorted((r for r in rows if r["doc_id"] == i), key=lambda r: r["start"]):
+            assert r["start"] == at and 0 < r["length"] <= packing.CAPACITY and r["doc_tokens"] == len(ids)
+            at += r["length"]
+            assert r["ids_crc32"] == zlib.crc32(b"".join(x.to_bytes(4, "little") for x in ids[r["start"] : at]))
+        assert at == len(ids)
+
+
+def test_packed_ids_are_the_librarys(spark):
+    texts = {1: "", 2: None, 3: "Hello  world's 123! é 　x 日本 🎉 ΣΑΣ", 4: "some words " * 3000, 5: "x"}
+    hold_against_library(packing.packed(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect(), texts)
+
+
+def test_pipeline_stage_by_stage(spark, tmp_path, monkeypatch):
+    rng = random.Random(12)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(rng.randrange(2, 9))) for _ in range(300)]
+    text = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    texts = {i: text(rng.randrange(30, 90)) for i in range(30)}
+    texts |= {30: texts[3].replace(" ", "\n", 4), 31: texts[4] + " more", 32: texts[5], 33: "too short", 34: "all the same words again and again here " * 9, 35: text(40) + " #" * 60, 36: text(40) + " write jane.doe@mail.org or call +49 301 2345678 now", 37: text(6000), 38: None}
+    table(spark, tmp_path, "documents", [(i, t, "en", "ab"[i % 2]) for i, t in texts.items()], "doc_id long, text string, lang string, source string")
+    seen = {}
+
+    def noted(name, stage):
+        def run(spark, docs, folder):
+            seen[name] = stage(spark, docs, folder).cache()
+            return seen[name]
+
+        return run
+
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [(name, noted(name, stage)) for name, stage in corpus_pipeline.STAGES])
+    packed = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    rows = lambda name: {r["doc_id"]: r["text"] for r in seen[name].collect()}
+    want = {i: texts[i] for i in good_by_brute_force({i: t or "" for i, t in texts.items()})}
+    assert rows("quality_rules") == want and {33, 34, 35, 38}.isdisjoint(want) and {3, 4, 5, 30, 31, 32, 36, 37} <= set(want)
+    first = {}
+    for i in sorted(want):
+        first.setdefault(" ".join(WORD.findall(want[i])), i)
+    want = {i: want[i] for i in first.values()}
+    assert rows("exact_dedup") == want and {30, 32}.isdisjoint(want)
+    sets = {i: {tuple(w[a : a + 5]) for a in range(len(w) - 4)} for i, w in ((i, WORD.findall(t.lower())) for i, t in want.items())}
+    want = {i: t for i, t in want.items() if not any(j < i and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j]) for j in sets)}
+    assert rows("near_dedup") == want and 31 not in want
+    want[36] = want[36].replace("jane.doe@mail.org", "[EMAIL]").replace("+49 301 2345678", "[PHONE]")
+    assert rows("pii") == want
+    hold_against_library(packed, want)
+    assert max(r["start"] for r in packed) > 0
