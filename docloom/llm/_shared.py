@@ -6,6 +6,7 @@ import atexit
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -52,6 +53,44 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Bits of a filter: at least, for each value, and at most (as 8 MB go to every executor; a fuller filter lets more through).
+FILTER_LEAST, FILTER_PER_VALUE, FILTER_MOST = 1 << 16, 12, 1 << 26
+
+
+def bit_filter(values: DataFrame, column: str) -> bytes:
+    """A filter over a long column for passes(), sized by its count; it only spares rows a shuffle and never decides a result."""
+    values = written(values.select(F.col(column).alias("v")).distinct(), "filter")
+    bits, most = FILTER_LEAST, FILTER_PER_VALUE * values.count()
+    while bits < min(most, FILTER_MOST):
+        bits *= 2
+    place = values.select(F.expr(f"v & {bits - 1}L").alias("p"))
+    words = place.groupBy(F.expr("cast(shiftright(p, 6) as int)").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(p & 63 as int)))").alias("m")).toArrow()
+    table = np.zeros(bits // 64, np.int64)
+    table[words.column("w").to_numpy()] = words.column("m").to_numpy()
+    return table.tobytes()
+
+
+def passes(table: bytes, values: np.ndarray) -> np.ndarray:
+    """Which values the filter lets through: all of those it was made of."""
+    words = np.frombuffer(table, np.uint64)
+    p = values.view(np.uint64) & np.uint64(64 * len(words) - 1)
+    return (words[(p >> np.uint64(6)).astype(np.int64)] >> (p & np.uint64(63))) & np.uint64(1) == 1
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """name, or what it takes to clash with no column of df."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def numbered(df: DataFrame) -> tuple[DataFrame, str]:
+    """df, written to the shared folder, with a number for each row that every later reading gives it again; and that column's name."""
+    row = unused(df, "row")
+    return written(df.withColumn(row, F.monotonically_increasing_id()), "numbered"), row
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

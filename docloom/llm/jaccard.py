@@ -6,18 +6,24 @@ n - ceil(t n) + 1 of each in any common order; the order here puts shingles freq
 sample last, since it only decides the cost, never the result. Index lists are built per shingle
 from blobs of whole batches, dealt out by a hash of the shingle.
 
-Skipping in lists: entries stand in blocks by position, and a block is passed over when even its
-first position leaves too few shingles to reach the threshold. Skipping of sets: in each list a leader
-is compared first; sets it links to need no comparisons of their own with what it has been linked to,
-and with the rest only where the similarities to the leader leave room for a link (the distance
-1 - Jaccard obeys the triangle inequality). Comparisons first take a quarter of each set, which
-bounds what two sets can share, and whole sets only where that bound allows a link. So a group of near copies costs comparisons in
-proportion to its size, and no link between different texts that could join two groups is lost.
+Skipping in lists: an entry whose position, or whose place after its leader's, leaves too few
+shingles to reach the threshold is passed over. In each list a leader is compared first, by a quarter
+of each set, which bounds what two sets can share, and by whole sets only where that bound allows a
+link. Lists of one leader are one cell; a cell whose sets are one component by then is done.
+
+Skipping of sets: the sets of other cells are written as differences to the cell's consensus, the
+shingles that most of them have. What two sets share follows from the consensus, the sizes of their
+differences, and the differences they share: sets whose differences are small enough are linked
+without a look at each other, and others only if they share differences, which an index of the rarest
+differences finds. A cell leaves at most one row for each of its sets. Cells of more than CELL_SETS
+sets or CELL_SHINGLES shingles are dealt out as pairs of blocks, so that no task holds more; each set
+then goes to as many tasks as the cell has blocks.
 
 Defined results: null text and text without words have no shingles and are linked with nothing.
 Fewer than SIZE words: the whole sequence is the one shingle. Repeated rows share their component.
 Null keys are ignored when the smallest key of a component is taken. An empty table gives an empty
-result; only key and text are read.
+result; only key and text are read. keep_near tells rows apart by their place in the input, so of
+linked rows with one key one stays, the first read.
 """
 
 from __future__ import annotations
@@ -30,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docloom.llm import _words
-from docloom.llm._shared import partitions, small_batches, written
+from docloom.llm._shared import bit_filter, numbered, partitions, passes, small_batches, written
 from docloom.llm.components import components
 
 SIZE = 5
@@ -40,12 +46,10 @@ PARTS, OF = 75, 100
 SAMPLE, FREQUENT, MOST_FREQUENT = 40_000, 3, 500_000
 #: Postings a map task gathers before it sends blobs on.
 FLUSH = 400_000
-#: Entries of a list that share a block.
-BLOCK = 64
 #: Parts into which comparisons with one leader are dealt.
 SALTS = 16
-#: Bits of the filter that spares sets without comparisons the shuffle.
-FILTER_BITS = 1 << 20
+#: Sets and shingles of a cell that one task holds; larger cells are dealt out as pairs of blocks of half as many.
+CELL_SETS, CELL_SHINGLES = 30_000, 4_000_000
 
 _POSTING = np.dtype([("token", "<u8"), ("sid", "<i8"), ("n", "<u4"), ("pos", "<u4")])
 
@@ -77,15 +81,20 @@ def _ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sets = list(text_sets(batch.column("text")))
         sid = pa.array([set_id(s) if len(s) else None for s in sets], pa.int64())
-        yield pa.RecordBatch.from_arrays([batch.column("key"), sid, pa.array([len(s) for s in sets], pa.int64())], ["key", "sid", "n"])
+        yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("at"), sid, pa.array([len(s) for s in sets], pa.int64())], ["key", "at", "sid", "n"])
 
 
-def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        sets = list(text_sets(batch.column("text")))
-        if sets:
-            token, c = np.unique(np.concatenate(sets), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(c)], ["token", "c"])
+def _frequencies(wanted: bytes):
+    """Shingles of the texts whose `at` passes the filter, and in how many texts of a batch each is."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = list(text_sets(batch.column("text").filter(pa.array(passes(wanted, batch.column("at").to_numpy(zero_copy_only=False))))))
+            if sets:
+                token, c = np.unique(np.concatenate(sets), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(c)], ["token", "c"])
+
+    return run
 
 
 def needed(n_a, n_b):
@@ -154,22 +163,21 @@ def reaches(n_a, pos_a, n_b, pos_b):
     return np.minimum(n_a - pos_a, n_b - pos_b) >= needed(n_a, n_b)
 
 
-def stars(rows: np.ndarray) -> tuple[list[tuple[int, int]], np.ndarray]:
-    """Of one list: (leader, follower) pairs that its positions allow, and each entry's leader."""
+def stars(rows: np.ndarray) -> tuple[list[tuple[int, int]], int]:
+    """Of one list: the (leader, follower) pairs that its positions allow, and its first leader."""
     n, pos, sid = rows["n"].astype(np.int64), rows["pos"].astype(np.int64), rows["sid"]
-    lead, left, pairs = sid.copy(), np.argsort(_words.mix(sid.view(np.uint64))), []
+    left, pairs = np.argsort(_words.mix(sid.view(np.uint64))), []
+    first = int(sid[left[0]])
     while len(left) > 1:
         top, rest = left[0], left[1:]
         ok = reaches(n[top], pos[top], n[rest], pos[rest])
-        lead[rest[ok]] = sid[top]
-        pairs += [(int(sid[top]), int(x)) for x in sid[rest[ok]]]
+        pairs += [(int(sid[top]), x) for x in sid[rest[ok]].tolist()]
         left = rest[~ok]
-    return pairs, lead
+    return pairs, first
 
 
 def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Star pairs (list_id null), and the entries of lists whose further pairs are to be looked at."""
-    names = ["list_id", "a", "b", "n", "pos"]
+    """Pairs a, b to compare (n null), and for lists of three sets or more the cell a of each set b of n shingles."""
     held = [_unpacked(x) for batch in batches for x in batch.column("blob").to_pylist()]
     if not held:
         return
@@ -194,62 +202,105 @@ def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             merged[key]["pos"] = np.minimum(merged[key]["pos"], entries["pos"])
         else:
             merged[key] = entries.copy()
-    out: list[list] = [[] for _ in names]
+    cells: dict[int, dict[int, int]] = {}
     for entries in merged.values():
-        found, lead = stars(entries)
-        if found:
+        found, top = stars(entries)
+        if found:  # else no two of them can be linked
             pairs.update(found)
-            k = len(entries)
-            for column, values in zip(out, ([int(entries["token"][0].view(np.int64))] * k, lead.tolist(), entries["sid"].tolist(), entries["n"].tolist(), entries["pos"].tolist())):
-                column += values
-    pairs = sorted(pairs)
-    yield pa.RecordBatch.from_arrays([pa.nulls(len(pairs), pa.int64()), pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64()), pa.nulls(len(pairs), pa.int64()), pa.nulls(len(pairs), pa.int64())], names)
-    for at in range(0, len(out[0]), 50_000):
-        yield pa.RecordBatch.from_arrays([pa.array(c[at : at + 50_000], pa.int64()) for c in out], names)
-
-
-def _between(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of one list across components that neither positions nor similarities to leaders rule out. Rows come sorted by list."""
-    names = ["a", "b"]
-
-    def pairs(rows: dict[str, np.ndarray]) -> set[tuple[int, int]]:
-        order = np.argsort(rows["pos"], kind="stable")
-        n, pos, sid, comp, lead, lo, hi = (rows[c][order] for c in ("n", "pos", "b", "comp", "a", "lo", "hi"))
-        out: set[tuple[int, int]] = set()
-        for i in range(len(n)):
-            # blocks by position: the first of a block leaves the most shingles
-            for at in range(i + 1, len(n), BLOCK):
-                block = slice(at, at + BLOCK)
-                if (n[block] - pos[at]).max() < -(-PARTS * n[i] // OF):
-                    continue
-                room = (lead[block] != lead[i]) | (np.maximum(lo[block] - hi[i], lo[i] - hi[block]) <= 1 - PARTS / OF + 1e-9)
-                ok = np.flatnonzero((comp[block] != comp[i]) & room & reaches(n[i], pos[i], n[block], pos[block]))
-                for j in ok:
-                    x, y = int(sid[i]), int(sid[at + j])
-                    if lead[at + j] != x and lead[i] != y:  # these have been compared
-                        out.add((min(x, y), max(x, y)))
-        return out
-
-    def done(rows: list[dict]) -> pa.RecordBatch:
-        whole = {c: np.concatenate([r[c] for r in rows]) for c in rows[0]}
-        found = sorted(pairs(whole)) if len(set(whole["comp"].tolist())) > 1 else []
-        return pa.RecordBatch.from_arrays([pa.array([p[0] for p in found], pa.int64()), pa.array([p[1] for p in found], pa.int64())], names)
-
-    held, current = [], None
+            cells.setdefault(top, {}).update(zip(entries["sid"].tolist(), entries["n"].tolist()))
+    out = [(a, b, None) for a, b in sorted(pairs)] + [(top, x, n) for top, sets in cells.items() for x, n in sets.items()]
+    for at in range(0, len(out), 50_000):
+        part = out[at : at + 50_000]
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in part], pa.int64()) for i in range(3)], ["a", "b", "n"])
+
+
+def joined(comp: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Pairs of components that a link between two of the sets joins, no more than joining them takes.
+
+    With m the consensus, r and d the numbers of shingles that a set lacks of it and has beside it, and
+    s the differences (of either sort) that two sets share, they share |m| - r - r' + s shingles and have
+    |m| + d + d' - s together, so they are linked when cost + cost' <= (OF - PARTS) |m| + (OF + PARTS) s.
+    """
+    k = len(sets)
+    label, sizes = np.unique(np.asarray(comp), return_inverse=True)[1], np.array([len(s) for s in sets])
+    owner, out = np.repeat(np.arange(k), sizes), []
+    token, of, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    common = np.flatnonzero(2 * count > k)
+    place = np.full(len(token), -1)
+    place[common] = np.arange(len(common))
+    inside = place[of] >= 0
+    lacks = np.ones((k, len(common)), bool)  # no more bytes than the sets have shingles, twice
+    lacks[owner[inside], place[of[inside]]] = False
+    lacking, lacked = np.nonzero(lacks)
+    has = len(common) - lacks.sum(1)
+    del lacks
+    cost = OF * (len(common) - has) + PARTS * (sizes - has)
+    room = (OF - PARTS) * len(common)
+
+    def join(x: int, others: np.ndarray) -> None:
+        for y in np.unique(label[others]).tolist():
+            if y != label[x]:
+                out.append((comp[x], comp[others[np.flatnonzero(label[others] == y)[0]]]))
+                label[label == y] = label[x]
+
+    least = int(np.argmin(cost))
+    join(least, np.flatnonzero(cost + cost[least] <= room))
+    far = np.flatnonzero(cost + cost[least] > room)  # of any linked sets, one here at least shares a difference with the other
+    mine, what = np.concatenate((owner[~inside], lacking)), np.concatenate((of[~inside], common[lacked]))
+    order = np.argsort(what, kind="stable")
+    start = np.searchsorted(what[order], np.arange(len(token) + 1))
+    listed, length = mine[order], np.diff(start)
+    by_set = np.lexsort((length[what], mine))  # each set's differences, the rarest first
+    what, first = what[by_set], np.searchsorted(mine[by_set], np.arange(k + 1))
+    pending = np.zeros(k, bool)
+    pending[far] = True
+    for x in far.tolist():
+        pending[x] = False
+        if (label == label[0]).all():
+            break
+        own = what[first[x] : first[x + 1]]
+        least_shared = max(1, -(-int(cost[x] + cost[least] - room) // (OF + PARTS)), -(-PARTS * int(sizes[x]) // OF) - int(has[x]))
+        prefix = own[: max(0, len(own) - least_shared + 1)]
+        prefix = prefix[length[prefix] > 1]
+        if not len(prefix):
+            continue
+        near = np.unique(np.concatenate([listed[start[t] : start[t + 1]] for t in prefix]))
+        # a far set that has had its turn has met all it can be linked with
+        near = near[(label[near] != label[x]) & (pending[near] | (cost[near] + cost[least] <= room)) & (np.minimum(sizes[near], sizes[x]) * OF >= PARTS * np.maximum(sizes[near], sizes[x]))]
+        if not len(near):
+            continue
+        if len(near) < 32:
+            shared = np.array([len(np.intersect1d(own, what[first[y] : first[y + 1]], assume_unique=True)) for y in near.tolist()])
+        else:
+            shared = np.bincount(np.concatenate([listed[start[t] : start[t + 1]] for t in own]), minlength=k)[near]
+        join(x, near[cost[x] + cost[near] <= room + (OF + PARTS) * shared])
+    return out
+
+
+def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by cell, i, j: the pairs of components that each cell joins."""
+    held, current, out = [], None, []
+
+    def close() -> None:
+        once = {sid: (comp, s) for sid, comp, s in held}
+        if len(once) > 1:
+            out.extend(joined([c for c, _ in once.values()], [np.frombuffer(s, "<u8") for _, s in once.values()]))
+
+    def taken() -> pa.RecordBatch:
+        batch = pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.int64()) for i in range(2)], ["a", "b"])
+        out.clear()
+        return batch
+
     for batch in batches:
-        columns = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in batch.schema.names}
-        keys = columns["list_id"]
-        cuts = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]
-        for a, b in zip(cuts[:-1], cuts[1:]):
-            if a == b:
-                continue
-            if held and keys[a] != current:
-                yield done(held)
-                held = []
-            current = keys[a]
-            held.append({c: v[a:b] for c, v in columns.items()})
-    if held:
-        yield done(held)
+        for cell, i, j, *row in zip(*(batch.column(c).to_pylist() for c in ("cell", "i", "j", "sid", "comp", "s"))):
+            if (cell, i, j) != current:
+                close()
+                held, current = [], (cell, i, j)
+            held.append(row)
+        if len(out) > 20_000:
+            yield taken()
+    close()
+    yield taken()
 
 
 def _sampled(s: np.ndarray) -> bytes:
@@ -259,26 +310,33 @@ def _sampled(s: np.ndarray) -> bytes:
 
 
 def _wanted_sets(wanted: bytes, sample: bool):
-    """sid and set (or its sample) of the texts whose sid passes the filter, each once in a task."""
+    """sid and set (or its sample) of the texts whose `at` passes the filter, each once in a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, seen = np.frombuffer(wanted, "<u4"), set()
+        seen: set[int] = set()
         for batch in batches:
+            texts = batch.column("text").filter(pa.array(passes(wanted, batch.column("at").to_numpy(zero_copy_only=False))))
             out = []
-            for s in text_sets(batch.column("text")):
-                if not len(s):
+            for s in text_sets(texts):
+                if not len(s) or (sid := set_id(s)) in seen:
                     continue
-                sid = set_id(s)
-                p = sid & (FILTER_BITS - 1)
-                if bits[p >> 5] >> (p & 31) & 1 and sid not in seen:
-                    seen = seen if len(seen) < 500_000 else set()
-                    seen.add(sid)
-                    out.append((sid, _sampled(s) if sample else s.tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.binary())], ["sid", "s"])
+                seen = seen if len(seen) < 500_000 else set()
+                seen.add(sid)
+                out.append((sid, _sampled(s) if sample else s.tobytes()))
+            for at in range(0, len(out), 64):
+                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out[at : at + 64]], pa.int64()), pa.array([x[1] for x in out[at : at + 64]], pa.binary())], ["sid", "s"])
 
     return run
 
 
+def sets_of(wanted: DataFrame, docs: DataFrame, ids: DataFrame, sample: bool = False) -> DataFrame:
+    """sid, s: the sets (or samples of them) of at least the sids in wanted, of one text for each."""
+    one = ids.where("sid IS NOT NULL").groupBy("sid").agg(F.min("at").alias("at"))
+    places = wanted.select("sid").distinct().join(one, "sid").select("at")
+    texts = docs.select("at", "text").mapInArrow(_wanted_sets(bit_filter(places, "at"), sample), "sid long, s binary")
+    return texts.dropDuplicates(["sid"])
+
+
 def most_shared(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int]:
     """No fewer shingles than two sets share, by their samples; and the sets' sizes.
 
@@ -308,27 +366,19 @@ def _compare(sample: bool):
     return run
 
 
-def compared(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """pairs (a, b of set ids) with the sets' sizes, shared, and whether that is exact or, for pairs that can't be linked, an upper bound."""
-    bound = _against(pairs, docs, True)
-    exact = _against(bound.where(linked()).select("a", "b"), docs, False)
-    return bound.where(~linked()).withColumn("exact", F.lit(False)).unionByName(exact.withColumn("exact", F.lit(True)))
+def compared(pairs: DataFrame, docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The pairs (a, b of set ids) that are linked."""
+    possible = _against(pairs, docs, ids, True).where(linked()).select("a", "b")
+    return _against(possible, docs, ids, False).where(linked()).select("a", "b")
 
 
-def _against(pairs: DataFrame, docs: DataFrame, sample: bool) -> DataFrame:
-    """pairs with shared and sizes, from whole sets or from samples of a quarter of each."""
+def _against(pairs: DataFrame, docs: DataFrame, ids: DataFrame, sample: bool) -> DataFrame:
+    """pairs with shared and sizes, from whole sets or, as an upper bound, from samples of a quarter of each."""
     spark = pairs.sparkSession
     salted = pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)))
     mine = salted.select(F.col("a").alias("sid"), "a", "salt", F.lit(None).cast("long").alias("b")).distinct()
     wanted = written(salted.select(F.col("b").alias("sid"), "a", "salt", "b").unionByName(mine), "wanted")
-    # a filter of FILTER_BITS bits, whatever the input's size: it only spares sets the shuffle
-    places = wanted.select(F.expr(f"sid & {FILTER_BITS - 1}").alias("p"))
-    words = places.groupBy(F.floor(F.col("p") / 32).cast("int").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(p % 32 as int)))").alias("m")).collect()
-    table = np.zeros(FILTER_BITS // 32, np.int64)
-    for w, m in words:
-        table[w] = m
-    sets = docs.select("text").mapInArrow(_wanted_sets(table.astype("<u4").tobytes(), sample), "sid long, s binary").dropDuplicates(["sid"])
-    rows = wanted.join(sets, "sid").select("a", "salt", "b", "s")
+    rows = wanted.join(sets_of(wanted, docs, ids, sample), "sid").select("a", "salt", "b", "s")
     ordered = rows.repartition(partitions(spark), "a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
     return written(ordered.mapInArrow(_compare(sample), "a long, b long, shared long, n_a long, n_b long"), "compared")
 
@@ -337,54 +387,61 @@ def linked() -> F.Column:
     return F.lit(OF) * F.col("shared") >= F.lit(PARTS) * (F.col("n_a") + F.col("n_b") - F.col("shared"))
 
 
-def near_groups(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """A row for each input row: key, n_shingles, component_id (smallest key reachable by links)."""
+def _grouped(docs: DataFrame) -> DataFrame:
+    """docs: key, text. key, sid, n, and comp: the smallest sid reachable by links; a row for each row of docs."""
     spark = docs.sparkSession
     small_batches(spark)
     n = partitions(spark)
-    docs = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
-    key_type = docs.schema["key"].dataType.simpleString()
-    ids = written(docs.mapInArrow(_ids, f"key {key_type}, sid long, n long"), "set-ids")
+    docs = docs.select("key", "text", F.xxhash64("text").alias("at"))
+    ids = written(docs.mapInArrow(_ids, f"key {docs.schema['key'].dataType.simpleString()}, at long, sid long, n long"), "set-ids")
 
-    sample = docs.select("key").orderBy(F.xxhash64("key"), "key").limit(SAMPLE).distinct()
-    counts = docs.join(F.broadcast(sample), "key").select("text").mapInArrow(_frequencies, "token long, c long")
+    sample = ids.where("sid IS NOT NULL").groupBy("sid").agg(F.min("at").alias("at")).orderBy(F.xxhash64("sid"), "sid").limit(SAMPLE)
+    counts = docs.select("at", "text").mapInArrow(_frequencies(bit_filter(sample, "at")), "token long, c long")
     top = counts.groupBy("token").agg(F.sum("c").alias("c")).where(F.col("c") >= FREQUENT).orderBy(F.desc("c"), "token").limit(MOST_FREQUENT).toArrow()
     frequent = top.column("token").to_numpy().view(np.uint64)
     order = np.argsort(frequent)
     frequent, rank = frequent[order], top.column("c").to_numpy()[order]
 
     blobs = docs.select("text").mapInArrow(_poster(frequent, rank, 8 * n), "bucket int, blob binary")
-    found = written(blobs.repartition(n, "bucket").select("blob").mapInArrow(_lists, "list_id long, a long, b long, n long, pos long"), "lists")
-    pairs = written(found.where("list_id IS NULL").select("a", "b").distinct(), "pairs")
-    first = compared(pairs, docs)
-    links = first.where(linked()).select("a", "b")
-    groups = components(links)
-
-    lists = found.where("list_id IS NOT NULL")
-    at = groups.select(F.col("v").alias("b"), "root")
-    least = 1 - F.col("shared") / (F.col("n_a") + F.col("n_b") - F.col("shared"))
-    known = first.select("a", "b", least.alias("lo"), F.when(F.col("exact"), least).otherwise(1.0).alias("hi"))
-    lists = lists.join(at, "b", "left").withColumn("comp", F.coalesce("root", "b")).drop("root")
-    mixed = lists.groupBy("list_id").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("list_id")
-    lists = lists.join(mixed, "list_id").join(known, ["a", "b"], "left")
-    lists = lists.select("list_id", "a", "b", "n", "pos", "comp", *[F.when(F.col("a") == F.col("b"), 0.0).otherwise(F.coalesce(c, F.lit(x))).alias(c) for c, x in (("lo", 0.0), ("hi", 1.0))])
-    more = written(lists.repartition(n, "list_id").sortWithinPartitions("list_id").mapInArrow(_between, "a long, b long").distinct(), "more-pairs")
-    if not more.isEmpty():
-        links = links.unionByName(compared(more, docs).where(linked()).select("a", "b"))
-        groups = components(links)
-
-    sets = ids.groupBy("sid").agg(F.min("key").alias("least")).where("sid IS NOT NULL").join(groups, F.col("sid") == F.col("v"), "left").withColumn("comp", F.coalesce("root", "sid"))
-    smallest = sets.groupBy("comp").agg(F.min("least").alias("component_id"))
-    table = sets.join(smallest, "comp").select("sid", "component_id")
-    joined = ids.where("sid IS NOT NULL").join(table, "sid").select(F.col("key").alias(key), F.col("n").alias("n_shingles"), "component_id")
-    alone = ids.where("sid IS NULL").select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.col("key").alias("component_id"))
-    return joined.unionByName(alone)
+    found = written(blobs.repartition(n, "bucket").select("blob").mapInArrow(_lists, "a long, b long, n long"), "lists")
+    pairs = written(found.where("n IS NULL").select("a", "b").distinct(), "pairs")
+    first = components(compared(pairs, docs, ids))
+
+    cells = found.where("n IS NOT NULL").select(F.col("a").alias("cell"), F.col("b").alias("v"), "n").distinct().join(first, "v", "left")
+    cells = written(cells.select("cell", F.col("v").alias("sid"), "n", F.coalesce("root", "v").alias("comp")), "cells")
+    parts = F.greatest(F.ceil(2 * F.sum("n") / CELL_SHINGLES), F.ceil(2 * F.count("*") / CELL_SETS)).cast("int")
+    mixed = cells.groupBy("cell").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), parts.alias("parts")).where("x <> y").select("cell", "parts")
+    block = F.pmod(F.xxhash64("sid"), F.col("parts")).cast("int")
+    rows = cells.join(mixed, "cell").select("cell", "sid", "comp", block.alias("mine"), F.explode(F.sequence(F.lit(0), F.greatest(F.col("parts") - 1, F.lit(0)))).alias("other"), "parts")
+    rows = rows.where("mine <> other OR parts <= 1").select("cell", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "sid", "comp")
+    rows = written(rows, "mixed-cells")
+    whole = rows.join(sets_of(rows, docs, ids), "sid").repartition(n, "cell", "i", "j").sortWithinPartitions("cell", "i", "j")
+    second = components(whole.mapInArrow(_cells, "a long, b long")).select(F.col("v").alias("comp"), F.col("root").alias("last"))
+
+    sids = ids.where("sid IS NOT NULL").select("sid").distinct().join(first, F.col("sid") == F.col("v"), "left").select("sid", F.coalesce("root", "sid").alias("comp"))
+    sids = sids.join(second, "comp", "left").select("sid", F.coalesce("last", "comp").alias("comp"))
+    return ids.select("key", "sid", "n").join(sids, "sid", "left")
+
+
+def near_groups(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """A row for each input row: key, n_shingles, component_id (smallest key reachable by links)."""
+    rows = _grouped(docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").cast("string").alias("text")))
+    rows = written(rows, "grouped")
+    smallest = rows.where("comp IS NOT NULL").groupBy("comp").agg(F.min("key").alias("component_id"))
+    out = rows.join(smallest, "comp", "left")
+    least = F.when(F.col("comp").isNull(), F.col("key")).otherwise(F.col("component_id"))
+    return out.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), least.alias("component_id"))
 
 
 def keep_near(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """docs with one row of each group of linked texts: the one with the smallest key."""
-    stays = near_groups(docs, text, key).where(F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("_stay")).distinct()
-    return docs.join(stays, F.col(f"`{key}`").eqNullSafe(F.col("_stay")), "left_semi")
+    """docs with one row of each group of linked texts: the one with the smallest key, of equal keys the first read; nulls come last."""
+    whole, row = numbered(docs)
+    rows = _grouped(whole.select(F.struct(F.col(f"`{key}`").isNull().alias("none"), F.col(f"`{key}`").alias("key"), F.col(row)).alias("key"), F.col(f"`{text}`").cast("string").alias("text")))
+    rows = written(rows.select("key", "comp"), "grouped")
+    # the rows that go are fewer than those that stay
+    least = rows.where("comp IS NOT NULL").groupBy("comp").agg(F.min("key").alias("least"))
+    gone = rows.join(least, "comp").where(F.col(f"key.{row}") != F.col(f"least.{row}")).select(F.col(f"key.{row}").alias(row))
+    return whole.join(gone, row, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op7_jaccard(spark, sf_dir: str) -> DataFrame:
