@@ -9,7 +9,9 @@ task names its own runs, and the driver only adds up how many names each task us
 
 Defined results: null text counts as empty; all empty texts are one group. Of equal texts the row
 with the smallest key stays, of equal keys the first row read; null keys come last. An empty table
-gives an empty result. Other columns of the input are not read.
+gives an empty result. Other columns of the input are not read. keep_exact tells rows apart by their
+place in the input: rows of one key with different texts all stay, and of rows that repeat a key and a
+text one does. Names of columns may clash with those used here.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docloom.llm._shared import partitions, small_batches, written
+from docloom.llm._shared import numbered, partitions, small_batches, written
 
 BLOCK = 1024
 
@@ -80,10 +82,11 @@ def named(df: DataFrame, keys: list[str], carried: list[str], tie: list[str]) ->
     return rows.select(*carried, (F.col("name") + F.col("_offset")).alias("name"))
 
 
-def identities(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """row (a number of each input row), key, sha256 of the normalised text, and its identity (rounds, name)."""
+def identities(docs: DataFrame, text: str = "text", key: str = "doc_id", row: str | None = None) -> DataFrame:
+    """row (the column row, else a number of each input row), key, sha256 of the normalised text, and its identity (rounds, name)."""
     small_batches(docs.sparkSession)
-    texts = docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("key"), normalised(F.col(text)).alias("t"))
+    number = F.col(f"`{row}`") if row else F.monotonically_increasing_id()
+    texts = docs.select(number.alias("row"), F.col(f"`{key}`").alias("key"), normalised(F.col(f"`{text}`")).alias("t"))
     cut = F.regexp_extract_all("t", F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
     texts = texts.select("row", "key", F.sha2(F.encode("t", "UTF-8"), 256).alias("sha"), F.when(F.length("t") == 0, F.array(F.lit(""))).otherwise(cut).alias("blocks"))
     blocks = texts.select("row", "key", "sha", F.size("blocks").cast("long").alias("n"), F.posexplode("blocks").alias("i", "block"))
@@ -109,20 +112,30 @@ def identities(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Data
     return out
 
 
+def _copies(rows: DataFrame) -> DataFrame:
+    """rounds, name, best (the row that stays) and group_size of the texts that two rows or more have."""
+    best = F.min(F.struct(F.col("key").isNull().alias("none"), "key", "row"))
+    groups = rows.groupBy("rounds", "name").agg(best.alias("best"), F.count("*").alias("group_size")).where("group_size > 1")
+    return written(groups, "copies")  # its join below then has no aggregation beside it, so that Spark can split a large group
+
+
 def exact_groups(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """A row for each input row: key, keep_id, group_size, kept, text_sha256."""
-    rows = identities(docs, text, key)
-    best = F.min(F.struct(F.col("key").isNull().alias("none"), "key", "row"))
-    groups = rows.groupBy("rounds", "name").agg(best.alias("best"), F.count("*").alias("group_size"))
-    joined = rows.join(groups, ["rounds", "name"])
-    return joined.select(F.col("key").alias(key), F.col("best.key").alias("keep_id"), "group_size", (F.col("row") == F.col("best.row")).alias("kept"), F.col("sha").alias("text_sha256"))
+    rows = written(identities(docs, text, key), "identities", release=True)
+    joined = rows.join(_copies(rows), ["rounds", "name"], "left")
+    alone = F.col("best").isNull()
+    return joined.select(
+        F.col("key").alias(key), F.when(alone, F.col("key")).otherwise(F.col("best.key")).alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
+        (alone | (F.col("row") == F.col("best.row"))).alias("kept"), F.col("sha").alias("text_sha256"),
+    )
 
 
 def keep_exact(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """docs without the rows whose text an earlier row has; rows of one key and equal text count once."""
-    stays = exact_groups(docs, text, key).where("kept").select(F.col(key).alias("_stay"), F.col("text_sha256").alias("_sha"))
-    on = F.col(f"`{key}`").eqNullSafe(F.col("_stay")) & (F.sha2(F.encode(normalised(F.col(f"`{text}`")), "UTF-8"), 256) == F.col("_sha"))
-    return docs.dropDuplicates([key, text]).join(stays, on, "left_semi")
+    """docs without the rows whose text another row has that stays."""
+    whole, row = numbered(docs)
+    rows = written(identities(whole, text, key, row), "identities", release=True)
+    gone = rows.join(_copies(rows), ["rounds", "name"]).where(F.col("row") != F.col("best.row")).select(F.col("row").alias(row))
+    return whole.join(gone, row, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op5_exact_dedup(spark, sf_dir: str) -> DataFrame:

@@ -9,7 +9,8 @@ from blobs of whole batches, dealt out by a hash of the shingle.
 Skipping in lists: an entry whose position, or whose place after its leader's, leaves too few
 shingles to reach the threshold is passed over. In each list a leader is compared first, by a quarter
 of each set, which bounds what two sets can share, and by whole sets only where that bound allows a
-link. Lists of one leader are one cell; a cell whose sets are one component by then is done.
+link. Lists of one leader are one cell; a cell whose sets are one component by then is done, and of
+others only components stay that by the quarters may be linked with another.
 
 Skipping of sets: the sets of other cells are written as differences to the cell's consensus, the
 shingles that most of them have. What two sets share follows from the consensus, the sizes of their
@@ -214,16 +215,17 @@ def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in part], pa.int64()) for i in range(3)], ["a", "b", "n"])
 
 
-def joined(comp: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]:
+def joined(comp: list[int], sets: list[np.ndarray], n: list[int] | None = None) -> list[tuple[int, int]]:
     """Pairs of components that a link between two of the sets joins, no more than joining them takes.
 
-    With m the consensus, r and d the numbers of shingles that a set lacks of it and has beside it, and
-    s the differences (of either sort) that two sets share, they share |m| - r - r' + s shingles and have
-    |m| + d + d' - s together, so they are linked when cost + cost' <= (OF - PARTS) |m| + (OF + PARTS) s.
+    With m the consensus, r and r' the numbers of its shingles that two sets lack and s the differences
+    from it (of either sort) that they share, the sets share |m| - r - r' + s shingles. n: their whole
+    sizes, if the sets are samples; then any number of the other shingles may be shared, up to half of both.
     """
-    k = len(sets)
-    label, sizes = np.unique(np.asarray(comp), return_inverse=True)[1], np.array([len(s) for s in sets])
-    owner, out = np.repeat(np.arange(k), sizes), []
+    k, unit = len(sets), 2 * (PARTS + OF)
+    label, have = np.unique(np.asarray(comp), return_inverse=True)[1], np.array([len(s) for s in sets])
+    sizes = have if n is None else np.asarray(n)
+    owner, out = np.repeat(np.arange(k), have), []
     token, of, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     common = np.flatnonzero(2 * count > k)
     place = np.full(len(token), -1)
@@ -234,8 +236,9 @@ def joined(comp: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]:
     lacking, lacked = np.nonzero(lacks)
     has = len(common) - lacks.sum(1)
     del lacks
-    cost = OF * (len(common) - has) + PARTS * (sizes - has)
-    room = (OF - PARTS) * len(common)
+    # linked: shared >= PARTS / (PARTS + OF) of both sizes, so cost + cost' <= room + unit * s
+    cost = unit * (len(common) - has) + 2 * PARTS * sizes - (PARTS + OF) * (sizes - have)
+    room = unit * len(common)
 
     def join(x: int, others: np.ndarray) -> None:
         for y in np.unique(label[others]).tolist():
@@ -259,7 +262,7 @@ def joined(comp: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]:
         if (label == label[0]).all():
             break
         own = what[first[x] : first[x + 1]]
-        least_shared = max(1, -(-int(cost[x] + cost[least] - room) // (OF + PARTS)), -(-PARTS * int(sizes[x]) // OF) - int(has[x]))
+        least_shared = max(1, -(-int(cost[x] + cost[least] - room) // unit), -(-PARTS * int(sizes[x]) // OF) - int(sizes[x] - have[x]) - int(has[x]))
         prefix = own[: max(0, len(own) - least_shared + 1)]
         prefix = prefix[length[prefix] > 1]
         if not len(prefix):
@@ -273,34 +276,58 @@ def joined(comp: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]:
             shared = np.array([len(np.intersect1d(own, what[first[y] : first[y + 1]], assume_unique=True)) for y in near.tolist()])
         else:
             shared = np.bincount(np.concatenate([listed[start[t] : start[t + 1]] for t in own]), minlength=k)[near]
-        join(x, near[cost[x] + cost[near] <= room + (OF + PARTS) * shared])
+        join(x, near[cost[x] + cost[near] <= room + unit * shared])
     return out
 
 
-def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by cell, i, j: the pairs of components that each cell joins."""
-    held, current, out = [], None, []
+def _by_cell(made, names: list[str]):
+    """Rows sorted by cell, i, j: the rows that made gives for the sid, comp and s of each cell."""
 
-    def close() -> None:
-        once = {sid: (comp, s) for sid, comp, s in held}
-        if len(once) > 1:
-            out.extend(joined([c for c, _ in once.values()], [np.frombuffer(s, "<u8") for _, s in once.values()]))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, current, out = [], None, []
 
-    def taken() -> pa.RecordBatch:
-        batch = pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.int64()) for i in range(2)], ["a", "b"])
-        out.clear()
-        return batch
+        def close() -> None:
+            once = {sid: (comp, s) for sid, comp, s in held}
+            if len(once) > 1:
+                out.extend(made(current, list(once), [c for c, _ in once.values()], [s for _, s in once.values()]))
+
+        def taken() -> pa.RecordBatch:
+            batch = pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.int64()) for i in range(len(names))], names)
+            out.clear()
+            return batch
+
+        for batch in batches:
+            for cell, i, j, *row in zip(*(batch.column(c).to_pylist() for c in ("cell", "i", "j", "sid", "comp", "s"))):
+                if (cell, i, j) != current:
+                    close()
+                    held, current = [], (cell, i, j)
+                held.append(row)
+            if len(out) > 20_000:
+                yield taken()
+        close()
+        yield taken()
+
+    return run
 
-    for batch in batches:
-        for cell, i, j, *row in zip(*(batch.column(c).to_pylist() for c in ("cell", "i", "j", "sid", "comp", "s"))):
-            if (cell, i, j) != current:
-                close()
-                held, current = [], (cell, i, j)
-            held.append(row)
-        if len(out) > 20_000:
-            yield taken()
-    close()
-    yield taken()
+
+def _links(_, sids: list[int], comp: list[int], s: list[bytes]) -> list[tuple]:
+    return joined(comp, [np.frombuffer(x, "<u8") for x in s])
+
+
+def _possible(cell: tuple, sids: list[int], comp: list[int], s: list[bytes]) -> list[tuple]:
+    """Of the components that may be linked with another by their samples: cell, i, j, the least of those together as part, sid and comp."""
+    samples = [np.frombuffer(x, "<u4") for x in s]
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in joined(comp, [x[2:] for x in samples], [int(x[0]) for x in samples]):
+        a, b = sorted((find(a), find(b)))
+        root[b] = a
+    return [(*cell, find(c), sid, c) for sid, c in zip(sids, comp) if c in root]
 
 
 def _sampled(s: np.ndarray) -> bytes:
@@ -380,7 +407,7 @@ def _against(pairs: DataFrame, docs: DataFrame, ids: DataFrame, sample: bool) ->
     wanted = written(salted.select(F.col("b").alias("sid"), "a", "salt", "b").unionByName(mine), "wanted")
     rows = wanted.join(sets_of(wanted, docs, ids, sample), "sid").select("a", "salt", "b", "s")
     ordered = rows.repartition(partitions(spark), "a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
-    return written(ordered.mapInArrow(_compare(sample), "a long, b long, shared long, n_a long, n_b long"), "compared")
+    return written(ordered.mapInArrow(_compare(sample), "a long, b long, shared long, n_a long, n_b long"), "compared", release=True)
 
 
 def linked() -> F.Column:
@@ -403,7 +430,7 @@ def _grouped(docs: DataFrame) -> DataFrame:
     frequent, rank = frequent[order], top.column("c").to_numpy()[order]
 
     blobs = docs.select("text").mapInArrow(_poster(frequent, rank, 8 * n), "bucket int, blob binary")
-    found = written(blobs.repartition(n, "bucket").select("blob").mapInArrow(_lists, "a long, b long, n long"), "lists")
+    found = written(blobs.repartition(n, "bucket").select("blob").mapInArrow(_lists, "a long, b long, n long"), "lists", release=True)
     pairs = written(found.where("n IS NULL").select("a", "b").distinct(), "pairs")
     first = components(compared(pairs, docs, ids))
 
@@ -415,11 +442,17 @@ def _grouped(docs: DataFrame) -> DataFrame:
     rows = cells.join(mixed, "cell").select("cell", "sid", "comp", block.alias("mine"), F.explode(F.sequence(F.lit(0), F.greatest(F.col("parts") - 1, F.lit(0)))).alias("other"), "parts")
     rows = rows.where("mine <> other OR parts <= 1").select("cell", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "sid", "comp")
     rows = written(rows, "mixed-cells")
-    whole = rows.join(sets_of(rows, docs, ids), "sid").repartition(n, "cell", "i", "j").sortWithinPartitions("cell", "i", "j")
-    second = components(whole.mapInArrow(_cells, "a long, b long")).select(F.col("v").alias("comp"), F.col("root").alias("last"))
+
+    def cellwise(rows: DataFrame, sample: bool, made, names: list[str]) -> DataFrame:
+        whole = rows.join(sets_of(rows, docs, ids, sample), "sid").repartition(n, "cell", "i", "j").sortWithinPartitions("cell", "i", "j")
+        return whole.mapInArrow(_by_cell(made, names), ", ".join(f"{x} long" for x in names))
+
+    rows = written(cellwise(rows, True, _possible, ["of", "i", "j", "part", "sid", "comp"]), "possible-cells", release=True)
+    rows = rows.select(F.xxhash64("of", "part").alias("cell"), "i", "j", "sid", "comp")  # cells of one name are one larger cell
+    second = components(cellwise(rows, False, _links, ["a", "b"])).select(F.col("v").alias("comp"), F.col("root").alias("last"))
 
     sids = ids.where("sid IS NOT NULL").select("sid").distinct().join(first, F.col("sid") == F.col("v"), "left").select("sid", F.coalesce("root", "sid").alias("comp"))
-    sids = sids.join(second, "comp", "left").select("sid", F.coalesce("last", "comp").alias("comp"))
+    sids = written(sids.join(second, "comp", "left").select("sid", F.coalesce("last", "comp").alias("comp")), "set-components")
     return ids.select("key", "sid", "n").join(sids, "sid", "left")
 
 

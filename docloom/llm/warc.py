@@ -8,10 +8,12 @@ taken from the store only if its bytes again have the digest it is stored under.
 Of records with equal payloads of at least MIN_REVISIT bytes the one with the smallest page_id is a
 response and the others are revisits of it, without payload; smaller ones are all responses.
 
-Defined results: null html counts as empty bytes; a null url gives an empty target; line ends,
-spaces and other control characters in a url are percent-encoded. Rows that repeat a page_id are
-one record each, of which at most one is the response; a null page_id comes after all others. An
-empty table gives an empty archive. Other columns of the input are not read.
+Defined results: null html counts as empty bytes. A null url leaves the target out; a url with
+white space, control characters or characters beyond ASCII is written percent-encoded, with a field that says so, and read back
+as it was. Rows that repeat a page_id are one record each; of those with one payload exactly one is the
+response, the one with the least url. Null page_ids come after all others and nulls among urls after
+all others. Ids may be of any type that a string can be cast to. An empty table gives an empty
+archive. Other columns of the input are not read.
 """
 
 from __future__ import annotations
@@ -30,32 +32,33 @@ def _bytes(html: Column) -> Column:
 
 
 def _record_id(page_id: Column) -> Column:
-    return F.concat(F.lit("<urn:docloom:page:"), F.coalesce(page_id.cast("string"), F.lit("none")), F.lit(">"))
+    return F.concat(F.lit("<urn:docloom:page"), F.coalesce(F.concat(F.lit(":"), F.url_encode(page_id.cast("string"))), F.lit("")), F.lit(">"))
 
 
 def write_archive(pages: DataFrame, path: str) -> None:
     """Writes the tables `payloads` and `records` under path."""
     spark = pages.sparkSession
     small_batches(spark)
-    keyed = pages.select("page_id", "url", _bytes(F.col("html")).alias("payload")).withColumn("digest", F.sha2("payload", 256)).withColumn("n", F.octet_length("payload").cast("long"))
+    keyed = pages.select("page_id", F.col("url").cast("string").alias("url"), _bytes(F.col("html")).alias("payload")).withColumn("digest", F.sha2("payload", 256)).withColumn("n", F.octet_length("payload").cast("long"))
     # partial aggregation drops copies before the shuffle
-    stored = keyed.groupBy("digest").agg(F.min("page_id").alias("first_page"), F.first("payload").alias("payload"), F.first("n").alias("n"))
+    first = F.min(F.struct(F.col("page_id").isNull().alias("last"), "page_id", F.col("url").isNull().alias("bare"), "url"))
+    stored = keyed.groupBy("digest").agg(first.alias("first"), F.count("*").alias("records"), F.first("payload").alias("payload"), F.first("n").alias("n"))
     stored.write.option("compression", "zstd").parquet(f"{path}/payloads")
-    owners = spark.read.parquet(f"{path}/payloads").where(F.col("n") >= MIN_REVISIT).select("digest", "first_page")
-    rows = keyed.select("page_id", "url", "digest", "n")
-    joined = rows.join(owners, "digest", "left")
-    revisit = F.coalesce(F.col("first_page") < F.col("page_id"), F.col("page_id").isNull() & F.col("first_page").isNotNull(), F.lit(False))
-    target = F.coalesce(F.col("url").cast("string"), F.lit(""))
-    for bad in ("%", " ", "\t", "\r", "\n"):
-        if bad != "%":
-            target = F.replace(target, F.lit(bad), F.lit(f"%{ord(bad):02X}"))
+    owners = spark.read.parquet(f"{path}/payloads").where((F.col("n") >= MIN_REVISIT) & (F.col("records") > 1)).select("digest", "first")
+    # rows that are the same in all are one row with a count until they have met their response
+    rows = keyed.groupBy("page_id", "url", "digest", "n").agg(F.count("*").cast("int").alias("copies"))
+    joined = rows.join(owners, "digest", "left").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    is_first = F.col("page_id").eqNullSafe(F.col("first.page_id")) & F.col("url").eqNullSafe(F.col("first.url")) & (F.col("copy") == 1)
+    revisit = F.col("first").isNotNull() & ~is_first
+    odd = F.col("url").rlike(r"[^\x21-\x7e]")
+    target = F.when(odd, F.concat(F.lit(f"{END}WARC-Target-URI: "), F.url_encode("url"), F.lit(f"{END}X-Target-Encoded: yes"))).otherwise(F.concat(F.lit(f"{END}WARC-Target-URI: "), F.col("url")))
     header = F.concat(
         F.lit(f"WARC/1.1{END}WARC-Type: "), F.when(revisit, F.lit("revisit")).otherwise(F.lit("response")),
         F.lit(f"{END}WARC-Record-ID: "), _record_id(F.col("page_id")),
-        F.lit(f"{END}WARC-Date: 1970-01-01T00:00:00Z{END}WARC-Target-URI: "), target,
+        F.lit(f"{END}WARC-Date: 1970-01-01T00:00:00Z"), F.coalesce(target, F.lit("")),
         F.lit(f"{END}WARC-Payload-Digest: sha256:"), F.col("digest"),
         F.lit(f"{END}X-Payload-Length: "), F.col("n").cast("string"),
-        F.when(revisit, F.concat(F.lit(f"{END}WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest{END}WARC-Refers-To: "), _record_id(F.col("first_page")))).otherwise(F.lit("")),
+        F.when(revisit, F.concat(F.lit(f"{END}WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest{END}WARC-Refers-To: "), _record_id(F.col("first.page_id")))).otherwise(F.lit("")),
         F.lit(f"{END}Content-Type: text/html; charset=utf-8{END}Content-Length: "), F.when(revisit, F.lit("0")).otherwise(F.col("n").cast("string")), F.lit(END + END),
     )
     records = joined.select(F.encode(header, "UTF-8").alias("header"), F.when(revisit, F.lit(None)).otherwise(F.col("digest")).alias("digest"))
@@ -73,8 +76,8 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
     return plain.unionByName(full).withColumn("record", F.concat("header", F.coalesce("payload", F.encode(F.lit(""), "UTF-8")), end))
 
 
-def parsed(records: DataFrame) -> DataFrame:
-    """page_id, payload_bytes, payload_digest, record_type and refers_to, from the records' bytes."""
+def parsed(records: DataFrame, id_type: str = "long") -> DataFrame:
+    """page_id, payload_bytes, payload_digest, record_type, refers_to and url, from the records' bytes; ids as id_type."""
     blank = F.expr(r"position(encode('\r\n\r\n', 'UTF-8'), record)")
     head = records.select(F.col("record"), blank.cast("int").alias("cut")).select("record", "cut", F.decode(F.substring("record", F.lit(1), F.col("cut") - 1), "UTF-8").alias("head"))
 
@@ -87,17 +90,20 @@ def parsed(records: DataFrame) -> DataFrame:
     kind = field("WARC-Type", r"(\w+)")
     same = (body_size == field("Content-Length", r"(\d+)").cast("int")) & ((kind == "revisit") | (F.sha2(body, 256) == field("WARC-Payload-Digest", r"sha256:([0-9a-f]+)")))
     digest = F.when(same, field("WARC-Payload-Digest", r"sha256:([0-9a-f]+)")).otherwise(F.raise_error(F.lit("a record does not agree with its header")))
-    page = r"<urn:docloom:page:(-?\d+)>"
+    page = r"<urn:docloom:page:([^>]*)>"
+    target = field("WARC-Target-URI", "([^\r\n]*)")
     return head.select(
-        field("WARC-Record-ID", page).cast("long").alias("page_id"), field("X-Payload-Length", r"(\d+)").cast("long").alias("payload_bytes"),
-        digest.alias("payload_digest"), kind.alias("record_type"), field("WARC-Refers-To", page).cast("long").alias("refers_to"),
+        F.url_decode(field("WARC-Record-ID", page)).cast(id_type).alias("page_id"), field("X-Payload-Length", r"(\d+)").cast("long").alias("payload_bytes"),
+        digest.alias("payload_digest"), kind.alias("record_type"), F.url_decode(field("WARC-Refers-To", page)).cast(id_type).alias("refers_to"),
+        F.when(field("X-Target-Encoded", "(yes)").isNotNull(), F.url_decode(target)).otherwise(target).alias("url"),
     )
 
 
 def op4_warc(spark, sf_dir: str) -> DataFrame:
     path = new_folder(spark, "warc")
-    write_archive(spark.read.parquet(f"{sf_dir}/pages.parquet"), path)
-    return parsed(read_archive(spark, path))
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    write_archive(pages, path)
+    return parsed(read_archive(spark, path), pages.schema["page_id"].dataType.simpleString()).drop("url")
 
 
 def op4_sql() -> str:

@@ -49,6 +49,20 @@ def test_cells_find_every_link(seed):
     assert roots(len(sets), start + [(names[a], names[b]) for a, b in got]) == roots(len(sets), start + every)
 
 
+@pytest.mark.parametrize("seed", range(40))
+def test_samples_leave_every_link_possible(seed):
+    rng = random.Random(seed)
+    bases = [{rng.randrange(1 << 64) for _ in range(rng.randrange(8, 90))} for _ in range(3)]
+    sets = [np.array(sorted(changed(rng, rng.choice(bases), rng.randrange(0, 9), 1 << 64)), np.uint64) for _ in range(60)]
+    comp = list(range(len(sets)))
+    kept = jaccard._possible((1, 0, 0), comp, comp, [jaccard._sampled(s) for s in sets])
+    part = {sid: part for _, _, _, part, sid, _ in kept}
+    for i in comp:
+        for j in range(i):
+            if linked(sets[i], sets[j]):
+                assert i in part and part[i] == part[j]
+
+
 def texts(size, changes, seed=3):
     """A group of texts that each change some words of one base, which is not among them."""
     rng = random.Random(seed)
