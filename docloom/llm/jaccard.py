@@ -44,13 +44,13 @@ SIZE = 5
 #: The threshold as parts of OF.
 PARTS, OF = 75, 100
 #: Texts sampled to find frequent shingles, the counts from which one is frequent, and how many are sent out at most (8 bytes each).
-SAMPLE, FREQUENT, MOST_FREQUENT = 40_000, 3, 500_000
+SAMPLE, FREQUENT, MOST_FREQUENT = 20_000, 3, 500_000
 #: Postings a map task gathers before it sends blobs on.
 FLUSH = 400_000
 #: Parts into which comparisons with one leader are dealt.
 SALTS = 16
 #: Sets and shingles of a cell that one task holds; larger cells are dealt out as pairs of blocks of half as many.
-CELL_SETS, CELL_SHINGLES = 30_000, 4_000_000
+CELL_SETS, CELL_SHINGLES = 20_000, 1_000_000
 
 _POSTING = np.dtype([("token", "<u8"), ("sid", "<i8"), ("n", "<u4"), ("pos", "<u4")])
 
@@ -86,13 +86,16 @@ def _ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _frequencies(wanted: bytes):
-    """Shingles of the texts whose `at` passes the filter, and in how many texts of a batch each is."""
+    """Shingles of the texts whose `at` passes the filter, and in how many texts of a batch each is.
+
+    Only the lower half of all hashes: the order puts low ones first, so others hardly come to stand in a prefix.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = list(text_sets(batch.column("text").filter(pa.array(passes(wanted, batch.column("at").to_numpy(zero_copy_only=False))))))
             if sets:
-                token, c = np.unique(np.concatenate(sets), return_counts=True)
+                token, c = np.unique(np.concatenate([s[: np.searchsorted(s, np.uint64(1 << 63))] for s in sets]), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(c)], ["token", "c"])
 
     return run
