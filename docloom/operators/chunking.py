@@ -5,7 +5,8 @@ blocks: doc, ord, block_type (heading, paragraph, table), text and further colum
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -67,18 +68,44 @@ def structure_chunks(blocks: DataFrame, max_chars: int = 1200, separator: str =
     row = F.struct("ord", F.length("text").alias("n"), (kind != "heading").alias("content"), (kind == "table").alias("table"), "text", "char_start", "char_end")
     segments = spans.groupBy("doc", "segment").agg(F.sort_array(F.collect_list(row)).alias("rows"))
 
-    def step(acc: Column, b: Column) -> Column:
-        full = acc["content"] & (acc["chars"] + b["n"] > max_chars)
-        return F.struct(
-            F.when(full, b["n"]).otherwise(acc["chars"] + b["n"]).cast("long").alias("chars"), (b["content"] | (acc["content"] & ~full)).alias("content"),
-            (acc["group"] + F.when(full, 1).otherwise(0)).cast("int").alias("group"), F.concat(acc["groups"], F.array((acc["group"] + F.when(full, 1).otherwise(0)).cast("int"))).alias("groups"),
-        )
-
-    start = F.struct(F.lit(0).cast("long").alias("chars"), F.lit(False).alias("content"), F.lit(0).alias("group"), F.array().cast("array<int>").alias("groups"))
-    grouped = segments.withColumn("groups", F.aggregate("rows", start, step, lambda a: a["groups"]))
+    def groups(rows: pa.Array) -> pa.Array:
+        out = []
+        for blocks in rows.to_pylist():
+            chars, content, group, places = 0, False, 0, []
+            for x in blocks:
+                if content and chars + x["n"] > max_chars:
+                    chars, content, group = 0, False, group + 1
+                chars, content = chars + x["n"], content or x["content"]
+                places.append(group)
+            out.append(places)
+        return pa.array(out, pa.list_(pa.int32()))
+
+    sizes = F.transform("rows", lambda r: F.struct(r["n"].alias("n"), r["content"].alias("content")))
+    grouped = segments.withColumn("groups", F.arrow_udf(groups, "array<int>")(sizes))
     flat = grouped.select("doc", "segment", F.explode(F.arrays_zip("rows", "groups")).alias("x")).select("doc", "segment", "x.groups", "x.rows.*")
     chunks = flat.groupBy("doc", "segment", "groups").agg(
         F.min("ord").alias("ord"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ord", "text"))), lambda b: b["text"]), separator).alias("text"),
         F.min("char_start").alias("char_start"), F.max("char_end").alias("char_end"), F.bool_or("content").alias("content"), F.bool_or("table").alias("from_table"),
     ).where("content")
     return chunks.select("doc", (F.row_number().over(Window.partitionBy("doc").orderBy("ord")) - 1).cast("long").alias("chunk_index"), "char_start", "char_end", "from_table", "text")
+
+
+STRATEGIES = {"naive": "naive_fixed_size", "structure_aware": "structure_aware"}
+
+
+def chunk_documents(blocks: DataFrame, strategy: str = "structure_aware", separator: str = SEPARATOR) -> DataFrame:
+    """Chunks of blocks (with page and section_path): doc, chunk_index, strategy, text, page, section_path, char_start, char_end, from_table.
+
+    A structure-aware chunk has page and path of its first block, a fixed window those of the block it
+    overlaps most.
+    """
+    if strategy not in STRATEGIES:
+        raise ValueError(f"unknown chunking {strategy!r}; one of {', '.join(STRATEGIES)}")
+    spans = flatten(blocks, separator)
+    if strategy == "naive":
+        chunks = naive_chunks(flat_text(blocks, separator))
+        of = attribute(chunks, spans).select("doc", "chunk_index", "ord")
+        chunks = chunks.join(of, ["doc", "chunk_index"]).join(spans.select("doc", "ord", "page", "section_path", (F.col("block_type") == "table").alias("from_table")), ["doc", "ord"])
+    else:
+        chunks = structure_chunks(blocks, separator=separator).join(spans.select("doc", "char_start", "page", "section_path"), ["doc", "char_start"])
+    return chunks.select("doc", "chunk_index", F.lit(STRATEGIES[strategy]).alias("strategy"), "text", "page", "section_path", "char_start", "char_end", "from_table")

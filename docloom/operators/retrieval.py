@@ -146,19 +146,27 @@ def hybrid(first: DataFrame, second: DataFrame, k: int = 10) -> DataFrame:
     return fused.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k).drop("seen")
 
 
-def rerank(found: DataFrame, queries: DataFrame, chunks: DataFrame, k: int = 10) -> DataFrame:
-    """found scored anew by the words of the query that a chunk has; ties keep their order."""
+def rerank(found: DataFrame, queries: DataFrame, chunks: DataFrame, k: int = 10, scorer=None) -> DataFrame:
+    """found scored anew, by the words of the query that a chunk has or by scorer.score(query, text); ties keep their order."""
     texts = found.join(queries.select("query_id", "query"), "query_id").join(chunks.select("chunk_id", "text"), "chunk_id")
-    scored = texts.select("query_id", "chunk_id", F.col("rank").alias("was"), F.round(overlap_score(F.col("query"), F.col("text")), 6).alias("score"))
+    scored = texts.select("query_id", "chunk_id", F.col("rank").alias("was"), F.round(pair_score(scorer), 6).alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "was")
     return scored.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k).drop("was")
 
 
+def pair_score(scorer=None) -> Column:
+    if scorer is None:
+        return overlap_score(F.col("query"), F.col("text"))
+    scored = lambda q, t: pa.array([scorer.score(a or "", b or "") for a, b in zip(q.to_pylist(), t.to_pylist())], pa.float64())
+    return F.arrow_udf(scored, "double")("query", "text")
+
+
 STRATEGIES = ("dense", "lexical", "hybrid")
 
 
-def search(strategy: str | None, queries: DataFrame, chunks: DataFrame, k: int = 10, reranked: bool = False) -> DataFrame:
-    """One lazy plan for a strategy (default hybrid); reranking takes RERANK_POOL times k candidates."""
+def search(strategy: str | None, queries: DataFrame, chunks: DataFrame, k: int = 10, reranked: bool = False, lexical=None, scorer=None) -> DataFrame:
+    """One lazy plan for a strategy (default hybrid); reranking takes RERANK_POOL times k candidates. lexical: the English search unless another is given."""
+    lexical = lexical or english
     strategy = strategy or "hybrid"
     if strategy not in STRATEGIES:
         raise ValueError(f"unknown strategy {strategy!r}; one of {', '.join(STRATEGIES)}")
@@ -167,4 +175,70 @@ def search(strategy: str | None, queries: DataFrame, chunks: DataFrame, k: int =
         found = hybrid(dense(queries, chunks, RRF_POOL * pool), lexical(queries, chunks, RRF_POOL * pool), pool)
     else:
         found = (dense if strategy == "dense" else lexical)(queries, chunks, pool)
-    return rerank(found, queries, chunks, k) if reranked else found
+    return rerank(found, queries, chunks, k, scorer) if reranked else found
+
+
+def english_postings(chunks: DataFrame) -> DataFrame:
+    """chunk_id, lexeme and its positions, by the English analyser. Null texts have none."""
+    from docloom.functions.english import analysed
+
+    kind = chunks.schema["chunk_id"].dataType
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            of, lexemes, places = [], [], []
+            for i, text in enumerate(batch.column("text").to_pylist()):
+                held: dict[str, list[int]] = {}
+                for lexeme, at in analysed(text or ""):
+                    held.setdefault(lexeme, []).append(at)
+                of += [i] * len(held)
+                lexemes += held.keys()
+                places += held.values()
+            yield pa.RecordBatch.from_arrays([batch.column("chunk_id").take(pa.array(of, pa.int64())), pa.array(lexemes, pa.string()), pa.array(places, pa.list_(pa.int32()))], ["chunk_id", "lexeme", "positions"])
+
+    schema = T.StructType([T.StructField("chunk_id", kind), T.StructField("lexeme", T.StringType()), T.StructField("positions", T.ArrayType(T.IntegerType()))])
+    return chunks.select("chunk_id", F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
+
+
+def english(queries: DataFrame, chunks: DataFrame, k: int = 10) -> DataFrame:
+    """The k best chunks of each query (with phrases, OR and exclusions) by cover density, stemmed and without stop words.
+
+    Candidates have all lexemes that some alternative wants; queries of exclusions alone are held against
+    every chunk. Queries without lexemes find nothing.
+    """
+    from docloom.functions.english import cover_density, matches, parse_query
+
+    def needs(texts: pa.Array) -> pa.Array:
+        rows = []
+        for x in texts.to_pylist():
+            parts = parse_query(x or "")
+            rows.append([{"alternative": i, "lexemes": sorted({t for want, term in c if want for t, _ in term}), "all": sorted({t for _, term in c for t, _ in term})} for i, c in enumerate(parts)])
+        return pa.array(rows, pa.list_(pa.struct([("alternative", pa.int32()), ("lexemes", pa.list_(pa.string())), ("all", pa.list_(pa.string()))])))
+
+    def scored(texts: pa.Array, found: pa.Array) -> pa.Array:
+        out = []
+        for x, f in zip(texts.to_pylist(), found.to_pylist()):
+            query, places = parse_query(x or ""), {r["lexeme"]: r["positions"] for r in f or ()}
+            out.append(cover_density(query, places) if matches(query, places) else None)
+        return pa.array(out, pa.float64())
+
+    asked = queries.select("query_id", F.col("query").cast("string").alias("query"))
+    asked = asked.withColumn("a", F.explode(F.arrow_udf(needs, "array<struct<alternative: int, lexemes: array<string>, all: array<string>>>")("query"))).select("query_id", "query", "a.*")
+    posts = english_postings(chunks)
+    wanted = asked.where(F.size("lexemes") > 0).select("query_id", "alternative", F.size("lexemes").alias("need"), F.explode("lexemes").alias("lexeme"))
+    some = posts.join(wanted, "lexeme").groupBy("query_id", "chunk_id", "alternative", "need").agg(F.count("*").alias("have")).where("have = need").select("query_id", "chunk_id")
+    every = asked.where(F.size("lexemes") == 0)
+    some = some.unionByName(every.select("query_id").distinct().crossJoin(chunks.select("chunk_id"))).distinct()
+    lexemes = asked.select("query_id", F.explode("all").alias("lexeme")).distinct()
+    places = some.join(lexemes, "query_id").join(posts, ["chunk_id", "lexeme"], "left").groupBy("query_id", "chunk_id").agg(F.collect_list(F.when(F.col("positions").isNotNull(), F.struct("lexeme", "positions"))).alias("found"))
+    rated = places.join(asked.select("query_id", "query").distinct(), "query_id").select("query_id", "chunk_id", F.arrow_udf(scored, "double")("query", "found").alias("score"))
+    return ranked(rated.where("score IS NOT NULL").withColumn("score", F.round("score", 6)), k)
+
+
+def with_payload(found: DataFrame, chunks: DataFrame, columns: tuple[str, ...] = ("document_id", "source_document", "text", "page", "section_path", "char_start", "char_end", "from_table")) -> DataFrame:
+    """found with what chunks tell of each hit, joined after the k best are known; a null section path is an empty one."""
+    kept = [c for c in columns if c in chunks.columns]
+    joined = found.join(chunks.select("chunk_id", *kept), "chunk_id")
+    if "section_path" in kept:
+        joined = joined.withColumn("section_path", F.coalesce("section_path", F.array().cast("array<string>")))
+    return joined.select("query_id", "chunk_id", *kept, "score", "rank")

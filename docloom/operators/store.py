@@ -1,15 +1,43 @@
-"""Upsert, delete and change detection on plain tables, as joins."""
+"""Documents and their chunks: change detection, upsert, delete and replacement as joins, and a library on disk.
+
+Defined results: of incoming rows that repeat a path the one with the greatest hash counts. Null paths
+are left aside. An empty side leaves the other as it is.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+LOCAL_CHECKPOINTS = "file:///tmp/checkpoints/docloom"
 
 
 def content_hash(column) -> F.Column:
     return F.sha2(column, 256)
 
 
+def _held(df: DataFrame) -> DataFrame:
+    """df cut from its plan in the shared folder of spark.checkpoint.dir; a local one is set only on one machine."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(LOCAL_CHECKPOINTS)
+    return df.checkpoint()
+
+
+def numbered(rows: DataFrame, column: str, name: str) -> DataFrame:
+    """rows with 1, 2, ... in the order of a column, from ranges of it and their counts: no task sees all rows."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = rows.repartitionByRange(parts, column).sortWithinPartitions(column)
+    ordered = _held(ordered.select("*", F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("_at")))
+    counts = ordered.groupBy("_part").agg(F.count("*").alias("c"))
+    before = F.coalesce(F.sum("c").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = counts.select("_part", before.alias("_before"))  # a row for each range
+    return ordered.join(F.broadcast(offsets), "_part").withColumn(name, F.col("_before") + F.col("_at") + 1).drop("_part", "_at", "_before")
+
+
 def changes(incoming: DataFrame, stored: DataFrame) -> DataFrame:
     """source_path and status of incoming (source_path, content_hash): new, changed or skipped_unchanged."""
     old = stored.select("source_path", F.col("content_hash").alias("old"))
@@ -18,17 +46,129 @@ def changes(incoming: DataFrame, stored: DataFrame) -> DataFrame:
 
 
 def upsert(stored: DataFrame, incoming: DataFrame) -> DataFrame:
-    """stored (id, source_path, content_hash) with incoming's rows put in; known paths keep their id, new ones follow in order."""
-    both = stored.alias("s").join(incoming.alias("i"), "source_path", "full")
-    merged = both.select("source_path", F.col("s.id").alias("id"), F.coalesce("i.content_hash", "s.content_hash").alias("content_hash"))
-    known, new = merged.where("id IS NOT NULL"), merged.where("id IS NULL")
-    top = stored.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top"))
-    from pyspark.sql.window import Window
-
-    numbered = new.withColumn("n", F.row_number().over(Window.orderBy("source_path"))).crossJoin(F.broadcast(top)).withColumn("id", F.col("top") + F.col("n"))
-    return known.unionByName(numbered.select("source_path", "id", "content_hash"))
+    """stored (id, source_path, content_hash) with incoming's rows put in; known paths keep their id, new ones follow in the order of paths."""
+    latest = incoming.where("source_path IS NOT NULL").groupBy("source_path").agg(F.max("content_hash").alias("content_hash"))
+    both = stored.alias("s").join(latest.alias("i"), "source_path", "full")
+    merged = both.select("source_path", F.col("s.id").cast("long").alias("id"), F.coalesce("i.content_hash", "s.content_hash").alias("content_hash"))
+    known, new = merged.where("id IS NOT NULL"), merged.where("id IS NULL").select("source_path", "content_hash")
+    top = stored.agg(F.coalesce(F.max("id"), F.lit(0)).cast("long").alias("top"))
+    fresh = numbered(new, "source_path", "n").crossJoin(F.broadcast(top)).select("source_path", (F.col("top") + F.col("n")).cast("long").alias("id"), "content_hash")
+    return known.unionByName(fresh)
 
 
 def delete(table: DataFrame, gone: DataFrame, key: str) -> DataFrame:
-    """table without the rows whose key is in gone; for chunks this is the cascade."""
+    """table without the rows whose key is in gone."""
     return table.join(gone.select(key), key, "left_anti")
+
+
+def cascade(documents: DataFrame, chunks: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """documents (id, source_path) without the paths in gone, and chunks (document_id) without those of such documents."""
+    ids = documents.join(gone.select("source_path").distinct(), "source_path", "left_semi").select(F.col("id").alias("document_id"))
+    return delete(documents, gone, "source_path"), delete(chunks, ids, "document_id")
+
+
+def replace_chunks(stored: DataFrame, incoming: DataFrame) -> DataFrame:
+    """stored chunks, where those of every document in incoming (document_id, ...) are the incoming ones; other documents keep theirs."""
+    return delete(stored, incoming.select("document_id").distinct(), "document_id").unionByName(incoming)
+
+
+DOCUMENTS = """id bigint, source_path string, doc_type string, content_hash string, pages_total int, pages_processed int, pages_needing_ocr int, pages_ocr_recovered int,
+tables_found int, chars_recovered bigint, extraction_failures array<string>, ingested_at timestamp, updated_at timestamp, version bigint, deleted boolean"""
+CHUNKS = """id bigint, document_id bigint, chunk_index bigint, strategy string, text string, page int, section_path array<string>, char_start bigint, char_end bigint,
+from_table boolean, embedding array<float>, version bigint"""
+
+
+class Library:
+    """Two append-only Parquet tables under one path, for one writer at a time.
+
+    A document's rows are versions; the latest counts, unless it says deleted. Chunks count if their
+    document's latest version is theirs, so writing the documents, which comes last, publishes both.
+    """
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+        for name, schema in (("documents", DOCUMENTS), ("chunks", CHUNKS)):
+            try:
+                self.spark.read.parquet(f"{self.path}/{name}").schema  # noqa: B018 - looks whether it is there
+            except Exception as wrong:  # noqa: BLE001
+                if "PATH_NOT_FOUND" not in str(wrong) and "UNABLE_TO_INFER_SCHEMA" not in str(wrong):
+                    raise
+                spark.createDataFrame([], schema).write.mode("append").parquet(f"{self.path}/{name}")
+
+    def _rows(self, name: str) -> DataFrame:
+        return self.spark.read.schema(DOCUMENTS if name == "documents" else CHUNKS).parquet(f"{self.path}/{name}")
+
+    def _current(self) -> DataFrame:
+        rows = self._rows("documents")
+        latest = rows.groupBy("source_path").agg(F.max("version").alias("version"))
+        return rows.join(latest, ["source_path", "version"]).where("NOT deleted")
+
+    def documents(self) -> DataFrame:
+        return self._current().drop("version", "deleted")
+
+    def document(self, document_id: int) -> DataFrame:
+        """The document of an id; no row where there is none."""
+        return self.documents().where(F.col("id") == document_id)
+
+    def chunks(self) -> DataFrame:
+        owners = self._current().select(F.col("id").alias("document_id"), "version", F.col("source_path").alias("source_document"))
+        return self._rows("chunks").join(owners, ["document_id", "version"]).drop("version")
+
+    def count_chunks(self, document_id: int | None = None) -> int:
+        rows = self.chunks()
+        return (rows if document_id is None else rows.where(F.col("document_id") == document_id)).count()
+
+    def _next_version(self) -> int:
+        return (self._rows("documents").agg(F.max("version")).first()[0] or 0) + 1
+
+    def delete(self, source_path: str) -> bool:
+        """Whether there was such a document; its chunks go with it."""
+        found = self._current().where(F.col("source_path") == source_path)
+        if found.isEmpty():
+            return False
+        gone = _held(found.withColumn("version", F.lit(self._next_version()).cast("long")).withColumn("deleted", F.lit(True)))
+        self._append(gone, "documents", DOCUMENTS)
+        return True
+
+    def _append(self, rows: DataFrame, name: str, schema: str) -> None:
+        names = [x.split()[0] for x in schema.replace("\n", " ").split(", ")]
+        rows.select(*names).write.mode("append").parquet(f"{self.path}/{name}")
+
+    def ingest(self, files: DataFrame, embedder, ocr=None) -> DataFrame:
+        """Takes files (source_path, content) in: source_path, status (indexed, skipped_unchanged or failed), document_id, chunks_indexed and reason.
+
+        Unchanged files cost a hash; a changed one replaces only its own chunks; one that fails leaves what
+        is stored as it is. Of rows that repeat a path one is taken.
+        """
+        from docloom.operators.chunking import chunk_documents
+        from docloom.operators.extraction import blocks_of, extract
+        from docloom.operators.models import embedded
+
+        version = self._next_version()
+        files = files.dropDuplicates(["source_path"])
+        hashed = _held(files.select("source_path", content_hash(F.col("content")).alias("content_hash")))
+        known = _held(self._current().select("source_path", "id", F.col("content_hash").alias("old"), F.col("ingested_at").alias("since")))
+        state = hashed.join(known, "source_path", "left")
+        skipped = state.where("old = content_hash").select("source_path")
+        work = _held(extract(files.join(skipped, "source_path", "left_anti"), ocr=ocr))
+        good = work.where(F.size("blocks") > 0)
+        new = numbered(good.join(known, "source_path", "left_anti").select("source_path"), "source_path", "n")
+        top = self._rows("documents").agg(F.coalesce(F.max("id"), F.lit(0)).alias("top"))
+        ids = known.select("source_path", "id", "since").unionByName(new.crossJoin(F.broadcast(top)).select("source_path", (F.col("top") + F.col("n")).alias("id"), F.lit(None).cast("timestamp").alias("since")))
+        ids = _held(ids)
+        chunks = chunk_documents(blocks_of(good))
+        chunks = embedded(chunks.join(ids.select(F.col("source_path").alias("doc"), F.col("id").alias("document_id")), "doc"), "text", embedder)
+        base = self._rows("chunks").agg(F.coalesce(F.max("id"), F.lit(0)).alias("base"))
+        chunks = numbered(chunks.withColumn("_order", F.struct("document_id", "chunk_index")), "_order", "n").crossJoin(F.broadcast(base)).withColumn("id", F.col("base") + F.col("n"))
+        self._append(chunks.withColumn("version", F.lit(version).cast("long")), "chunks", CHUNKS)
+        written = self._rows("chunks").where(F.col("version") == version).groupBy("document_id").agg(F.count("*").cast("int").alias("chunks_indexed"))
+        now = F.current_timestamp()
+        documents = good.join(ids, "source_path").select("id", "source_path", "doc_type", "content_hash", "quality.*", F.coalesce("since", now).alias("ingested_at"), now.alias("updated_at"), F.lit(version).cast("long").alias("version"), F.lit(False).alias("deleted"))
+        self._append(documents, "documents", DOCUMENTS)
+        done = good.join(ids, "source_path").select("source_path", F.col("id").alias("document_id")).join(written, "document_id", "left")
+        report = done.select("source_path", F.lit("indexed").alias("status"), "document_id", F.coalesce("chunks_indexed", F.lit(0)).alias("chunks_indexed"), F.lit(None).cast("string").alias("reason"))
+        nothing = [F.lit(None).cast("long").alias("document_id"), F.lit(0).alias("chunks_indexed")]
+        failures = F.array_join("quality.extraction_failures", ", ")
+        failed = work.where(F.size("blocks") == 0).select("source_path", F.lit("failed").alias("status"), *nothing, F.when(F.col("content_hash").isNull(), failures).otherwise(F.concat(F.lit("extraction_failed: "), failures)).alias("reason"))
+        same = skipped.select("source_path", F.lit("skipped_unchanged").alias("status"), *nothing, F.lit(None).cast("string").alias("reason"))
+        return report.unionByName(failed).unionByName(same)
