@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from docloom.functions import text as fx
-from docloom.operators import answering, chunking, detection, evaluation, retrieval, store
+from docloom.operators import answering, chunking, detection, evaluation, extraction, layout, retrieval, store
 from docloom.sources.html import html_blocks
 
 
@@ -40,15 +40,24 @@ def lexical_simple_topk(spark, d):
     return retrieval.lexical(_words_queries(spark, d), _chunks(spark, d), 10)
 
 
-def _two_lists(spark, d):
-    """Of each query and of its counterpart, counted from the other end of the queries."""
-    found = retrieval.dense(*_vectors(spark, d), 20)
-    last = _t(spark, d, "embeddings").where(SEARCHED).agg(F.max("vec_id").alias("last"))
-    return found, found.crossJoin(F.broadcast(last)).select((F.col("last") - F.col("query_id")).alias("query_id"), "chunk_id", "rank")
+def _by_text(spark, d):
+    """For each vector that is searched for the whole text of the document of its id."""
+    return _t(spark, d, "embeddings").where(SEARCHED).join(_t(spark, d, "documents"), F.col("vec_id") == F.col("doc_id")).select(F.col("vec_id").alias("query_id"), F.col("text").alias("query"))
 
 
 def hybrid_rrf(spark, d):
-    return retrieval.hybrid(*_two_lists(spark, d), 10)
+    """Dense hits of a vector, fused with the lexical hits of the whole text of the document of its id."""
+    return retrieval.hybrid(retrieval.dense(*_vectors(spark, d), 40), retrieval.lexical(_by_text(spark, d), _chunks(spark, d), 40), 10)
+
+
+def english_topk(spark, d):
+    return retrieval.english(_words_queries(spark, d), _chunks(spark, d), 10)
+
+
+def retrieved_payload(spark, d):
+    """The best vectors with the document of their id, joined after the best are known."""
+    owners = _t(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("doc_id").alias("document_id"), F.col("source").alias("source_document"), "text")
+    return retrieval.with_payload(retrieval.dense(*_vectors(spark, d), 10), owners)
 
 
 def rerank_topk(spark, d):
@@ -115,7 +124,9 @@ def naive_chunk_attribution(spark, d):
 
 
 def structure_chunks(spark, d):
-    return chunking.structure_chunks(_blocks(spark, d), 1200, "\n").select("doc", "chunk_index", "char_start", "char_end", "from_table", F.sha2("text", 256).alias("text_sha256"))
+    """Every ninth line counts as a heading and every eleventh as a table."""
+    kind = F.when(F.col("ord") % 9 == 0, "heading").when(F.col("ord") % 11 == 0, "table").otherwise("paragraph")
+    return chunking.structure_chunks(_blocks(spark, d).withColumn("block_type", kind), 1200, "\n").select("doc", "chunk_index", "char_start", "char_end", "from_table", F.sha2("text", 256).alias("text_sha256"))
 
 
 def _paths(spark, d):
@@ -137,9 +148,106 @@ def upsert_documents(spark, d):
     return store.upsert(stored, _paths(spark, d).select("source_path", "content_hash"))
 
 
+def _two_tables(spark, d):
+    """Documents by path, and their lines as chunks."""
+    documents = _t(spark, d, "documents").select((F.col("doc_id") + 1).alias("id"), F.format_string("doc-%d", "doc_id").alias("source_path"), "lang")
+    chunks = _blocks(spark, d).select((F.col("doc") + 1).alias("document_id"), F.col("ord").alias("chunk_index"), "text")
+    gone = _t(spark, d, "labels").where("quality = 0").select(F.format_string("doc-%d", "doc_id").alias("source_path"))
+    return documents, chunks, gone
+
+
 def cascade_delete(spark, d):
-    gone = _t(spark, d, "labels").where("quality = 0").select("doc_id").distinct()
-    return store.delete(_t(spark, d, "documents").select("doc_id", "lang", "source"), gone, "doc_id")
+    """What is left of both tables: each document with the number of its chunks, and chunks without document."""
+    documents, chunks = store.cascade(*_two_tables(spark, d))
+    left = chunks.groupBy(F.col("document_id").alias("id")).agg(F.count("*").alias("n_chunks"))
+    return documents.join(left, "id", "full").select("id", "source_path", F.coalesce("n_chunks", F.lit(0)).alias("n_chunks"))
+
+
+def replace_chunks(spark, d):
+    """Documents of quality 0 get one chunk of their language; others keep theirs."""
+    documents, chunks, changed = _two_tables(spark, d)
+    new = documents.join(changed.distinct(), "source_path").select(F.col("id").alias("document_id"), F.lit(0).cast("long").alias("chunk_index"), F.coalesce("lang", F.lit("")).alias("text"))
+    return store.replace_chunks(chunks, new).select("document_id", "chunk_index", F.sha2("text", 256).alias("text_sha256"))
+
+
+def chunk_count(spark, d):
+    return _blocks(spark, d).agg(F.count("*").alias("n"))
+
+
+def _laid_out(spark, d):
+    """Lines of documents as spans of pages of twelve, in one column or two; on odd pages a table covers the fourth line."""
+    page, at = F.floor(F.col("ord") / 12) + 1, F.col("ord") % 12
+    two = (F.col("doc") + page) % 2 == 0
+    x0 = F.when(two & (F.col("ord") % 2 == 1), 420.0).otherwise(40.0)
+    spans = _blocks(spark, d).select(
+        "doc", page.cast("int").alias("page"), at.cast("int").alias("block"), F.lit(0).alias("line"), F.lit(0).alias("span"), "text", F.when(F.col("ord") % 5 == 0, 14.0).otherwise(10.0).alias("size"),
+        x0.alias("x0"), (40 + 50 * at).cast("double").alias("y0"), F.when(two, x0 + 150).otherwise(F.lit(560.0)).alias("x1"), (50 + 50 * at).cast("double").alias("y1"),
+    )
+    pages = spans.select("doc", "page", F.lit(600.0).alias("width")).distinct()
+    tables = pages.where("page % 2 = 1").select("doc", "page", F.lit(0.0).alias("x0"), F.lit(185.0).alias("y0"), F.lit(600.0).alias("x1"), F.lit(205.0).alias("y1"), F.array(F.array(F.lit("k "), F.lit(None).cast("string")), F.array(F.lit(" "), F.lit(""))).alias("rows"))
+    return spans, tables, pages
+
+
+def pdf_median_size(spark, d):
+    return layout.median_sizes(_laid_out(spark, d)[0])
+
+
+def pdf_text_items(spark, d):
+    spans = _laid_out(spark, d)[0]
+    return layout.with_headings(layout.text_blocks(spans), layout.median_sizes(spans)).select("doc", "page", "block", F.sha2("text", 256).alias("text_sha256"), "is_heading")
+
+
+def pdf_outside_tables(spark, d):
+    spans, tables, _ = _laid_out(spark, d)
+    return layout.outside_tables(layout.text_blocks(spans), tables).select("doc", "page", "block")
+
+
+def pdf_gutters(spark, d):
+    spans, _, pages = _laid_out(spark, d)
+    return layout.gutters(layout.text_blocks(spans), pages)
+
+
+def pdf_reading_order(spark, d):
+    spans, tables, pages = _laid_out(spark, d)
+    return layout.reading_order(layout.page_items(spans, tables), pages).select("doc", "page", "kind", "seq", "place")
+
+
+def pdf_pages_to_recognise(spark, d):
+    spans, tables, pages = _laid_out(spark, d)
+    return layout.pages_to_recognise(layout.page_items(spans, tables), pages)
+
+
+def pdf_block_rows(spark, d):
+    rows = layout.pdf_blocks(*_laid_out(spark, d))
+    return rows.select("doc", "ord", "page", "block_type", F.sha2("text", 256).alias("text_sha256"), F.array_join("section_path", "/").alias("section"), F.sha2("caption", 256).alias("caption_sha256"))
+
+
+#: What XML cannot hold.
+_CONTROL = "[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\ufffe\uffff]"
+
+
+def docx_block_rows(spark, d):
+    """Documents written as DOCX, their first line as a heading and a table after every fourth document, and read back."""
+    import pyarrow as pa
+
+    from docloom.sources.docx import write_docx
+
+    def made(keys, lines):
+        out = []
+        for key, texts in zip(keys.to_pylist(), lines.to_pylist()):
+            out.append(write_docx([*[(1, t) if i == 0 else t for i, t in enumerate(texts)], *([[["id", str(key)], ["", "x"]]] if key % 4 == 0 else [])]))
+        return pa.array(out, pa.binary())
+
+    lines = _blocks(spark, d).withColumn("text", F.regexp_replace("text", _CONTROL, "")).groupBy("doc").agg(F.transform(F.sort_array(F.collect_list(F.struct("ord", "text"))), lambda x: x["text"]).alias("lines"))
+    found = extraction.extract(lines.select(F.col("doc").cast("string").alias("source_path"), F.arrow_udf(made, "binary")("doc", "lines").alias("content")))
+    return extraction.blocks_of(found).select(F.col("doc").cast("long").alias("doc"), "ord", "block_type", F.sha2("text", 256).alias("text_sha256"), F.sha2(F.array_join("section_path", "/"), 256).alias("section_sha256"), F.sha2("caption", 256).alias("caption_sha256"))
+
+
+def naive_extraction(spark, d):
+    """Each document as a file, taken as one flat text."""
+    files = _t(spark, d, "documents").select(F.col("doc_id").cast("string").alias("source_path"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("content"))
+    found = extraction.extract(files, "naive")
+    return found.select(F.col("source_path").cast("long").alias("doc_id"), "doc_type", F.size("blocks").cast("long").alias("n_blocks"), "quality.chars_recovered", F.size("quality.extraction_failures").cast("long").alias("n_failures"))
 
 
 def html_detect(spark, d):
@@ -149,7 +257,7 @@ def html_detect(spark, d):
 
 def text_detect(spark, d):
     got = detection.detect(F.encode(F.coalesce("text", F.lit("")), "UTF-8"))
-    return _t(spark, d, "documents").select("doc_id", got.alias("x")).groupBy("x.doc_type").agg(F.count("*").alias("n"))
+    return _t(spark, d, "documents").select("doc_id", got.alias("x")).select("doc_id", "x.doc_type", F.round("x.confidence", 3).alias("confidence"))
 
 
 def html_block_rows(spark, d):
@@ -174,7 +282,9 @@ def nearest_rank_percentile(spark, d):
 
 
 def quality_rollup(spark, d):
-    return _blocks(spark, d).groupBy("doc").agg(F.sum(F.length("text")).cast("long").alias("chars_recovered"), F.count("*").alias("n_blocks"), F.count_if(F.col("block_type") == "table").alias("tables_found"))
+    """Of documents laid out as pages: characters, blocks and tables."""
+    rows = layout.pdf_blocks(*_laid_out(spark, d))
+    return rows.groupBy("doc").agg(F.sum(F.length("text")).cast("long").alias("chars_recovered"), F.count("*").alias("n_blocks"), F.count_if(F.col("block_type") == "table").alias("tables_found"))
 
 
 def doc_counts(spark, d):
@@ -188,23 +298,26 @@ def doc_list(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        dense_topk, lexical_simple_topk, hybrid_rrf, rerank_topk, sentences, word_overlap, ground_sentences, prompt, flatten_spans, naive_chunks, naive_chunk_attribution, structure_chunks,
+        english_topk, retrieved_payload, replace_chunks, chunk_count, pdf_median_size, pdf_text_items, pdf_outside_tables, pdf_gutters, pdf_reading_order, pdf_pages_to_recognise, pdf_block_rows,
+        docx_block_rows, naive_extraction, dense_topk, lexical_simple_topk, hybrid_rrf, rerank_topk, sentences, word_overlap, ground_sentences, prompt, flatten_spans, naive_chunks, naive_chunk_attribution, structure_chunks,
         content_hash_diff, upsert_documents, cascade_delete, html_detect, text_detect, html_block_rows, caption_flags, hit_and_mrr, nearest_rank_percentile, quality_rollup, doc_counts, doc_list,
     )
 }
 
-_DENSE = """p AS (SELECT q.vec_id AS query_id, c.vec_id AS chunk_id, round(list_cosine_similarity(c.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS score FROM embeddings c, embeddings q WHERE q.vec_id < 10),
+_DENSE = """p AS (SELECT q.vec_id AS query_id, c.vec_id AS chunk_id, round(list_cosine_similarity(c.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS score FROM embeddings c, embeddings q WHERE q.vec_id % 20 = 0),
 dense AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM p)"""
 _TERMS = "regexp_extract_all(lower(coalesce({}, '')), '[a-z0-9]+')"
-_LEXICAL = f"""q AS (SELECT item_id AS query_id, list_distinct({_TERMS.format('text')}[1:3]) AS t, array_to_string({_TERMS.format('text')}[1:3], ' ') AS query FROM benchmark),
+_ANY_LEXICAL = f"""q AS (SELECT item_id AS query_id, list_distinct({_TERMS.format('text')}) AS t, text AS query FROM {{asked}}),
 w AS (SELECT query_id, len(t) AS need, unnest(t) AS lexeme FROM q),
 post AS (SELECT doc_id AS chunk_id, lexeme, count(*) AS tf FROM (SELECT doc_id, unnest({_TERMS.format('text')}) AS lexeme FROM documents) GROUP BY ALL),
 hits AS (SELECT query_id, chunk_id, round(0.1::DOUBLE * sum(tf), 6) AS score FROM post JOIN w USING (lexeme) GROUP BY query_id, chunk_id, need HAVING count(*) = need),
 lexical AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM hits)"""
-_ANSWERS = """a AS (SELECT conv_id AS query_id, arg_max(text, turn) AS answer FROM conversations WHERE role = 'assistant' GROUP BY conv_id),
+_LEXICAL = _ANY_LEXICAL.format(asked="benchmark")
+_LEXICAL_BY_TEXT = _ANY_LEXICAL.format(asked="(SELECT vec_id AS item_id, text FROM embeddings JOIN documents ON doc_id = vec_id WHERE vec_id % 20 = 0)")
+_ANSWERS = """a AS (SELECT conv_id AS query_id, turn, text AS answer FROM conversations WHERE role = 'assistant'),
 g AS (SELECT conv_id AS query_id, turn + 1 AS rank, text FROM conversations WHERE role = 'user')"""
-_SENTENCES = r"""x AS (SELECT query_id, list_filter(string_split(regexp_replace(trim(coalesce(answer, ''), ' ' || chr(9) || chr(10) || chr(13)), '([.!?])\s+([A-Z0-9])', '\1' || chr(31) || '\2', 'g'), chr(31)), lambda s: s <> '') AS l FROM a),
-s AS (SELECT query_id, unnest(range(len(l))) AS i, unnest(l) AS sentence FROM x)"""
+_SENTENCES = r"""x AS (SELECT query_id, turn, list_filter(string_split(regexp_replace(trim(coalesce(answer, ''), ' ' || chr(9) || chr(10) || chr(13)), '([.!?])\s+([A-Z0-9])', '\1' || chr(31) || '\2', 'g'), chr(31)), lambda s: s <> '') AS l FROM a),
+s AS (SELECT query_id, turn, unnest(range(len(l))) AS i, unnest(l) AS sentence FROM x)"""
 
 
 def _overlap(a: str, b: str) -> str:
@@ -218,19 +331,46 @@ b AS (SELECT doc, unnest(range(len(l))) AS ord, unnest(l) AS text FROM l),
 f AS (SELECT *, coalesce(sum(length(text) + 1) OVER (PARTITION BY doc ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS char_start FROM b)"""
 _WINDOWS = "SELECT doc, text, s AS char_start, least(s + 1000, length(text)) AS char_end, substr(text, s + 1, 1000) AS part FROM (SELECT doc, text, unnest(range(0, CASE WHEN length(text) <= 1000 THEN 1 ELSE ceil((length(text) - 1000) / 900.0)::BIGINT * 900 + 1 END, 900)) AS s FROM {})"
 
+_STORED = """p AS (SELECT doc_id, 'doc-' || doc_id AS source_path, sha256(text) AS h FROM documents),
+s AS (SELECT p.doc_id + 1 AS id, source_path, CASE WHEN min(quality) = 0 THEN 'old' ELSE h END AS h FROM p JOIN labels USING (doc_id) GROUP BY p.doc_id, source_path, h)"""
+_LAID_OUT = r"""sp AS (SELECT *, x0 + CASE WHEN two THEN 150 ELSE 520 END AS x1, y0 + 10 AS y1 FROM (SELECT doc, ord, (ord // 12 + 1)::INT AS page, (ord % 12)::INT AS block, (doc + ord // 12 + 1) % 2 = 0 AS two,
+  trim(regexp_replace(text, '[\s\x1c-\x1f\x85\p{Z}]+', ' ', 'g')) AS text, CASE WHEN ord % 5 = 0 THEN 14.0::DOUBLE ELSE 10.0::DOUBLE END AS size, CASE WHEN two AND ord % 2 = 1 THEN 420 ELSE 40 END AS x0, 40 + 50 * (ord % 12) AS y0 FROM b)),
+md AS (SELECT doc, median(size) AS m FROM sp GROUP BY doc),
+th AS (SELECT sp.*, size >= m * 1.15 AND len(string_split(text, ' ')) <= 15 AND NOT regexp_matches(text, '[.,;]$') AS is_heading, page % 2 = 1 AND block = 3 AS inside FROM sp JOIN md USING (doc)),
+it AS (SELECT doc, page, 'text' AS kind, block::BIGINT AS seq, text, is_heading, x0, x1, y0 FROM th WHERE NOT inside
+  UNION ALL SELECT DISTINCT doc, page, 'table', 0, 'k | ', false, 0, 600, 185 FROM sp WHERE page % 2 = 1),
+gu AS (SELECT doc, page, CASE WHEN NOT bool_or(x0 < 390 AND x1 > 210) AND bool_or(x1 <= 210) AND bool_or(x0 >= 390) THEN 300.0::DOUBLE END AS gutter FROM it GROUP BY ALL),
+ro AS (SELECT it.*, row_number() OVER (PARTITION BY doc, page ORDER BY CASE WHEN gutter IS NULL OR (x0 + x1) / 2.0 < gutter THEN 0 ELSE 1 END, y0, x0, kind, seq) AS place FROM it JOIN gu USING (doc, page)),
+o AS (SELECT *, row_number() OVER w - 1 AS ord, CASE WHEN kind = 'table' THEN 'table' WHEN is_heading THEN 'heading' ELSE 'paragraph' END AS block_type FROM ro WINDOW w AS (PARTITION BY doc ORDER BY page, place)),
+q AS (SELECT *, block_type = 'paragraph' AND regexp_matches(text, '(?i)^(table|figure|fig\.)\s*\d+') AS says FROM o),
+bl AS (SELECT *, last_value(CASE WHEN block_type = 'heading' THEN text END IGNORE NULLS) OVER (PARTITION BY doc ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS section,
+  lag(says) OVER w AS said, lag(text) OVER w AS before, coalesce(lead(block_type) OVER w = 'table', false) AS table_next FROM q WINDOW w AS (PARTITION BY doc ORDER BY ord)),
+rows_ AS (SELECT * FROM bl WHERE NOT (says AND table_next))"""
+_LAYOUT = {
+    "pdf_median_size": "SELECT doc, m AS median_size FROM md",
+    "pdf_text_items": "SELECT doc, page, block, sha256(text) AS text_sha256, is_heading FROM th WHERE text <> ''",
+    "pdf_outside_tables": "SELECT doc, page, block FROM th WHERE NOT inside AND text <> ''",
+    "pdf_gutters": "SELECT doc, page, CASE WHEN NOT bool_or(x0 < 390 AND x1 > 210) AND bool_or(x1 <= 210) AND bool_or(x0 >= 390) THEN 300.0::DOUBLE END AS gutter FROM sp GROUP BY doc, page",
+    "pdf_reading_order": "SELECT doc, page, kind, seq, place FROM ro",
+    "pdf_pages_to_recognise": "SELECT doc, page FROM it GROUP BY doc, page HAVING sum(CASE WHEN kind = 'text' THEN length(text) ELSE 0 END) < 20",
+    "pdf_block_rows": "SELECT doc, ord, page, block_type, sha256(text) AS text_sha256, coalesce(section, '') AS section, CASE WHEN block_type = 'table' AND said THEN sha256(before) END AS caption_sha256 FROM rows_",
+    "quality_rollup": "SELECT doc, sum(length(text))::BIGINT AS chars_recovered, count(*) AS n_blocks, count(*) FILTER (block_type = 'table') AS tables_found FROM rows_ GROUP BY doc",
+}
+
 ORACLES = {
     "dense_topk": f"WITH {_DENSE} SELECT query_id, chunk_id, score, rank FROM dense WHERE rank <= 10",
     "lexical_simple_topk": f"WITH {_LEXICAL} SELECT query_id, chunk_id, score, rank FROM lexical WHERE rank <= 10",
-    "hybrid_rrf": f"""WITH {_DENSE}, u AS (SELECT query_id, chunk_id, rank, 0 AS src FROM dense WHERE rank <= 20 UNION ALL SELECT 9 - query_id, chunk_id, rank, 1 FROM dense WHERE rank <= 20),
+    "hybrid_rrf": f"""WITH {_DENSE}, {_LEXICAL_BY_TEXT}, u AS (SELECT query_id, chunk_id, rank, 0 AS src FROM dense WHERE rank <= 40 UNION ALL SELECT query_id, chunk_id, rank, 1 FROM lexical WHERE rank <= 40),
 h AS (SELECT query_id, chunk_id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score, min(src * 1000000 + rank) AS seen FROM u GROUP BY ALL),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, seen) AS rank FROM h) SELECT query_id, chunk_id, score, rank FROM r WHERE rank <= 10""",
+    "retrieved_payload": f"""WITH {_DENSE} SELECT query_id, chunk_id, doc_id AS document_id, source AS source_document, text, score, rank FROM dense JOIN documents ON doc_id = chunk_id WHERE rank <= 10""",
     "rerank_topk": f"""WITH {_LEXICAL}, c AS (SELECT l.query_id, l.chunk_id, l.rank AS was, {_overlap('q.query', 'd.text')} AS score FROM lexical l JOIN q USING (query_id) JOIN documents d ON d.doc_id = l.chunk_id WHERE l.rank <= 15),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, was) AS rank FROM c) SELECT query_id, chunk_id, score, rank FROM r WHERE rank <= 5""",
-    "sentences": f"WITH {_ANSWERS}, {_SENTENCES} SELECT query_id, i, sentence FROM s",
-    "word_overlap": f"WITH {_ANSWERS} SELECT query_id, rank, {_overlap('answer', 'text')} AS score FROM a JOIN g USING (query_id)",
-    "ground_sentences": f"""WITH {_ANSWERS}, {_SENTENCES}, z AS (SELECT s.query_id, s.i, s.sentence, g.rank, coalesce({_overlap('s.sentence', 'g.text')}, 0) AS score FROM s LEFT JOIN g USING (query_id)),
-r AS (SELECT *, row_number() OVER (PARTITION BY query_id, i ORDER BY score DESC, rank) AS place FROM z)
-SELECT query_id, i, sentence, max(score) AS support_score, count(*) FILTER (score >= 0.4 AND rank IS NOT NULL) AS n_citations, count(*) FILTER (score >= 0.4 AND rank IS NOT NULL) > 0 AS grounded FROM r WHERE place <= 2 GROUP BY query_id, i, sentence""",
+    "sentences": f"WITH {_ANSWERS}, {_SENTENCES} SELECT query_id, turn, i, sentence FROM s",
+    "word_overlap": f"WITH {_ANSWERS} SELECT query_id, turn, rank, {_overlap('answer', 'text')} AS score FROM a JOIN g USING (query_id) WHERE rank <= turn",
+    "ground_sentences": f"""WITH {_ANSWERS}, {_SENTENCES}, z AS (SELECT s.query_id, s.turn, s.i, s.sentence, g.rank, coalesce({_overlap('s.sentence', 'g.text')}, 0) AS score FROM s LEFT JOIN g ON g.query_id = s.query_id AND g.rank <= s.turn),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id, turn, i ORDER BY score DESC, rank) AS place FROM z)
+SELECT query_id, turn, i, sentence, max(score) AS support_score, count(*) FILTER (score >= 0.4 AND rank IS NOT NULL) AS n_citations, count(*) FILTER (score >= 0.4 AND rank IS NOT NULL) > 0 AS grounded FROM r WHERE place <= 2 GROUP BY query_id, turn, i, sentence""",
     "prompt": f"""WITH {_ANSWERS}, f AS (SELECT conv_id AS query_id, arg_min(text, turn) AS query FROM conversations GROUP BY conv_id),
 p AS (SELECT query_id, string_agg('[' || rank || '] (talk)' || chr(10) || text, chr(10) || chr(10) ORDER BY rank) AS t FROM g GROUP BY query_id)
 SELECT query_id, 'Answer from the passages only.' || chr(10) || chr(10) || coalesce(t, '') || chr(10) || chr(10) || 'Question: ' || query AS prompt FROM f LEFT JOIN p USING (query_id)""",
@@ -240,23 +380,38 @@ SELECT query_id, 'Answer from the passages only.' || chr(10) || chr(10) || coale
 c AS (SELECT doc, char_start, char_end, row_number() OVER (PARTITION BY doc ORDER BY char_start) - 1 AS chunk_index FROM w WHERE trim(part, {_SPACE}) <> ''),
 r AS (SELECT c.*, f.ord, row_number() OVER (PARTITION BY c.doc, c.chunk_index ORDER BY least(c.char_end, f.char_start + length(f.text)) - greatest(c.char_start, f.char_start) DESC, f.ord) AS k FROM c JOIN f ON c.doc = f.doc)
 SELECT doc, chunk_index, char_start, char_end, ord FROM r WHERE k = 1""",
-    "structure_chunks": f"""WITH RECURSIVE {_BLOCKS}, fold AS (SELECT doc, ord, length(text) AS chars, 0 AS gid FROM b WHERE ord = 0
-UNION ALL SELECT b.doc, b.ord, CASE WHEN fold.chars + length(b.text) > 1200 THEN length(b.text) ELSE fold.chars + length(b.text) END, fold.gid + (fold.chars + length(b.text) > 1200)::INT FROM fold JOIN b ON b.doc = fold.doc AND b.ord = fold.ord + 1)
-SELECT doc, gid::BIGINT AS chunk_index, min(char_start) AS char_start, max(char_start + length(text)) AS char_end, false AS from_table, sha256(string_agg(text, chr(10) ORDER BY ord)) AS text_sha256 FROM fold JOIN f USING (doc, ord) GROUP BY doc, gid""",
-    "content_hash_diff": "SELECT 'doc-' || doc_id AS source_path, CASE doc_id % 3 WHEN 0 THEN 'skipped_unchanged' WHEN 1 THEN 'changed' ELSE 'new' END AS status FROM documents",
-    "upsert_documents": """WITH p AS (SELECT doc_id, 'doc-' || doc_id AS source_path, sha256(text) AS h FROM documents), s AS (SELECT doc_id + 1 AS id, source_path FROM p WHERE doc_id % 2 = 0), i AS (SELECT source_path, h FROM p WHERE doc_id % 3 = 0),
-m AS (SELECT source_path, id, coalesce(h, 'old') AS content_hash FROM s FULL JOIN i USING (source_path))
-SELECT source_path, id, content_hash FROM m WHERE id IS NOT NULL UNION ALL SELECT source_path, (SELECT max(id) FROM s) + row_number() OVER (ORDER BY source_path), content_hash FROM m WHERE id IS NULL""",
-    "cascade_delete": "SELECT doc_id, lang, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 0)",
+    "structure_chunks": f"""WITH RECURSIVE {_BLOCKS}, k AS (SELECT doc, ord, length(text) AS n, CASE WHEN ord % 9 = 0 THEN 'heading' WHEN ord % 11 = 0 THEN 'table' ELSE 'paragraph' END AS kind FROM b),
+fold AS (SELECT doc, ord, kind, n AS chars, kind <> 'heading' AS content, 0 AS gid FROM k WHERE ord = 0
+UNION ALL SELECT k.doc, k.ord, k.kind, CASE WHEN fresh THEN k.n ELSE fold.chars + k.n END, CASE WHEN fresh THEN k.kind <> 'heading' ELSE true END, fold.gid + fresh::INT
+FROM fold JOIN k ON k.doc = fold.doc AND k.ord = fold.ord + 1, LATERAL (SELECT k.kind <> 'paragraph' OR fold.kind = 'table' OR (fold.content AND fold.chars + k.n > 1200) AS fresh)),
+c AS (SELECT doc, gid, min(char_start) AS char_start, max(char_start + length(text)) AS char_end, bool_or(kind = 'table') AS from_table, sha256(string_agg(text, chr(10) ORDER BY ord)) AS text_sha256 FROM fold JOIN f USING (doc, ord) GROUP BY doc, gid HAVING bool_or(kind <> 'heading'))
+SELECT doc, row_number() OVER (PARTITION BY doc ORDER BY char_start) - 1 AS chunk_index, char_start, char_end, from_table, text_sha256 FROM c""",
+    "content_hash_diff": f"""WITH {_STORED} SELECT p.source_path, CASE WHEN s.h IS NULL THEN 'new' WHEN s.h = p.h THEN 'skipped_unchanged' ELSE 'changed' END AS status FROM p LEFT JOIN s USING (source_path)""",
+    "upsert_documents": f"""WITH {_STORED} SELECT p.source_path, CASE WHEN s.id IS NOT NULL THEN s.id ELSE (SELECT coalesce(max(id), 0) FROM s) + row_number() OVER (PARTITION BY s.id IS NULL ORDER BY p.source_path) END AS id, p.h AS content_hash FROM p LEFT JOIN s USING (source_path)""",
+    "cascade_delete": f"""WITH {_BLOCKS}, gone AS (SELECT doc_id FROM labels WHERE quality = 0), n AS (SELECT doc, count(*) AS n FROM b GROUP BY doc)
+SELECT doc_id + 1 AS id, 'doc-' || doc_id AS source_path, coalesce(n, 0) AS n_chunks FROM documents LEFT JOIN n ON n.doc = doc_id WHERE doc_id NOT IN (SELECT doc_id FROM gone WHERE doc_id IS NOT NULL)""",
+    "replace_chunks": f"""WITH {_BLOCKS}, gone AS (SELECT DISTINCT doc_id FROM labels WHERE quality = 0)
+SELECT doc + 1 AS document_id, ord AS chunk_index, sha256(text) AS text_sha256 FROM b WHERE doc NOT IN (SELECT doc_id FROM gone WHERE doc_id IS NOT NULL)
+UNION ALL SELECT doc_id + 1, 0, sha256(coalesce(lang, '')) FROM documents JOIN gone USING (doc_id)""",
+    "chunk_count": f"WITH {_BLOCKS} SELECT count(*) AS n FROM b",
+    **{name: f"WITH {_BLOCKS}, {_LAID_OUT} {sql}" for name, sql in _LAYOUT.items()},
+    "docx_block_rows": f"""WITH {_BLOCKS}, t AS (SELECT doc, ord, regexp_replace(text, '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x{{FFFE}}\\x{{FFFF}}]', '', 'g') AS text FROM b), u AS (SELECT doc, ord, trim(text, {_SPACE}) AS text FROM t WHERE trim(text, {_SPACE}) <> ''),
+x AS (SELECT doc, ord AS was, CASE WHEN ord = 0 THEN 'heading' ELSE 'paragraph' END AS block_type, text FROM u
+UNION ALL SELECT doc, 1000000000000, 'table', 'id | ' || doc || chr(10) || ' | x' FROM b WHERE ord = 0 AND doc % 4 = 0),
+y AS (SELECT *, row_number() OVER w - 1 AS ord, coalesce(first_value(CASE WHEN block_type = 'heading' THEN text END) OVER w, '') AS section, block_type = 'paragraph' AND regexp_matches(text, '(?i)^(table|figure|fig\\.)\\s*\\d+') AS says, lag(text) OVER w AS before, lag(block_type) OVER w AS kind_before, lead(block_type) OVER w AS kind_after FROM x WINDOW w AS (PARTITION BY doc ORDER BY was)),
+z AS (SELECT *, lag(says) OVER (PARTITION BY doc ORDER BY was) AS said FROM y)
+SELECT doc, ord, block_type, sha256(text) AS text_sha256, sha256(section) AS section_sha256, CASE WHEN block_type = 'table' AND said THEN sha256(before) END AS caption_sha256 FROM z WHERE NOT (says AND coalesce(kind_after = 'table', false))""",
+    "naive_extraction": f"""SELECT doc_id, CASE WHEN coalesce(text, '') = '' THEN 'unknown' ELSE 'plain_text' END AS doc_type, (trim(coalesce(text, ''), {_SPACE}) <> '')::BIGINT AS n_blocks,
+length(trim(regexp_replace(coalesce(text, ''), chr(13) || chr(10) || '?', chr(10), 'g'), {_SPACE}))::BIGINT AS chars_recovered, (trim(coalesce(text, ''), {_SPACE}) = '')::BIGINT AS n_failures FROM documents""",
     "html_detect": """WITH h AS (SELECT page_id, lower(left(html, 4096)) AS t FROM pages)
 SELECT page_id, 'html' AS doc_type, round(least(0.75::DOUBLE + 0.05::DOUBLE * least(contains(t, '<head')::INT + contains(t, '<body')::INT + contains(t, '<title')::INT + contains(t, '<div')::INT + contains(t, '<meta')::INT + contains(t, '<script')::INT + contains(t, '<p>')::INT + contains(t, '<a href')::INT, 5), 0.99::DOUBLE), 6) AS confidence
 FROM h WHERE contains(left(t, 512), '<!doctype html') OR contains(left(t, 512), '<html')""",
-    "text_detect": "SELECT 'plain_text' AS doc_type, count(*) AS n FROM documents",
-    "caption_flags": f"WITH {_BLOCKS}, c AS (SELECT doc, ord, CASE WHEN doc % 5 = 0 THEN 'Table ' || doc || ': ' || text ELSE text END AS text FROM b WHERE ord < 2) SELECT doc, ord, regexp_matches(text, '(?i)^(table|figure|fig\\.)\\s*\\d+') AS is_caption, lead(ord) OVER (PARTITION BY doc ORDER BY ord) AS next_ord FROM c",
+    "text_detect": r"""WITH h AS (SELECT doc_id, left(coalesce(text, ''), 4096) AS t FROM documents), r AS (SELECT doc_id, t, length(regexp_replace(t, '[^\PC\n\r\t]|[^\PZ ]', '', 'g'))::DOUBLE / greatest(length(t), 1) AS r FROM h)
+SELECT doc_id, CASE WHEN t <> '' AND r >= 0.95 THEN 'plain_text' ELSE 'unknown' END AS doc_type, CASE WHEN t = '' THEN 0.0::DOUBLE WHEN r >= 0.95 THEN round(least(0.6::DOUBLE + 0.3::DOUBLE * r, 0.99::DOUBLE), 3) ELSE 0.2::DOUBLE END AS confidence FROM r""",
+    "caption_flags": f"WITH {_BLOCKS}, c AS (SELECT doc, ord, CASE WHEN doc % 5 = 0 THEN 'Table ' || doc || ': ' || text ELSE text END AS text FROM b) SELECT doc, ord, regexp_matches(text, '(?i)^(table|figure|fig\\.)\\s*\\d+') AS is_caption, lead(ord) OVER (PARTITION BY doc ORDER BY ord) AS next_ord FROM c",
     "hit_and_mrr": f"""WITH {_DENSE}, r AS (SELECT d.query_id, d.rank, c.label = q.label AS hit FROM dense d JOIN embeddings c ON c.vec_id = d.chunk_id JOIN embeddings q ON q.vec_id = d.query_id WHERE rank <= 10 AND chunk_id <> query_id)
 SELECT query_id, coalesce(max(hit::INT), 0)::DOUBLE AS hit, round(coalesce(1.0::DOUBLE / min(rank) FILTER (hit), 0), 6) AS rr FROM r GROUP BY query_id""",
     "nearest_rank_percentile": "WITH o AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS n FROM events WHERE value IS NOT NULL) SELECT event_type, value FROM o WHERE i = least(floor(n * 95 / 100), n - 1)",
-    "quality_rollup": f"WITH {_BLOCKS} SELECT doc, sum(length(text))::BIGINT AS chars_recovered, count(*) AS n_blocks, 0::BIGINT AS tables_found FROM b GROUP BY doc",
     "doc_counts": "SELECT source, count(*) AS n FROM documents GROUP BY source",
     "doc_list": "SELECT doc_id, lang, source, length(text)::BIGINT AS chars FROM documents ORDER BY doc_id",
 }
