@@ -17,9 +17,11 @@ LOCAL_DEFAULT = "file:///tmp/checkpoints/docloom"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; sets LOCAL_DEFAULT where it is unset."""
+    """The folder of spark.checkpoint.dir; sets LOCAL_DEFAULT where it is unset and all runs on one machine."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = LOCAL_DEFAULT
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")

@@ -33,8 +33,8 @@ GRID = 64
 END_ID = 2
 #: Hash buckets in which pieces of one length are ranked.
 BUCKETS = 1024
-#: Most pivots of the linear program; a feasible solution stands after each.
-PIVOTS = 500
+#: What demands are raised by, each by a different multiple, so that no two pivots meet the same vertex.
+TILT = 1e-7
 
 
 def cut(n: int) -> list[tuple[int, int]]:
@@ -85,10 +85,15 @@ def knapsack(values: np.ndarray, lengths: np.ndarray, capacity: int) -> np.ndarr
 
 
 def column_generation(lengths: np.ndarray, demand: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, np.ndarray]:
-    """Patterns (columns) and how often the linear program uses each."""
+    """Patterns (columns) and how often the linear program uses each, at its optimum.
+
+    It ends when no pattern prices in, or when as many pivots as there are lengths have not lowered the
+    number of sequences, which only rounding can bring about.
+    """
     basis = np.diag((capacity // lengths).astype(float))
-    use = demand / np.diag(basis)
-    for _ in range(PIVOTS):
+    use = demand * (1 + TILT * np.arange(1, len(demand) + 1) / len(demand)) / np.diag(basis)
+    best, idle = np.inf, 0
+    while idle <= len(lengths):
         duals = np.linalg.solve(basis.T, np.ones(len(lengths)))
         pattern = knapsack(duals, lengths, capacity).astype(float)
         if duals @ pattern <= 1 + 1e-9:
@@ -101,6 +106,7 @@ def column_generation(lengths: np.ndarray, demand: np.ndarray, capacity: int = C
         use = use - amount * direction
         use[out] = amount
         basis[:, out] = pattern
+        best, idle = (use.sum(), 0) if use.sum() < best * (1 - 1e-12) else (best, idle + 1)
     return basis.astype(np.int64), use
 
 

@@ -77,9 +77,9 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
-#: Generators of candidates; every part is bounded or begins only where a run does, so each takes time linear in the text.
+#: Generators of candidates; every part is bounded, gives nothing back or begins only where a run does, so each takes time linear in the text.
 GENERATORS = {
-    "email": re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64} ?(?:\(at\)|\[at\]) ?[A-Za-z0-9-]{1,63}(?: ?(?:\(dot\)|\[dot\]|\.) ?[A-Za-z0-9-]{1,63}){1,4}"),
+    "email": re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++ ?(?:\(at\)|\[at\]) ?[A-Za-z0-9-]++(?: ?(?:\(dot\)|\[dot\]|\.) ?[A-Za-z0-9-]++)+"),
     "phone": re.compile(r"(?<![0-9A-Za-z+.,-])(?:00[0-9]{1,3}[ .-]?)?\(?[0-9]{2,5}\)?[ ./-][0-9]{3,4}[ .-][0-9]{2,5}(?![0-9A-Za-z]|[.,-][0-9])|(?<![0-9A-Za-z+.,-])[0-9]{2}(?:[ .-][0-9]{2}){3,5}(?![0-9A-Za-z]|[ .,-][0-9])"),
     "idnumber": re.compile(r"(?<![0-9A-Za-z-])(?:[0-9]{3}-[0-9]{2}-[0-9]{4}|[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?)(?![0-9A-Za-z-])"),
     "secret": re.compile(r"(?<![A-Za-z0-9_+/=-])[A-Za-z0-9_+/-]{16,}={0,2}(?![A-Za-z0-9_+/=-])|(?<=[A-Za-z]=)[A-Za-z0-9_+/-]{8,}={0,2}(?![A-Za-z0-9_+/=-])"),

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from docloom.llm import _words
-from docloom.llm._shared import map_texts, written
+from docloom.llm._shared import map_texts, unused, written
 
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
@@ -61,13 +61,6 @@ def count_texts(texts: pa.Array) -> pa.Array:
     return pa.StructArray.from_arrays([pa.array(np.concatenate(x) if x else np.zeros(0, np.int64)) for x in out], names)
 
 
-def unused(df: DataFrame, name: str) -> str:
-    taken = {c.lower() for c in df.columns}
-    while name.lower() in taken:
-        name += "_"
-    return name
-
-
 def base_failed(n_words: Column, n_repeat_words: Column) -> Column:
     return (n_words < MIN_WORDS) | (100 * n_repeat_words > MAX_REPEAT_PERCENT * n_words)
 
@@ -81,7 +74,7 @@ def _counted(docs: DataFrame, text: str, name: str, carry: list[str]) -> DataFra
 def sketches(counted: DataFrame, name: str, lang: str, source: str) -> DataFrame:
     """Counts by lang, source, rule and bin, of the texts that pass the base rules."""
     bins = F.expr("stack(3, " + ", ".join(f"'{rule}', {ratio}" for rule, (ratio, _, _) in RULES.items()) + ") as (rule, bin)")
-    passed = counted.where(~F.col(f"{name}.base_failed")).select(F.col(lang).alias("lang"), F.col(source).alias("source"), f"{name}.*")
+    passed = counted.where(~F.col(f"{name}.base_failed")).select(F.col(f"`{lang}`").alias("lang"), F.col(f"`{source}`").alias("source"), f"{name}.*")
     return passed.select("lang", "source", bins).groupBy("lang", "source", "rule", "bin").agg(F.count("*").alias("c"))
 
 
@@ -120,14 +113,15 @@ def judged(docs: DataFrame, text: str = "text", lang: str = "lang", source: str
     table = written(fences(sketch), "rules-fences")
     if table.count() <= BROADCAST_GROUPS:
         table = F.broadcast(table)
-    limits = table.select(F.col("lang").alias("_fence_lang"), F.col("source").alias("_fence_source"), F.struct(*[c for c in table.columns if c.endswith(("_most", "_least"))]).alias("_fence"))
+    of_lang, of_source, fence = (unused(docs, x) for x in ("fence_lang", "fence_source", "fence"))
+    limits = table.select(F.col("lang").alias(of_lang), F.col("source").alias(of_source), F.struct(*[c for c in table.columns if c.endswith(("_most", "_least"))]).alias(fence))
     inside = F.lit(True)
     for rule, (ratio, _, both) in RULES.items():
         value = F.expr(_on(ratio, name))
-        inside = inside & (value <= F.col(f"_fence.{rule}_most"))
+        inside = inside & (value <= F.col(f"{fence}.{rule}_most"))
         if both:
-            inside = inside & (value >= F.col(f"_fence.{rule}_least"))
-    on = F.col(lang).eqNullSafe(F.col("_fence_lang")) & F.col(source).eqNullSafe(F.col("_fence_source"))
+            inside = inside & (value >= F.col(f"{fence}.{rule}_least"))
+    on = F.col(f"`{lang}`").eqNullSafe(F.col(of_lang)) & F.col(f"`{source}`").eqNullSafe(F.col(of_source))
     kept = ~F.col(f"{name}.base_failed") & F.coalesce(inside, F.lit(True))
     counted = _counted(docs, text, name, docs.columns if carry is None else carry)
     joined = counted.join(limits, on, "left").withColumn(name, F.col(name).withField("kept", kept))

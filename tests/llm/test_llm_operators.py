@@ -195,3 +195,28 @@ def test_classifiers_separate(spark):
         held = [r for r in got if r["doc_id"] % 2 and r["doc_id"] < 400]
         assert np.mean([(r["score"] >= 0.3) == bool(r[label]) for r in held]) > 0.95
         assert all(0 <= r["score"] <= 1 for r in got) and len(got) == len(rows)
+
+
+def test_rules_take_any_names(spark, docs, empty):
+    odd = docs.withColumn("the.lang", F.lit("en")).withColumn("fence", F.lit(1)).withColumn("source.x", F.lit(None).cast("string"))
+    kept = rules.keep_quality(odd, lang="the.lang", source="source.x")
+    assert kept.columns == odd.columns and kept.count() == rules.keep_quality(docs.withColumn("lang", F.lit("en")).withColumn("source", F.lit(None).cast("string"))).count()
+    assert rules.keep_quality(empty).count() == 0 and pii.redacted(empty).count() == 0
+
+
+def test_column_generation_is_optimal_where_all_fits():
+    lengths, demand = np.array([2048, 1024, 1000]), np.array([40.0, 80.0, 8.0])
+    patterns, use = packing.column_generation(lengths, demand)
+    assert (patterns.T @ lengths <= packing.CAPACITY).all() and abs(use.sum() - 42) < 0.1
+    rng = np.random.default_rng(1)
+    counts = {int(n): int(c) for n, c in zip(rng.choice(np.arange(1, 4096), 100, replace=False), rng.integers(1, 2000, 100))}
+    made = packing.plan(counts)
+    left = dict(counts)
+    for pattern, times in made:
+        assert sum(n * k for n, k in pattern.items()) <= packing.CAPACITY
+        for n, k in pattern.items():
+            left[n] -= k * times
+    assert not any(left.values())
+    lengths = np.array(sorted(counts, reverse=True))
+    least = packing.column_generation(lengths, np.array([counts[int(n)] for n in lengths], float))[1].sum()
+    assert least - 1 <= sum(t for _, t in made) <= least + len(lengths)
