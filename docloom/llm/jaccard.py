@@ -181,7 +181,7 @@ def stars(rows: np.ndarray) -> tuple[list[tuple[int, int]], int]:
 
 
 def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs a, b to compare (n null), and for lists of three sets or more the cell a of each set b of n shingles."""
+    """Pairs a, b to compare (s null), and for lists of three sets or more in s the sets, with their sizes, of part b of cell a."""
     held = [_unpacked(x) for batch in batches for x in batch.column("blob").to_pylist()]
     if not held:
         return
@@ -212,10 +212,37 @@ def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if found:  # else no two of them can be linked
             pairs.update(found)
             cells.setdefault(top, {}).update(zip(entries["sid"].tolist(), entries["n"].tolist()))
-    out = [(a, b, None) for a, b in sorted(pairs)] + [(top, x, n) for top, sets in cells.items() for x, n in sets.items()]
-    for at in range(0, len(out), 50_000):
-        part = out[at : at + 50_000]
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in part], pa.int64()) for i in range(3)], ["a", "b", "n"])
+    found = sorted(pairs)
+    for at in range(0, len(found), 50_000):
+        part = found[at : at + 50_000]
+        yield pa.RecordBatch.from_arrays([*(pa.array([r[i] for r in part], pa.int64()) for i in range(2)), pa.nulls(len(part), pa.binary())], ["a", "b", "s"])
+    out: list[tuple] = []
+    for top, sets in cells.items():
+        rows = np.array(list(sets.items()), np.int64)
+        salt = (_words.mix(rows[:, 0].astype(np.uint64)) % np.uint64(SALTS)).astype(np.int64) if len(rows) > 64 else np.zeros(len(rows), np.int64)
+        out += [(top, int(x), rows[salt == x].tobytes()) for x in np.unique(salt)]
+    for at in range(0, len(out), 5_000):
+        part = out[at : at + 5_000]
+        yield pa.RecordBatch.from_arrays([*(pa.array([r[i] for r in part], pa.int64()) for i in range(2)), pa.array([r[2] for r in part], pa.binary())], ["a", "b", "s"])
+
+
+def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by a, b: each set of a part of a cell once."""
+    held, current = [], None
+
+    def done() -> pa.RecordBatch:
+        rows = np.unique(np.concatenate(held), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), current[0])), pa.array(rows[:, 0]), pa.array(rows[:, 1])], ["cell", "v", "n"])
+
+    for batch in batches:
+        for a, b, s in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "s"))):
+            if held and (a, b) != current:
+                yield done()
+                held = []
+            current = (a, b)
+            held.append(np.frombuffer(s, np.int64).reshape(-1, 2))
+    if held:
+        yield done()
 
 
 def joined(comp: list[int], sets: list[np.ndarray], n: list[int] | None = None) -> list[tuple[int, int]]:
@@ -433,11 +460,12 @@ def _grouped(docs: DataFrame) -> DataFrame:
     frequent, rank = frequent[order], top.column("c").to_numpy()[order]
 
     blobs = docs.select("text").mapInArrow(_poster(frequent, rank, 8 * n), "bucket int, blob binary")
-    found = written(blobs.repartition(n, "bucket").select("blob").mapInArrow(_lists, "a long, b long, n long"), "lists", release=True)
-    pairs = written(found.where("n IS NULL").select("a", "b").distinct(), "pairs")
+    found = written(blobs.repartition(n, "bucket").select("blob").mapInArrow(_lists, "a long, b long, s binary"), "lists", release=True)
+    pairs = written(found.where("s IS NULL").select("a", "b").distinct(), "pairs")
     first = components(compared(pairs, docs, ids))
 
-    cells = found.where("n IS NOT NULL").select(F.col("a").alias("cell"), F.col("b").alias("v"), "n").distinct().join(first, "v", "left")
+    members = found.where("s IS NOT NULL").repartition(n, "a", "b").sortWithinPartitions("a", "b").mapInArrow(_members, "cell long, v long, n long").distinct()
+    cells = members.join(first, "v", "left")
     cells = written(cells.select("cell", F.col("v").alias("sid"), "n", F.coalesce("root", "v").alias("comp")), "cells")
     parts = F.greatest(F.ceil(2 * F.sum("n") / CELL_SHINGLES), F.ceil(2 * F.count("*") / CELL_SETS)).cast("int")
     mixed = cells.groupBy("cell").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), parts.alias("parts")).where("x <> y").select("cell", "parts")
