@@ -4,7 +4,7 @@ A text's words are found as the tokenizer's own rules say; distinct words are en
 words of a batch form a trie, whose depth-first traversal keeps, for every prefix on the path,
 the last token of that prefix's encoding: the one token that ends there and stays unmerged with
 the last token before it. A word's ids are read backwards along these states, so prefixes that
-words share are encoded once. A decoded text is the ids' token strings joined by one space.
+words share are encoded once. Decoding looks up each id's token string and joins them by one space.
 
 Texts whose characters, and their lower case, lie below U+0250 take a fast path; others are normalised and split by the
 tokenizers library's own components. Special tokens' strings in a text become their ids.
@@ -91,9 +91,9 @@ class WordBpe:
         self.size = {i: len(t) for known in (self.inner, self.final) for t, i in known.items()}
         self.longest = max(self.size.values())
         self.inner_reach, self.final_reach = self._reach(self.inner), self._reach(self.final)
+        self.tokens = [self.token.get(i, "") for i in range(max(self.token) + 1)]
         self.ids: dict = {}
-        self.shown_ids: dict = {}
-        self.old: tuple[dict, dict] = ({}, {})
+        self.old: dict = {}
 
     def fits(self, a: int, b: int) -> bool:
         """Whether a and b, next to each other, stay as they are: no merge across their border comes first."""
@@ -217,12 +217,11 @@ class WordBpe:
     def _recall(self, needed: set) -> None:
         """Starts a new generation of the store when it is full; words of the old one come along when needed."""
         if len(self.ids) > CACHE_WORDS:
-            self.old, self.ids, self.shown_ids = (self.ids, self.shown_ids), {}, {}
-        for kept, now in zip(self.old, (self.ids, self.shown_ids)):
-            if kept:
-                now.update({w: kept[w] for w in needed if w in kept and w not in now})
+            self.old, self.ids = self.ids, {}
+        if self.old:
+            self.ids.update({w: self.old[w] for w in needed if w in self.old and w not in self.ids})
 
-    def _learn(self, new: set, show: bool) -> None:
+    def _learn(self, new: set) -> None:
         mapped: dict = {}
         for key in new:
             if isinstance(key, str):
@@ -231,19 +230,22 @@ class WordBpe:
             elif isinstance(key[0], str):
                 mapped[key] = key[0]
             else:
-                self.ids[key], self.shown_ids[key] = key[0].to_bytes(4, "little"), self.token[key[0]]
+                self.ids[key] = key[0].to_bytes(4, "little")
         if self.by_library:
             encoded = {word: [t.id for t in self.library.model.tokenize(word)] for word in set(mapped.values())}
         else:
             encoded = self.encode_words(set(mapped.values()))
         for key, word in mapped.items():
-            ids = encoded[word]
-            self.ids[key] = array("I", ids).tobytes()
-            if show:
-                self.shown_ids[key] = " ".join(self.token[i] for i in ids)
+            self.ids[key] = array("I", encoded[word]).tobytes()
+
+    def decode(self, ids: bytes) -> str:
+        """The text of ids, all of them the tokenizer's, as encode_texts gives them."""
+        numbers = array("I")
+        numbers.frombytes(ids)
+        return " ".join(map(self.tokens.__getitem__, numbers))
 
     def encode_texts(self, texts: list[str], show: bool = True) -> list[tuple[bytes, str]]:
-        """Ids as little-endian unsigned 32-bit integers, and the decoded text if show."""
+        """Ids as little-endian unsigned 32-bit integers, and if show the text decoded from them."""
         out: list[tuple[bytes, str]] = []
         at = 0
         while at < len(texts):
@@ -254,11 +256,12 @@ class WordBpe:
                 at += 1
             new = set().union(*keys)
             self._recall(new)
-            missing = new - (self.shown_ids if show else self.ids).keys()
+            missing = new - self.ids.keys()
             if missing:
-                self._learn(missing, show)
-            ids, shown = self.ids, self.shown_ids
-            out += [(b"".join(map(ids.__getitem__, words)), " ".join(map(shown.__getitem__, words)) if show else "") for words in keys]
+                self._learn(missing)
+            for words in keys:
+                ids = b"".join(map(self.ids.__getitem__, words))
+                out.append((ids, self.decode(ids) if show else ""))
         return out
 
 
