@@ -28,13 +28,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docloom.llm import _words
-from docloom.llm._shared import partitions, small_batches, written
+from docloom.llm._shared import bit_filter, partitions, passes, small_batches, written
 
 WINDOW = 35
 GRAM = 8
 FLUSH = 400_000
-#: Bits of the filter that spares texts without candidates the shuffle.
-FILTER_BITS = 1 << 20
 _PLACE_BITS = np.uint64(28)
 _POSTING = np.dtype([("key", "<u8"), ("uid", "<i8"), ("s", "<u4"), ("r", "<u4")])
 
@@ -135,7 +133,7 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _with_ids(keep: bytes | None, texts_too: bool = False):
-    """key, uid, n words, and of texts that the filter lets through (all without one) the text; of others the digest of their words, with these if texts_too."""
+    """key, uid, n words, and of texts that the filter lets through the text; of others the digest of their words, with these if texts_too. Without a filter only key, uid and n."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -144,30 +142,19 @@ def _with_ids(keep: bytes | None, texts_too: bool = False):
                 uid.append(text_ids(chunk, chunk.word_hashes()))
                 n.append(chunk.counts)
             uid, n = np.concatenate(uid), np.concatenate(n)
-            texts = batch.column("text").to_pylist()
             if keep is not None:
-                p = uid.view(np.uint64) % np.uint64(FILTER_BITS)
-                ok = (np.frombuffer(keep, np.uint32)[(p >> np.uint64(5)).astype(np.int64)] >> (p & np.uint64(31)).astype(np.uint32)) & 1 == 1
+                texts = batch.column("text").to_pylist()
+                ok = passes(keep, uid)
                 words = [None if o else b" ".join((t or "").encode().split()) for t, o in zip(texts, ok.tolist())]
                 sha = [None if w is None else hashlib.sha256(w).hexdigest() for w in words]
                 texts = [t if w is None else w.decode() if texts_too else None for t, w in zip(texts, words)]
             else:
-                sha = [None] * len(texts)
+                texts = sha = [None] * batch.num_rows
             yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(uid), pa.array(n), pa.array(texts, pa.string()), pa.array(sha, pa.string())], ["key", "uid", "n", "text", "sha"])
 
     return run
 
 
-def _filter(ids: DataFrame) -> bytes:
-    """A filter of FILTER_BITS bits over the column uid."""
-    p = ids.select(F.expr(f"uid & {FILTER_BITS - 1}").alias("p"))
-    words = p.groupBy(F.floor(F.col("p") / 32).cast("int").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(p % 32 as int)))").alias("m")).collect()
-    table = np.zeros(FILTER_BITS // 32, np.int64)
-    for w, m in words:
-        table[w] = m
-    return table.astype("<u4").tobytes()
-
-
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out: list[tuple] = []
@@ -309,7 +296,7 @@ def without_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", te
     posted = docs.select("text").mapInArrow(_poster(8 * n), "bucket int, blob binary").repartition(n, "bucket").select("blob")
     runs = written(posted.mapInArrow(_repeated, "key long, uid long, s long, r long"), "runs")
     per_text = runs.groupBy("uid").agg(F.collect_list(F.struct("key", "s", "r")).alias("runs"))  # as long as one text
-    candidates = docs.mapInArrow(_with_ids(_filter(runs)), schema).where("text IS NOT NULL").select("uid", "text")
+    candidates = docs.mapInArrow(_with_ids(bit_filter(runs, "uid")), schema).where("text IS NOT NULL").select("uid", "text")
     contexts = per_text.join(candidates.dropDuplicates(["uid"]), "uid").mapInArrow(_contexts, "key long, uid long, s long, context string")
     contexts = written(contexts.withColumn("ctx", F.xxhash64("context")), "contexts")
     distinct = contexts.groupBy("key", "ctx", "context").agg(F.count("*").alias("c"))
@@ -320,7 +307,7 @@ def without_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", te
     named = docs.mapInArrow(_with_ids(None), schema).select("uid", "n")
     copies = written(named.groupBy("uid").agg(F.count("*").alias("c"), F.max("n").alias("n")).where(f"c > 1 AND n >= {WINDOW}").select("uid", F.lit(True).alias("every")), "copies")
     hit = written(spans.join(copies, "uid", "full"), "hits")
-    rows = docs.mapInArrow(_with_ids(_filter(hit), texts), schema)
+    rows = docs.mapInArrow(_with_ids(bit_filter(hit, "uid"), texts), schema)
     plain = rows.where("sha IS NOT NULL").select("key", F.col("n").alias("n_words"), F.lit(0).cast("long").alias("n_removed"), F.col("sha").alias("kept_sha256"), F.col("text").alias("kept_text"))
     cut = rows.where("sha IS NULL").join(hit, "uid", "left").select("key", "text", "spans", "every")
     cut = cut.mapInArrow(_removed, schema.split(",")[0] + ", n_words long, n_removed long, kept_text string")
