@@ -2,8 +2,8 @@
 
 Base rules judge a text by itself. The adaptive rules compare three ratios of a text with fences
 that its own language and source set: each group's values are counted into fixed-resolution
-histogram sketches without an upper end, of which only filled bins are rows (a sketch of a union is the sum of sketches, so partial aggregation merges
-them), the 25 % and 75 % quantiles are read from the counts, and a text falls outside when it lies
+histogram sketches without an upper end, of which only filled bins are rows (a sketch of a union is
+the sum of sketches, so partial aggregation merges them), the 25 % and 75 % quantiles are read from the counts, and a text falls outside when it lies
 beyond the quantile by three times their distance, or by the rule's least spread where the group
 hardly varies. Groups of fewer than MIN_GROUP texts merge their sketches with their language's,
 and languages that small with the whole corpus.
@@ -28,8 +28,6 @@ MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
 WINDOW = 8
 MIN_GROUP = 100
-#: Where the SQL below clamps values. The sketches do not: fences of groups with a quantile from here on differ from the SQL's.
-TOP_BIN = 1000
 #: More groups than this are joined by shuffle instead of broadcast (about 100 bytes each).
 BROADCAST_GROUPS = 50_000
 #: Rule: (bins per unit as an SQL ratio, least spread in bins, two-sided).
@@ -159,7 +157,7 @@ def _counts_sql(table: str) -> str:
       coalesce(n, 0) AS n_repeat_words FROM words JOIN lines USING (doc_id) LEFT JOIN repeats USING (doc_id)),
   base AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words AS base_failed FROM counts),
   bins AS (SELECT lang, source, unnest(['symbols', 'dup_lines', 'word_length']) AS rule,
-      unnest([least(100 * n_symbols // n_words, {TOP_BIN}), least(100 * n_dup_lines // n_lines, {TOP_BIN}), least(10 * word_chars // n_words, {TOP_BIN})]) AS bin
+      unnest([100 * n_symbols // n_words, 100 * n_dup_lines // n_lines, 10 * word_chars // n_words]) AS bin
       FROM base WHERE NOT base_failed),
   near AS (SELECT lang, source, rule, count(*) AS total, quantile_disc(bin, 0.25) AS q25, quantile_disc(bin, 0.75) AS q75 FROM bins GROUP BY ALL),
   wider AS (SELECT lang, rule, count(*) AS total, quantile_disc(bin, 0.25) AS q25, quantile_disc(bin, 0.75) AS q75 FROM bins GROUP BY ALL),
