@@ -25,7 +25,8 @@ from docloom.llm._shared import map_texts, small_batches
 
 BITS = 18
 TRAIN_POSITIVE, TRAIN_NEGATIVE = 5000, 8000
-EPOCHS, ALPHA, BETA, L1, L2 = 4, 0.5, 1.0, 7.0, 1.0
+#: Of 15 settings the one of least log loss on rows with crc32(doc_id) mod 4 = 3, fitted on remainders 0 and 1; remainder 2 was not read.
+EPOCHS, ALPHA, BETA, L1, L2 = 4, 2.0, 1.0, 12.0, 1.0
 THRESHOLD = 0.3
 
 
