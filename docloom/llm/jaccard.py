@@ -491,9 +491,9 @@ def near_groups(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Dat
     """A row for each input row: key, n_shingles, component_id (smallest key reachable by links)."""
     rows = _grouped(docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").cast("string").alias("text")))
     rows = written(rows, "grouped")
-    smallest = rows.where("comp IS NOT NULL").groupBy("comp").agg(F.min("key").alias("component_id"))
-    out = rows.join(smallest, "comp", "left")
-    least = F.when(F.col("comp").isNull(), F.col("key")).otherwise(F.col("component_id"))
+    smallest = rows.where("comp IS NOT NULL").groupBy("comp").agg(F.min("key").alias("component_id"), F.count("*").alias("c")).where("c > 1").drop("c")
+    out = rows.join(written(smallest.withColumn("several", F.lit(True)), "smallest"), "comp", "left")  # no aggregation beside the join, so that Spark can split a large component
+    least = F.when(F.col("several"), F.col("component_id")).otherwise(F.col("key"))
     return out.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), least.alias("component_id"))
 
 
