@@ -84,8 +84,8 @@ def test_rows_grow_with_a_group_and_components_hold(spark, monkeypatch, changes,
     made = {}
     plain = jaccard.written
 
-    def noted(df, label):
-        out = plain(df, label)
+    def noted(df, label, **how):
+        out = plain(df, label, **how)
         made.setdefault(label, []).append(out.count())
         return out
 
