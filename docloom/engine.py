@@ -6,11 +6,13 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from docloom.operators import answering, retrieval
 from docloom.operators.models import Embedder, ExtractiveGenerator, Generator, HashedEmbedder, Scorer, embedded
 from docloom.operators.store import Library
 from docloom.sources.files import read_files
+from docloom.streaming.arrivals import take_in
 
 
 @dataclass(frozen=True)
@@ -36,6 +38,10 @@ class Engine:
     def ingest(self, paths: list[str]) -> DataFrame:
         return self.library.ingest(read_files(self.spark, paths), self.embedder, self.ocr)
 
+    def take_in(self, folder: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
+        """A started query that ingests the files that arrive in a folder; without every it ends when those there are in."""
+        return take_in(self.spark, folder, self.library.path, self.embedder, checkpoint, self.ocr, every)
+
     def documents(self) -> DataFrame:
         return self.library.documents().orderBy("id")
 

@@ -119,7 +119,8 @@ class Library:
         return (rows if document_id is None else rows.where(F.col("document_id") == document_id)).count()
 
     def _next_version(self) -> int:
-        return (self._rows("documents").agg(F.max("version")).first()[0] or 0) + 1
+        """One that no row has, chunks of a run that broke off before its documents included."""
+        return max(self._rows(name).agg(F.max("version")).first()[0] or 0 for name in ("documents", "chunks")) + 1
 
     def delete(self, source_path: str) -> bool:
         """Whether there was such a document; its chunks go with it."""
