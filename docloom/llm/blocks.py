@@ -1,11 +1,12 @@
 """Exact deduplication by deterministic block naming (operator 5).
 
 Texts are normalised and cut into blocks of BLOCK code points. All blocks are sorted over the
-cluster and named by rank: equal blocks, and only those, get the same integer. Then adjacent names
-of a text are paired, and the pairs sorted and named in turn, until each text has one name; texts
-of the same number of rounds and the same name are equal, with no chance of collision. The sort
-is by range of (block, row), so copies of one block, however many, spread over several tasks; each
-task names its own runs, and the driver only adds up how many names each task used.
+cluster, by a hash and then by their own code points, and named by rank: equal blocks, and only
+those, get the same integer. Then adjacent names of a text are paired, and the pairs sorted and named
+in turn, until each text has one name; texts of the same number of rounds and the same name are
+equal, with no chance of collision. The sort is by range of (hash, row), so copies of one block,
+however many, spread over several tasks; each task names its own runs, and the driver only adds up
+how many names each task used. Blocks of one hash that differ get names of their own.
 
 Defined results: null text counts as empty; all empty texts are one group. Of equal texts the row
 with the smallest key stays, of equal keys the first row read; null keys come last. An empty table
@@ -25,6 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from docloom.llm._shared import numbered, partitions, small_batches, written
 
@@ -39,47 +41,88 @@ def _edge(columns: list[pa.Array], i: int) -> bytes:
     return "\x1f".join(str(c[i].as_py()) for c in columns).encode()
 
 
-def _name_runs(keys: list[str], carried: list[str], schema: pa.Schema):
-    """Within a sorted partition: the rank of each row's run, and in one last row the first and last run and their number."""
+def _starts(columns: list[pa.Array], n: int) -> np.ndarray:
+    """Where a row differs from the one before it; the first row is left for the caller."""
+    out = np.zeros(n, bool)
+    for c in columns:
+        out[1:] |= pc.not_equal(c[1:], c[:-1]).to_numpy(zero_copy_only=False)
+    return out
+
+
+def _name_runs(lead: list[str], keys: list[str], carried: list[str], schema: pa.Schema):
+    """Within a partition sorted by lead and keys: the rank of each row's run; then, as rows of their own, the runs that its first (_at 0) and its last (_at 1) lead has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, names, first, last = TaskContext.get().partitionId(), 0, None, None
+        part, names, last_key, last_lead, only = TaskContext.get().partitionId(), 0, None, None, True
+        edges: tuple[dict[bytes, int], dict[bytes, int]] = ({}, {})
+        leads = [b"", b""]
         for batch in batches:
-            if not batch.num_rows:
+            n = batch.num_rows
+            if not n:
                 continue
-            columns = [batch.column(k) for k in keys]
-            fresh = np.zeros(batch.num_rows, bool)
-            for c in columns:
-                fresh[1:] |= pc.not_equal(c[1:], c[:-1]).to_numpy(zero_copy_only=False)
-            start = _edge(columns, 0)
-            fresh[0] = start != last
-            first = start if first is None else first
+            of_lead, of_key = ([batch.column(c) for c in x] for x in (lead, keys))
+            turn, fresh = _starts(of_lead, n), _starts(of_key, n)
+            turn[0], fresh[0] = last_lead is not None and _edge(of_lead, 0) != last_lead, _edge(of_key, 0) != last_key
+            if last_lead is None:
+                leads[0] = leads[1] = _edge(of_lead, 0)
             local = names + np.cumsum(fresh)
-            names, last = int(local[-1]), _edge(columns, batch.num_rows - 1)
-            n = batch.num_rows
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in carried], pa.array(local), pa.array(np.full(n, part)), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary())], schema=schema)
-        if first is not None:
-            yield pa.RecordBatch.from_arrays([*[pa.nulls(1, schema.field(c).type) for c in carried], pa.array([names]), pa.array([part]), pa.array([first]), pa.array([last])], schema=schema)
+            turns, runs = np.flatnonzero(turn), np.flatnonzero(fresh)
+            if only:
+                edges[0].update((_edge(of_key, int(i)), int(local[i])) for i in runs[runs < (turns[0] if len(turns) else n)])
+                only = not len(turns)
+            if len(turns):
+                edges[1].clear()
+                leads[1] = _edge(of_lead, int(turns[-1]))
+            edges[1].update((_edge(of_key, int(i)), int(local[i])) for i in runs[runs >= (turns[-1] if len(turns) else 0)])
+            names, last_key, last_lead = int(local[-1]), _edge(of_key, n - 1), leads[1]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in carried], pa.array(local), pa.array(np.full(n, part)), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary())], schema=schema)
+        for at in (0, 1):
+            n = len(edges[at])
+            if n:
+                yield pa.RecordBatch.from_arrays([*[pa.nulls(n, schema.field(c).type) for c in carried], pa.array(list(edges[at].values()), pa.int64()), pa.array(np.full(n, part)), pa.array(np.full(n, at)), pa.array([leads[at]] * n, pa.binary()), pa.array(list(edges[at]), pa.binary())], schema=schema)
 
     return run
 
 
-def named(df: DataFrame, keys: list[str], carried: list[str], tie: list[str]) -> DataFrame:
-    """carried and `name`: 1, 2, ... over the distinct non-null keys in their order, the same for the same keys."""
+def _offsets(edges: list[tuple[int, int, bytes, int, int]]) -> list[tuple[int, int, list[int]]]:
+    """Of (part, at, lead, key, local name) of the edges: for each partition what its names are raised by, and the names of the runs of its first lead."""
+    parts: dict[int, tuple[dict, dict]] = {}
+    for part, at, lead, key, local in edges:
+        parts.setdefault(part, ({}, {}))[at][lead, key] = local
+    out, used, before = [], 0, {}
+    for part in sorted(parts):
+        first, last = parts[part]
+        names, offset = {}, used
+        for key, local in sorted(first.items(), key=lambda x: x[1]):
+            if key in before:
+                offset -= 1
+            names[key] = before.get(key, local + offset)
+        out.append((part, offset, list(names.values())))
+        used = offset + max(last.values())
+        same_lead = {lead for lead, _ in last}
+        before = {key: name for key, name in before.items() if key[0] in same_lead} | {key: names.get(key, local + offset) for key, local in last.items()}
+    return out
+
+
+def named(df: DataFrame, lead: list[str], keys: list[str], carried: list[str], tie: list[str]) -> DataFrame:
+    """carried and `name`: 1, 2, ... over the distinct non-null keys in the order of lead and keys, the same for the same keys.
+
+    lead depends on the keys alone. Ranges are drawn over lead and tie, so no key goes to the driver as a
+    sample; keys of one lead that a border of ranges parts are told apart on the cluster.
+    """
     from pyspark.sql.pandas.types import to_arrow_schema
 
     spark = df.sparkSession
-    out = T.StructType([T.StructField(c, df.schema[c].dataType) for c in carried] + [T.StructField("name", T.LongType()), T.StructField("_part", T.LongType()), T.StructField("_first", T.BinaryType()), T.StructField("_last", T.BinaryType())])
-    ordered = df.repartitionByRange(partitions(spark), *keys, *tie).sortWithinPartitions(*keys)
-    runs = written(ordered.mapInArrow(_name_runs(keys, carried, to_arrow_schema(out)), out), "names")
-    offsets, used, before = [], 0, None
-    for part, names, first, last in sorted(tuple(r) for r in runs.where(F.col("_first").isNotNull()).select("_part", "name", "_first", "_last").collect()):
-        offset = used - (first == before)
-        offsets.append((part, offset))
-        used, before = offset + names, last
-    table = spark.createDataFrame(offsets, "_part long, _offset long")  # a row for each partition
-    rows = runs.where(F.col("_first").isNull()).join(F.broadcast(table), "_part")
-    return rows.select(*carried, (F.col("name") + F.col("_offset")).alias("name"))
+    own = [T.StructField("name", T.LongType()), T.StructField("_part", T.LongType()), T.StructField("_at", T.LongType()), T.StructField("_lead", T.BinaryType()), T.StructField("_key", T.BinaryType())]
+    out = T.StructType([T.StructField(c, df.schema[c].dataType) for c in carried] + own)
+    ordered = df.repartitionByRange(partitions(spark), *lead, *tie).sortWithinPartitions(*dict.fromkeys([*lead, *keys]))
+    runs = written(ordered.mapInArrow(_name_runs(lead, keys, carried, to_arrow_schema(out)), out), "names")
+    place = F.dense_rank().over(Window.partitionBy("_lead").orderBy("_key"))
+    edges = runs.where("_at IS NOT NULL").select("_part", "_at", "_lead", place.alias("key"), "name")  # two rows for each partition, but for equal leads of other keys
+    table = spark.createDataFrame(_offsets([tuple(r) for r in edges.collect()]), "_part long, _offset long, _names array<long>")
+    rows = runs.where("_at IS NULL").join(F.broadcast(table), "_part")
+    name = F.when(F.col("name") <= F.size("_names"), F.get("_names", (F.col("name") - 1).cast("int"))).otherwise(F.col("name") + F.col("_offset"))
+    return rows.select(*carried, name.alias("name"))
 
 
 def identities(docs: DataFrame, text: str = "text", key: str = "doc_id", row: str | None = None) -> DataFrame:
@@ -91,8 +134,8 @@ def identities(docs: DataFrame, text: str = "text", key: str = "doc_id", row: st
     texts = texts.select("row", "key", F.sha2(F.encode("t", "UTF-8"), 256).alias("sha"), F.when(F.length("t") == 0, F.array(F.lit(""))).otherwise(cut).alias("blocks"))
     blocks = texts.select("row", "key", "sha", F.size("blocks").cast("long").alias("n"), F.posexplode("blocks").alias("i", "block"))
     first = F.col("i") == 0
-    blocks = blocks.select("row", F.when(first, F.col("key")).alias("key"), F.when(first, F.col("sha")).alias("sha"), "n", F.col("i").cast("long").alias("i"), "block")
-    level = named(blocks, ["block"], ["row", "key", "sha", "n", "i"], ["row"])
+    blocks = blocks.select("row", F.when(first, F.col("key")).alias("key"), F.when(first, F.col("sha")).alias("sha"), "n", F.col("i").cast("long").alias("i"), F.xxhash64("block").alias("lead"), "block")
+    level = named(blocks, ["lead"], ["block"], ["row", "key", "sha", "n", "i"], ["row"])
     rounds, done = 0, []
     while True:
         done.append(level.where("n = 1").select("row", "key", "sha", F.lit(rounds).alias("rounds"), "name"))
@@ -104,7 +147,7 @@ def identities(docs: DataFrame, text: str = "text", key: str = "doc_id", row: st
             F.max("key").alias("key"), F.max("sha").alias("sha"), F.floor((F.max("n") + 1) / 2).cast("long").alias("n"),
             F.max(F.when(even, F.col("name"))).alias("a"), F.coalesce(F.max(F.when(~even, F.col("name"))), F.lit(0)).alias("b"),
         ).withColumnRenamed("j", "i")
-        level = named(pairs, ["a", "b"], ["row", "key", "sha", "n", "i"], ["row"])
+        level = named(pairs, ["a", "b"], ["a", "b"], ["row", "key", "sha", "n", "i"], ["row"])
         rounds += 1
     out = done[0]
     for more in done[1:]:
