@@ -61,6 +61,25 @@ def written(df: DataFrame, label: str, release: bool = False) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def fitted(examples: DataFrame, order: list[str], fit: Callable[[pa.Table], list[np.ndarray]]) -> list[np.ndarray]:
+    """What fit makes of the examples, sorted by order, in one task; the driver gets the arrays that it returns alone.
+
+    examples must be bounded in number, and each in size. They are written first, so that the task can
+    be run again without making them anew.
+    """
+    examples = written(examples, "examples")
+    schema = examples.limit(0).toArrow().schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made = fit(pa.Table.from_batches(list(batches), schema))
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(made)), pa.int32()), pa.array([str(a.dtype) for a in made]), pa.array([list(a.shape) for a in made], pa.list_(pa.int64())), pa.array([a.tobytes() for a in made], pa.binary())], ["i", "dtype", "shape", "a"])
+
+    rows = examples.coalesce(1).sortWithinPartitions(*order).mapInArrow(run, "i int, dtype string, shape array<long>, a binary").collect()
+    if not rows:
+        return fit(schema.empty_table())
+    return [np.frombuffer(r["a"], r["dtype"]).reshape(r["shape"]) for r in sorted(rows, key=lambda r: r["i"])]
+
+
 #: Bits of a filter: at least, for each value, and at most (as 8 MB go to every executor; a fuller filter lets more through).
 FILTER_LEAST, FILTER_PER_VALUE, FILTER_MOST = 1 << 16, 12, 1 << 26
 

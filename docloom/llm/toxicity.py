@@ -3,8 +3,9 @@
 Features of a text are the distinct words, word pairs and pairs of words one apart, lower-cased and
 free of ASCII punctuation, hashed into 2**BITS places. The model is fitted by FTRL-proximal with
 per-coordinate rates; its L1 term leaves few weights, which every task gets. It learns from at most
-TRAIN_POSITIVE and TRAIN_NEGATIVE labelled texts, those first by a hash of their id; their features
-are made on the executors. Scores use the whole text and nothing else.
+TRAIN_POSITIVE and TRAIN_NEGATIVE labelled texts, those first by a hash of their id. Their features are
+made on the executors, 2**BITS / 8 bytes for a text at most (so 0.43 GB for all), and one task fits the
+model; the driver gets the weights that are not zero. Scores use the whole text and nothing else.
 
 Defined results: null counts as empty; an empty text gets the score of the bias alone. Rows of one
 doc_id with several labels count as that many examples; without usable labels every score is 0.5.
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docloom.llm import _words
-from docloom.llm._shared import map_texts, small_batches
+from docloom.llm._shared import fitted, map_texts, small_batches
 
 BITS = 18
 TRAIN_POSITIVE, TRAIN_NEGATIVE = 5000, 8000
@@ -41,6 +42,21 @@ def text_features(chunk: _words.Chunk) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(texts), (np.concatenate(places) >> np.uint64(64 - BITS)).astype(np.int64)
 
 
+def packed(places: np.ndarray) -> bytes:
+    """Distinct places as 32-bit integers or, where that is no shorter, as one bit for each of all places: 2**BITS / 8 bytes at most."""
+    if 4 * len(places) < 1 << BITS >> 3:
+        return places.astype("<i4").tobytes()
+    bits = np.zeros(1 << BITS, bool)
+    bits[places] = True
+    return np.packbits(bits).tobytes()
+
+
+def unpacked(places: bytes) -> np.ndarray:
+    if len(places) == 1 << BITS >> 3:
+        return np.flatnonzero(np.unpackbits(np.frombuffer(places, np.uint8)))
+    return np.frombuffer(places, "<i4")
+
+
 def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for chunk in _words.chunks(batch.column("text"), _words.SPACE_OR_PUNCT, _words.LOWER):
@@ -49,19 +65,19 @@ def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             texts, places = key >> BITS, (key & ((1 << BITS) - 1)).astype(np.int32)
             off = np.searchsorted(texts, np.arange(chunk.n + 1))
             rows = slice(chunk.first, chunk.first + chunk.n)
-            lists = [places[a:b].tobytes() for a, b in zip(off[:-1], off[1:])]
+            lists = [packed(places[a:b]) for a, b in zip(off[:-1], off[1:])]
             yield pa.RecordBatch.from_arrays([batch.column("label")[rows], pa.array(lists, pa.binary())], ["label", "places"])
 
 
-def fit(examples: list[tuple[int, np.ndarray]]) -> tuple[np.ndarray, float]:
-    """Weights and bias after EPOCHS passes of FTRL-proximal in a fixed shuffled order."""
+def fit(examples: list[tuple[int, bytes]]) -> tuple[np.ndarray, float]:
+    """Weights and bias after EPOCHS passes of FTRL-proximal over labels and packed places in a fixed shuffled order."""
     size = 1 << BITS
     z, n, weights = np.zeros(size + 1), np.zeros(size + 1), np.zeros(size + 1)
     order = np.random.default_rng(5)
     for _ in range(EPOCHS):
         for i in order.permutation(len(examples)):
             label, places = examples[i]
-            at = np.append(places, size)
+            at = np.append(unpacked(places), size)
             zi, ni = z[at], n[at]
             l1 = np.full(len(at), L1)
             l1[-1] = 0.0
@@ -103,12 +119,19 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, usable, positi
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(sample), "doc_id").select("doc_id", "text", "label")
 
 
+def _fit_table(examples: pa.Table) -> list[np.ndarray]:
+    weights, bias = fit(list(zip(examples.column("label").to_pylist(), examples.column("places").to_pylist())))
+    at = np.flatnonzero(weights)
+    return [at.astype(np.int32), weights[at], np.array([bias])]
+
+
 def trained(docs: DataFrame, labels: DataFrame, usable) -> tuple[np.ndarray, float]:
     rows = training_rows(docs, labels, "toxic", usable, TRAIN_POSITIVE, TRAIN_NEGATIVE)
-    made = rows.mapInArrow(_examples, "label int, places binary").toArrow()
-    examples = [(x, np.frombuffer(p, np.int32)) for x, p in zip(made.column("label").to_pylist(), made.column("places").to_pylist())]
-    examples.sort(key=lambda e: (e[0], e[1].tobytes()))  # the same whatever order tasks end in
-    return fit(examples)
+    made = rows.mapInArrow(_examples, "label int, places binary")
+    at, values, bias = fitted(made, ["label", "places"], _fit_table)  # sorted: the same whatever order tasks end in
+    weights = np.zeros(1 << BITS, np.float32)
+    weights[at] = values
+    return weights, float(bias[0])
 
 
 def op1_toxicity(spark, sf_dir: str) -> DataFrame:
