@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from docloom.llm import blocks, bpe, jaccard, packing, pii, quality, rules, substring, toxicity, warc
+from docloom.llm import blocks, bpe, collocations, jaccard, merkle, packing, pii, quality, rules, secret_scan, substring, toxicity, warc
 
 
 def queries():
@@ -18,6 +18,9 @@ def queries():
         "op8_quality_rules": rules.op8_quality_rules,
         "op9_substring": substring.op9_substring,
         "op10_pii": pii.op10_pii,
+        "op11_collocations": collocations.op11_collocations,
+        "op12_merkle": merkle.op12_merkle,
+        "op13_secrets": secret_scan.op13_secrets,
         "pipeline": corpus_pipeline.run,
     }
 
@@ -29,4 +32,6 @@ def oracle_sql():
         "op7_jaccard": jaccard.op7_sql(),
         "op8_quality_rules": rules.op8_sql(),
         "op9_substring": substring.op9_sql(),
+        "op11_collocations": collocations.op11_sql(),
+        "op12_merkle": merkle.op12_sql(),
     }
