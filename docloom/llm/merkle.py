@@ -85,6 +85,7 @@ def paths(tree: list[DataFrame], starts: DataFrame) -> DataFrame:
     for k in range(len(tree) - 1, 0, -1):
         here = starts.where(F.col("level") == k).select("g", F.lit(0).cast("long").alias("i"), "path", "carry")
         current = here if current is None else current.unionByName(here)
+        current = written(current, f"paths-{k}")  # else the plan grows by a join for each level, and the driver's memory with it
         joined = current.join(tree[k].select("g", "i", "children"), ["g", "i"])
         steps = F.transform("children", lambda x: F.struct(x.alias("node"), F.struct(beside(F.col("children"), x, True).alias("l"), beside(F.col("children"), x, False).alias("r")).alias("step")))
         each = joined.select("g", "path", "carry", F.explode(steps).alias("x"))
