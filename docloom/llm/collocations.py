@@ -36,7 +36,7 @@ from docloom.llm._shared import bit_filter, partitions, passes, small_batches, w
 
 LEAST, LONGEST, TOP, FACTOR = 100, 5, 2000, 1000
 #: Bytes of text of a slice: what one task holds at once, unless one text is longer.
-SLICE_BYTES = 1 << 23
+SLICE_BYTES = 1 << 22
 
 _SEPARATES = np.zeros(256, bool)
 _SEPARATES[np.frombuffer(b".,;:!?\n\x0b\x0c\r", np.uint8)] = True
@@ -121,7 +121,7 @@ def _pairs(ids: bytes, gaps: bytes, codes: bytes) -> tuple[np.ndarray, np.ndarra
 
 
 def pair_counts(named: DataFrame) -> DataFrame:
-    """v (a hash of both), l, r and c: each slice's distinct pairs and how often they stand there."""
+    """l, r and c: each slice's distinct pairs and how often they stand there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -129,9 +129,19 @@ def pair_counts(named: DataFrame) -> DataFrame:
                 left, right, counts, _, _ = _pairs(ids, gaps, codes)
                 for x in range(0, len(left), 1 << 16):
                     part = slice(x, x + (1 << 16))
-                    yield pa.RecordBatch.from_arrays([pa.array(_hash(left[part], right[part])), pa.array(left[part]), pa.array(right[part]), pa.array(counts[part])], ["v", "l", "r", "c"])
+                    yield pa.RecordBatch.from_arrays([pa.array(left[part]), pa.array(right[part]), pa.array(counts[part])], ["l", "r", "c"])
 
-    return named.select("ids", "gaps", "codes").mapInArrow(run, "v long, l long, r long, c long")
+    return named.select("ids", "gaps", "codes").mapInArrow(run, "l long, r long, c long")
+
+
+def _hashed(pairs: DataFrame) -> DataFrame:
+    """v: a hash of l and r."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(_hash(*(batch.column(c).to_numpy().astype(np.int64) for c in ("l", "r"))))], ["v"])
+
+    return pairs.select("l", "r").mapInArrow(run, "v long")
 
 
 def _standing(named: DataFrame, table: bytes) -> DataFrame:
@@ -190,15 +200,16 @@ def grams(docs: DataFrame, text: str, lang: str, least: int, longest: int) -> tu
     total = written(cut.select(F.explode(F.arrays_zip("langs", "counts")).alias("x")).groupBy(F.col("x.langs").alias("lang")).agg(F.sum("x.counts").alias("n")), "totals")
     listed = cut.select("slice", F.posexplode(F.arrays_zip("langs", "words", "counts")).alias("at", "x")).select("slice", "at", F.col("x.langs").alias("lang"), F.col("x.words").alias("word"), F.col("x.counts").alias("c"))
     often = listed.groupBy("lang", "word").agg(F.sum("c").alias("f")).where(F.col("f") >= least)
-    levels = [written(often.withColumn("id", F.monotonically_increasing_id()), "words")]
+    levels = [written(often.withColumn("id", F.monotonically_increasing_id()), "words", release=True)]
     found = listed.drop("c").join(levels[0].select("lang", "word", "id"), ["lang", "word"])
     named = written(_back(cut, found, False), "named-1", release=True)
     for k in range(2, longest + 1):
-        often = pair_counts(named).groupBy("l", "r").agg(F.sum("c").alias("f"), F.first("v").alias("v")).where(F.col("f") >= least)
-        often = written(often.withColumn("id", F.monotonically_increasing_id()), f"pairs-{k}")
-        levels.append(often.drop("v"))
+        # slices have added up their own: dealing the pairs out first spares a second, vain adding up before the shuffle
+        often = pair_counts(named).repartition("l", "r").groupBy("l", "r").agg(F.sum("c").alias("f")).where(F.col("f") >= least)
+        often = written(often.withColumn("id", F.monotonically_increasing_id()), f"pairs-{k}", release=True)
+        levels.append(often)
         if k < longest:
-            found = _standing(named, bit_filter(often, "v")).join(often.select("l", "r", "id"), ["l", "r"])
+            found = _standing(named, bit_filter(_hashed(often), "v")).join(often.select("l", "r", "id"), ["l", "r"])
             named = written(_back(named, found, True), f"named-{k}", release=True)
     return levels, total
 
