@@ -9,10 +9,11 @@ occurs as often as one of its parts makes all between them as frequent, so the n
 to look at.
 
 Texts are kept as slices: the words of some SLICE_BYTES of texts as numbers into the slice's own list of
-names. Only names move: a slice's distinct words or pairs are counted in it, added up by key, joined
-with the frequent ones and sent back to their slice, so a word or pair that stands everywhere is a row
-of each slice. A filter of the frequent pairs' hashes spares the others that second way; it decides
-nothing, as rows that pass it are joined by id. Words and pairs are compared whole, never by hash.
+names. Only names move: a slice counts its distinct words or pairs and offers them, packed, to the
+buckets that their hashes name; a bucket adds all offers up, names what is frequent and tells each
+slice the ids of those that it offered; the slice, joined with what it was told, puts the ids in their
+places. So a word or pair that stands everywhere is one entry for each slice, and there are as many
+buckets as keep a bucket at the size of some slices. Words and pairs are compared whole, never by hash.
 
 Defined results: null text counts as empty; null lang as `und`, together with the texts of that
 language. Texts without words add nothing, and a table without candidates gives an empty result.
@@ -26,13 +27,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from docloom.llm import _words
-from docloom.llm._shared import bit_filter, partitions, passes, small_batches, written
+from docloom.llm._shared import partitions, small_batches, written
 
 LEAST, LONGEST, TOP, FACTOR = 100, 5, 2000, 1000
 #: Bytes of text of a slice: what one task holds at once, unless one text is longer.
@@ -43,10 +46,23 @@ _SEPARATES[np.frombuffer(b".,;:!?\n\x0b\x0c\r", np.uint8)] = True
 _BLANK = _SEPARATES.copy()
 _BLANK[[0x20, 0x09]] = True
 
-SLICES = "slice long, langs array<string>, words array<string>, counts array<long>, gaps binary, codes binary"
+#: Slices whose offers a bucket holds, in the mean.
+SLICES_A_BUCKET = 4
+
+SLICES = "slice long, tongues array<string>, sums array<long>, langs array<int>, words array<string>, counts array<long>, gaps binary, codes binary"
 NAMED = "slice long, ids binary, gaps binary, codes binary"
 
 
+def _packed(*arrays: np.ndarray) -> bytes:
+    """Integer arrays of one length, their bytes by significance, compressed."""
+    return zstandard.compress(b"".join(np.ascontiguousarray(a, np.int64).view(np.uint8).reshape(-1, 8).T.tobytes() for a in arrays), 1)
+
+
+def _unpacked(data: bytes, n: int) -> list[np.ndarray]:
+    raw = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(n, 8, -1)
+    return [np.ascontiguousarray(part.T).view(np.int64).ravel() for part in raw]
+
+
 def _words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """All lower-cased words, the text of each, and whether it follows the word before it in one piece."""
     words, of, joined = [], [], []
@@ -65,7 +81,7 @@ def _words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
 
 
 def _slice(batches: list[pa.RecordBatch], number: int) -> pa.RecordBatch:
-    """One row of SLICES. gaps: how far each word is from the one before, 1 where it follows in one piece, else 2; codes: its number among the words."""
+    """One row of SLICES. tongues, sums: its languages and their numbers of words; gaps: 1 where a word follows the one before in one piece, else 2; codes: its number among the words."""
     table = pa.Table.from_batches(batches)
     langs = table.column("lang").combine_chunks().dictionary_encode()
     words, of, follows = _words_of(table.column("text"))
@@ -77,11 +93,12 @@ def _slice(batches: list[pa.RecordBatch], number: int) -> pa.RecordBatch:
     place = np.empty(len(often), np.int64)
     place[often] = np.arange(len(often))
     distinct, counts = distinct[often], counts[often]
-    lists = [langs.dictionary.take(pa.array(distinct // kinds)).cast(pa.string()), words.dictionary.take(pa.array(distinct % kinds)).cast(pa.string()), pa.array(counts.astype(np.int64))]
-    offsets = pa.array([0, len(distinct)], pa.int32())
-    gaps = np.where(follows, 1, 2).astype(np.int32)
-    columns = [pa.array([number], pa.int64()), *[pa.ListArray.from_arrays(offsets, x) for x in lists], pa.array([gaps.tobytes()], pa.binary()), pa.array([place[codes].astype(np.int32).tobytes()], pa.binary())]
-    return pa.RecordBatch.from_arrays(columns, ["slice", "langs", "words", "counts", "gaps", "codes"])
+    sums = np.zeros(len(langs.dictionary), np.int64)
+    np.add.at(sums, distinct // kinds, counts)
+    lists = [langs.dictionary, pa.array(sums), pa.array((distinct // kinds).astype(np.int32)), words.dictionary.take(pa.array(distinct % kinds)).cast(pa.string()), pa.array(counts.astype(np.int64))]
+    held = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in lists]
+    packed = [pa.array([_packed(x)], pa.binary()) for x in (np.where(follows, 1, 2), place[codes])]
+    return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), *held, *packed], [x.split()[0] for x in SLICES.split(", ")])
 
 
 def slices(docs: DataFrame, text: str, lang: str) -> DataFrame:
@@ -107,111 +124,173 @@ def slices(docs: DataFrame, text: str, lang: str) -> DataFrame:
 
 
 def _hash(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    return _words.mix(left.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ _words.mix(right.view(np.uint64))).view(np.int64)
-
-
-def _pairs(ids: bytes, gaps: bytes, codes: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of a row of NAMED: the distinct pairs of adjacent ids with their counts, the places (in codes) of each pair's first, and which pair stands there."""
-    ids, gaps, codes = np.frombuffer(ids, np.int64), np.frombuffer(gaps, np.int32), np.frombuffer(codes, np.int32)
-    at = np.flatnonzero(gaps[1:] == 1)
-    both = codes[at].astype(np.int64) * max(1, len(ids)) + codes[at + 1]
-    distinct, which, counts = np.unique(both, return_inverse=True, return_counts=True)
-    left, right = np.divmod(distinct, max(1, len(ids)))
-    return ids[left], ids[right], counts, at, which
-
+    return _words.mix(left.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ _words.mix(right.view(np.uint64)))
 
-def pair_counts(named: DataFrame) -> DataFrame:
-    """l, r and c: each slice's distinct pairs and how often they stand there."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for ids, gaps, codes in zip(*(batch.column(c).to_pylist() for c in ("ids", "gaps", "codes"))):
-                left, right, counts, _, _ = _pairs(ids, gaps, codes)
-                for x in range(0, len(left), 1 << 16):
-                    part = slice(x, x + (1 << 16))
-                    yield pa.RecordBatch.from_arrays([pa.array(left[part]), pa.array(right[part]), pa.array(counts[part])], ["l", "r", "c"])
+def _dealt(hashes: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Each bucket that has any, and which they are, in ascending order."""
+    bucket = (hashes % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    at = np.flatnonzero(np.diff(bucket[order], prepend=-1))
+    for a, b in zip(at, [*at[1:], len(order)]):
+        yield int(bucket[order[a]]), order[a:b]
 
-    return named.select("ids", "gaps", "codes").mapInArrow(run, "l long, r long, c long")
 
+OFFERED_WORDS = "bucket long, slice long, tongues array<string>, numbers binary, letters binary"
+OFFERED_PAIRS = "bucket long, slice long, numbers binary"
+#: A row without slice is a frequent word or pair; one with a slice tells it, packed, which of its own have which ids.
+NAMED_WORDS = "slice long, told binary, id long, lang string, word string, f long"
+NAMED_PAIRS = "slice long, told binary, id long, l long, r long, f long"
 
-def _hashed(pairs: DataFrame) -> DataFrame:
-    """v: a hash of l and r."""
 
+def _word_offers(cut: DataFrame, buckets: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(_hash(*(batch.column(c).to_numpy().astype(np.int64) for c in ("l", "r"))))], ["v"])
-
-    return pairs.select("l", "r").mapInArrow(run, "v long")
-
+            for row in range(batch.num_rows):
+                number, tongues, langs, words, counts = (batch.column(c)[row] for c in ("slice", "tongues", "langs", "words", "counts"))
+                words, langs, counts = words.values, langs.values.to_numpy(), counts.values.to_numpy()
+                hashes = [c.word_hashes() for c in _words.chunks(words, _BLANK)]
+                for bucket, at in _dealt(np.concatenate(hashes), buckets) if hashes else ():
+                    some = words.take(pa.array(at)).cast(pa.binary())
+                    numbers = _packed(langs[at], pc.binary_length(some).to_numpy(), counts[at], np.diff(at, prepend=0))
+                    yield pa.RecordBatch.from_arrays([pa.array([bucket]), pa.array([number.as_py()]), pa.array([tongues.as_py()], pa.list_(pa.string())), pa.array([numbers], pa.binary()), pa.array([zstandard.compress(b"".join(some.to_pylist()), 1)], pa.binary())], [x.split()[0] for x in OFFERED_WORDS.split(", ")])
+
+    return cut.select("slice", "tongues", "langs", "words", "counts").mapInArrow(run, OFFERED_WORDS)
+
+
+def _told(slices_: np.ndarray, of: np.ndarray, at: np.ndarray, ids: np.ndarray) -> tuple[list, list]:
+    """Slices and what each is told; of: which of slices_ an entry is from, ascending."""
+    edges = np.searchsorted(of, np.arange(len(slices_) + 1))
+    rows = [(int(slices_[k]), _packed(np.diff(at[a:b], prepend=0), ids[a:b])) for k, (a, b) in enumerate(zip(edges[:-1], edges[1:])) if a < b]
+    return [r[0] for r in rows], [r[1] for r in rows]
+
+
+def _named_rows(names: list[str], told: tuple[list, list], columns: list[pa.Array]) -> pa.Table:
+    """What slices are told, then the frequent names (id and its columns)."""
+    n, m = len(told[0]), len(columns[0])
+    first = [pa.array([*told[0], *[None] * m], pa.int64()), pa.array([*told[1], *[None] * m], pa.binary())]
+    return pa.Table.from_arrays([*first, *[pa.concat_arrays([pa.nulls(n, c.type), c]) for c in columns]], names)
+
+
+def _word_names(least: int):
+    names = [x.split()[0] for x in NAMED_WORDS.split(", ")]
+
+    def run(table: pa.Table) -> pa.Table:
+        langs, words, counts, at, of = [], [], [], [], []
+        for k, row in enumerate(table.select(["tongues", "numbers", "letters"]).to_pylist()):
+            lang, size, count, step = _unpacked(row["numbers"], 4)
+            langs.append(pa.array(row["tongues"], pa.string()).take(pa.array(lang)))
+            offsets = np.concatenate(([0], np.cumsum(size)))
+            words.append(pa.LargeStringArray.from_buffers(len(size), pa.py_buffer(offsets), pa.py_buffer(zstandard.decompress(row["letters"]))))
+            counts.append(count)
+            at.append(np.cumsum(step))
+            of.append(np.full(len(size), k))
+        langs, words = pa.concat_arrays(langs).dictionary_encode(), pa.concat_arrays(words).dictionary_encode()
+        both = langs.indices.to_numpy().astype(np.int64) * len(words.dictionary) + words.indices.to_numpy()
+        distinct, which = np.unique(both, return_inverse=True)
+        sums = np.zeros(len(distinct), np.int64)
+        np.add.at(sums, which, np.concatenate(counts))
+        often = np.flatnonzero(sums >= least)
+        ids = np.full(len(distinct), -1, np.int64)
+        ids[often] = (table.column("bucket")[0].as_py() << 32) + np.arange(len(often))
+        kept = np.flatnonzero(ids[which] >= 0)
+        told = _told(table.column("slice").to_numpy(), np.concatenate(of)[kept], np.concatenate(at)[kept], ids[which[kept]])
+        return _named_rows(names, told, [pa.array(ids[often]), langs.dictionary.take(pa.array(distinct[often] // len(words.dictionary))), words.dictionary.take(pa.array(distinct[often] % len(words.dictionary))).cast(pa.string()), pa.array(sums[often])])
+
+    return run
+
+
+def _pairs(ids: bytes, gaps: bytes, codes: bytes) -> tuple[np.ndarray, ...]:
+    """Of a row of NAMED: the distinct pairs of adjacent ids with their counts, the places (in codes) of each pair's first, which pair stands there, and the gaps."""
+    (ids,), (gaps,), (codes,) = (_unpacked(x, 1) for x in (ids, gaps, codes))
+    at = np.flatnonzero(gaps[1:] == 1)
+    distinct, which, counts = np.unique(codes[at] * max(1, len(ids)) + codes[at + 1], return_inverse=True, return_counts=True)
+    left, right = np.divmod(distinct, max(1, len(ids)))
+    return ids[left], ids[right], counts, at, which, gaps
 
-def _standing(named: DataFrame, table: bytes) -> DataFrame:
-    """slice, at (the pair's number there), l and r of the distinct pairs that pass a filter."""
-    held = named.sparkSession.sparkContext.broadcast(table)
 
+def _pair_offers(named: DataFrame, buckets: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for number, ids, gaps, codes in zip(*(batch.column(c).to_pylist() for c in ("slice", "ids", "gaps", "codes"))):
-                left, right, _, _, _ = _pairs(ids, gaps, codes)
-                at = np.flatnonzero(passes(held.value, _hash(left, right)))
-                for x in range(0, len(at), 1 << 16):
-                    some = at[x : x + (1 << 16)]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), number)), pa.array(some.astype(np.int32)), pa.array(left[some]), pa.array(right[some])], ["slice", "at", "l", "r"])
-
-    return named.select("slice", "ids", "gaps", "codes").mapInArrow(run, "slice long, at int, l long, r long")
-
-
-def _renamed(places: np.ndarray, gaps: np.ndarray, which: np.ndarray, at: np.ndarray, ids: np.ndarray, n: int) -> tuple[bytes, bytes, bytes]:
-    """ids, gaps and codes of what is left where only the numbers `at`, of n, have ids. places: where, in gaps, each of which stands."""
-    new = np.full(n, -1, np.int64)
-    new[at] = np.arange(len(at))
-    code = new[which]
-    kept = np.flatnonzero(code >= 0)
-    here = np.cumsum(gaps, dtype=np.int64)[places[kept]]
-    steps = np.diff(here, prepend=here[:1] - 2)
-    return ids.tobytes(), np.minimum(steps, 2).astype(np.int32).tobytes(), code[kept].astype(np.int32).tobytes()
-
-
-def _told(left: pa.Table, right: pa.Table, pairs: bool) -> pa.Table:
-    """A slice under the ids that its words or pairs (right: at, id) got; without a row where none did."""
-    at, ids = right.column("at").to_numpy().astype(np.int64), right.column("id").to_numpy().astype(np.int64)
-    rows = []
-    for row in left.to_pylist() if len(at) else []:
-        gaps = np.frombuffer(row["gaps"], np.int32)
-        if pairs:
-            l, _, _, places, which = _pairs(row["ids"], row["gaps"], row["codes"])
-            n = len(l)
-        else:
-            which = np.frombuffer(row["codes"], np.int32)
-            places, n = np.arange(len(which)), int(which.max()) + 1
-        rows.append((row["slice"], *_renamed(places, gaps, which, at, ids, n)))
-    return pa.Table.from_arrays([pa.array([r[i] for r in rows], pa.int64() if i == 0 else pa.binary()) for i in range(4)], ["slice", "ids", "gaps", "codes"])
-
-
-def _back(texts: DataFrame, found: DataFrame, pairs: bool) -> DataFrame:
-    """NAMED: the slices under new ids. found: slice, at, id."""
+                left, right, counts, _, _, _ = _pairs(ids, gaps, codes)
+                rows = [(bucket, _packed(left[at], right[at], counts[at], np.diff(at, prepend=0))) for bucket, at in _dealt(_hash(left, right), buckets)]
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([number] * len(rows), pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["bucket", "slice", "numbers"])
+
+    return named.mapInArrow(run, OFFERED_PAIRS)
+
+
+def _pair_names(least: int):
+    names = [x.split()[0] for x in NAMED_PAIRS.split(", ")]
+
+    def run(table: pa.Table) -> pa.Table:
+        offers = [_unpacked(x, 4) for x in table.column("numbers").to_pylist()]
+        left, right, counts, _ = (np.concatenate(x) for x in zip(*offers))
+        at, of = np.concatenate([np.cumsum(x[3]) for x in offers]), np.repeat(np.arange(len(offers)), [len(x[0]) for x in offers])
+        order = np.lexsort((right, left))
+        new = np.flatnonzero((np.diff(left[order], prepend=-1) != 0) | (np.diff(right[order], prepend=-1) != 0))
+        sums = np.add.reduceat(counts[order], new)
+        often = np.flatnonzero(sums >= least)
+        ids = np.full(len(new), -1, np.int64)
+        ids[often] = (table.column("bucket")[0].as_py() << 32) + np.arange(len(often))
+        each = np.empty(len(order), np.int64)
+        each[order] = np.repeat(ids, np.diff(np.append(new, len(order))))
+        kept = np.flatnonzero(each >= 0)
+        told = _told(table.column("slice").to_numpy(), of[kept], at[kept], each[kept])
+        first = order[new[often]]
+        return _named_rows(names, told, [pa.array(ids[often]), pa.array(left[first]), pa.array(right[first]), pa.array(sums[often])])
+
+    return run
+
+
+def _renamed(pairs: bool):
+    """A slice under the ids that its words or pairs (right: rows of told) got; without a row where none did."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        told = [_unpacked(x, 2) for x in right.column("told").to_pylist()]
+        rows = []
+        for row in left.to_pylist() if told else []:
+            at, ids = np.concatenate([np.cumsum(x[0]) for x in told]), np.concatenate([x[1] for x in told])
+            if pairs:
+                l, _, _, places, which, gaps = _pairs(row["ids"], row["gaps"], row["codes"])
+                n = len(l)
+            else:
+                (gaps,), (which,) = _unpacked(row["gaps"], 1), _unpacked(row["codes"], 1)
+                places, n = np.arange(len(which)), int(which.max()) + 1
+            order = np.argsort(at)
+            new = np.full(n, -1, np.int64)
+            new[at[order]] = np.arange(len(at))
+            code = new[which]
+            kept = np.flatnonzero(code >= 0)
+            here = np.cumsum(gaps)[places[kept]]
+            steps = np.minimum(np.diff(here, prepend=here[:1] - 2), 2)  # further than 1 is apart, however far
+            rows.append((row["slice"], _packed(ids[order]), _packed(steps), _packed(code[kept])))
+        return pa.Table.from_arrays([pa.array([r[i] for r in rows], pa.int64() if i == 0 else pa.binary()) for i in range(4)], ["slice", "ids", "gaps", "codes"])
+
+    return run
+
+
+def _back(texts: DataFrame, names: DataFrame, pairs: bool) -> DataFrame:
+    """NAMED: the slices under their new ids."""
     kept = ["slice", "ids", "gaps", "codes"] if pairs else ["slice", "gaps", "codes"]
-    placed = found.select("slice", "at", "id").toDF("of", "at", "id")
-    return texts.select(*kept).groupBy("slice").cogroup(placed.groupBy("of")).applyInArrow(lambda left, right: _told(left, right, pairs), NAMED)
+    told = names.where("slice IS NOT NULL").select("slice", "told").toDF("of", "told")
+    return texts.select(*kept).groupBy("slice").cogroup(told.groupBy("of")).applyInArrow(_renamed(pairs), NAMED)
 
 
 def grams(docs: DataFrame, text: str, lang: str, least: int, longest: int) -> tuple[list[DataFrame], DataFrame]:
     """Frequent words (id, lang, word, f), then for 2 to `longest` words the frequent pairs (id, l, r, f); and the number of words (lang, n)."""
     cut = written(slices(docs, text, lang), "slices")
-    total = written(cut.select(F.explode(F.arrays_zip("langs", "counts")).alias("x")).groupBy(F.col("x.langs").alias("lang")).agg(F.sum("x.counts").alias("n")), "totals")
-    listed = cut.select("slice", F.posexplode(F.arrays_zip("langs", "words", "counts")).alias("at", "x")).select("slice", "at", F.col("x.langs").alias("lang"), F.col("x.words").alias("word"), F.col("x.counts").alias("c"))
-    often = listed.groupBy("lang", "word").agg(F.sum("c").alias("f")).where(F.col("f") >= least)
-    levels = [written(often.withColumn("id", F.monotonically_increasing_id()), "words", release=True)]
-    found = listed.drop("c").join(levels[0].select("lang", "word", "id"), ["lang", "word"])
-    named = written(_back(cut, found, False), "named-1", release=True)
+    total = cut.select(F.explode(F.arrays_zip("tongues", "sums")).alias("x")).groupBy(F.col("x.tongues").alias("lang")).agg(F.sum("x.sums").alias("n"))
+    buckets = max(partitions(docs.sparkSession), cut.count() // SLICES_A_BUCKET)
+    names = written(_word_offers(cut, buckets).groupBy("bucket").applyInArrow(_word_names(least), NAMED_WORDS), "words", release=True)
+    levels = [names.where("slice IS NULL").select("id", "lang", "word", "f")]
+    named = written(_back(cut, names, False), "named-1", release=True)
     for k in range(2, longest + 1):
-        # slices have added up their own: dealing the pairs out first spares a second, vain adding up before the shuffle
-        often = pair_counts(named).repartition("l", "r").groupBy("l", "r").agg(F.sum("c").alias("f")).where(F.col("f") >= least)
-        often = written(often.withColumn("id", F.monotonically_increasing_id()), f"pairs-{k}", release=True)
-        levels.append(often)
+        names = written(_pair_offers(named, buckets).groupBy("bucket").applyInArrow(_pair_names(least), NAMED_PAIRS), f"pairs-{k}", release=True)
+        levels.append(names.where("slice IS NULL").select("id", "l", "r", "f"))
         if k < longest:
-            found = _standing(named, bit_filter(_hashed(often), "v")).join(often.select("l", "r", "id"), ["l", "r"])
-            named = written(_back(named, found, True), f"named-{k}", release=True)
-    return levels, total
+            named = written(_back(named, names, True), f"named-{k}", release=True)
+    return levels, written(total, "totals")
 
 
 def phrases(levels: list[DataFrame]) -> DataFrame:
