@@ -48,13 +48,14 @@ def _remove(spark: SparkSession, path: str) -> None:
             pass
 
 
-def written(df: DataFrame, label: str, release: bool = False) -> DataFrame:
+def written(df: DataFrame, label: str, release: bool = False, path: str | None = None) -> DataFrame:
     """df written once to the shared folder and read back: later jobs start from the files.
 
     release: has the driver look for what is no longer used, so that executors let go of the shuffle
     files of this job and those before, which else stay until the driver happens to collect garbage.
+    path: a new_folder() of the caller's, who can remove it when the table is of no more use.
     """
-    path = new_folder(df.sparkSession, label)
+    path = path or new_folder(df.sparkSession, label)
     df.write.option("compression", "zstd").parquet(path)
     if release:
         df.sparkSession.sparkContext._jvm.System.gc()

@@ -30,12 +30,12 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from docloom.llm import _words
-from docloom.llm._shared import partitions, small_batches, written
+from docloom.llm._shared import new_folder, partitions, remove, small_batches, written
 
 LEAST, LONGEST, TOP, FACTOR = 100, 5, 2000, 1000
 #: Bytes of text of a slice: what one task holds at once, unless one text is longer.
@@ -279,18 +279,28 @@ def _back(texts: DataFrame, names: DataFrame, pairs: bool) -> DataFrame:
 
 def grams(docs: DataFrame, text: str, lang: str, least: int, longest: int) -> tuple[list[DataFrame], DataFrame]:
     """Frequent words (id, lang, word, f), then for 2 to `longest` words the frequent pairs (id, l, r, f); and the number of words (lang, n)."""
-    cut = written(slices(docs, text, lang), "slices")
+    spark, last = docs.sparkSession, new_folder(docs.sparkSession, "slices")
+    cut = written(slices(docs, text, lang), "slices", path=last)
     total = cut.select(F.explode(F.arrays_zip("tongues", "sums")).alias("x")).groupBy(F.col("x.tongues").alias("lang")).agg(F.sum("x.sums").alias("n"))
+    total = written(total, "totals")
     buckets = max(partitions(docs.sparkSession), cut.count() // SLICES_A_BUCKET)
     names = written(_word_offers(cut, buckets).groupBy("bucket").applyInArrow(_word_names(least), NAMED_WORDS), "words", release=True)
     levels = [names.where("slice IS NULL").select("id", "lang", "word", "f")]
-    named = written(_back(cut, names, False), "named-1", release=True)
+    named, last = _replaced(spark, _back(cut, names, False), last, "named-1")
     for k in range(2, longest + 1):
         names = written(_pair_offers(named, buckets).groupBy("bucket").applyInArrow(_pair_names(least), NAMED_PAIRS), f"pairs-{k}", release=True)
         levels.append(names.where("slice IS NULL").select("id", "l", "r", "f"))
         if k < longest:
-            named = written(_back(named, names, True), f"named-{k}", release=True)
-    return levels, written(total, "totals")
+            named, last = _replaced(spark, _back(named, names, True), last, f"named-{k}")
+    return levels, total
+
+
+def _replaced(spark: SparkSession, texts: DataFrame, last: str, label: str) -> tuple[DataFrame, str]:
+    """texts, written, and its folder; the table in the folder `last`, which it was made of, is removed."""
+    path = new_folder(spark, label)
+    out = written(texts, label, release=True, path=path)
+    remove(spark, last)
+    return out, path
 
 
 def phrases(levels: list[DataFrame]) -> DataFrame:
