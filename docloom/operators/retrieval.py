@@ -16,6 +16,8 @@ from pyspark.sql.window import Window
 from docloom.functions.text import overlap_score
 
 RRF_K, RRF_POOL, RERANK_POOL = 60, 4, 3
+#: More distinct lexemes of queries than this (some 40 bytes each) are joined by shuffle instead of broadcast.
+BROADCAST_LEXEMES = 100_000
 #: Values in a block of vectors; pairs scored at once; pairs added up at once; parts of the queries where they are too many for a broadcast.
 BLOCK_VALUES, SCORES, ROWS, QUERY_PARTS = 1 << 19, 1 << 21, 1 << 16, 8
 
@@ -132,9 +134,15 @@ def postings(chunks: DataFrame) -> DataFrame:
 
 
 def lexical(queries: DataFrame, chunks: DataFrame, k: int = 10) -> DataFrame:
-    """Chunks that have all terms of a query, by the mass of its terms: an equi-join on lexemes, no pairs of texts."""
+    """Chunks that have all terms of a query, by the mass of its terms: an equi-join on lexemes, no pairs of texts.
+
+    Words that no query has go before any are counted; see operators.index for many searches of the same chunks.
+    """
     wanted = queries.select("query_id", F.array_distinct(terms(F.col("query"))).alias("t")).select("query_id", F.size("t").alias("need"), F.explode("t").alias("lexeme"))
-    hits = postings(chunks).join(wanted, "lexeme").groupBy("query_id", "chunk_id", "need").agg(F.count("*").alias("have"), F.sum("tf").alias("mass"))
+    lexemes = wanted.select("lexeme").distinct()
+    lexemes = F.broadcast(lexemes) if lexemes.count() <= BROADCAST_LEXEMES else lexemes
+    words = chunks.select("chunk_id", F.explode(terms(F.col("text"))).alias("lexeme")).join(lexemes, "lexeme", "left_semi")
+    hits = words.groupBy("chunk_id", "lexeme").agg(F.count("*").alias("tf")).join(wanted, "lexeme").groupBy("query_id", "chunk_id", "need").agg(F.count("*").alias("have"), F.sum("tf").alias("mass"))
     return ranked(hits.where("have = need").select("query_id", "chunk_id", F.round(F.lit(0.1) * F.col("mass"), 6).alias("score")), k)
 
 

@@ -6,6 +6,9 @@ are left aside. An empty side leaves the other as it is.
 
 from __future__ import annotations
 
+import atexit
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -27,6 +30,27 @@ def _held(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def new_folder(spark: SparkSession, label: str) -> str:
+    """A fresh path for working tables under spark.checkpoint.dir, removed when the driver ends; a local one only on one machine."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = LOCAL_CHECKPOINTS
+    path = f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    atexit.register(_dropped, spark, path)
+    return path
+
+
+def _dropped(spark: SparkSession, path: str) -> None:
+    if spark.sparkContext._jsc is not None:
+        try:
+            where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        except Exception:  # noqa: BLE001 - the JVM may be gone by now
+            pass
+
+
 def numbered(rows: DataFrame, column: str, name: str) -> DataFrame:
     """rows with 1, 2, ... in the order of a column, from ranges of it and their counts: no task sees all rows."""
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))

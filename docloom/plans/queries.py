@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from docloom.functions import text as fx
-from docloom.operators import answering, chunking, detection, evaluation, extraction, layout, retrieval, store
+from docloom.operators import answering, chunking, detection, evaluation, extraction, layout, retrieval, store, threads
 from docloom.sources.html import html_blocks
 
 
@@ -40,6 +40,17 @@ def lexical_simple_topk(spark, d):
     return retrieval.lexical(_words_queries(spark, d), _chunks(spark, d), 10)
 
 
+def indexed_topk(spark, d):
+    """The documents taken into an index in two parts, and searched by its blocks."""
+    from docloom.operators.index import InvertedIndex
+
+    made = InvertedIndex(spark, store.new_folder(spark, "index"))
+    chunks = _chunks(spark, d)
+    for part in (0, 1):
+        made.add(chunks.where(F.pmod(F.xxhash64("chunk_id"), F.lit(2)) == part))
+    return made.search(_words_queries(spark, d), 10)
+
+
 def _by_text(spark, d):
     """For each vector that is searched for the whole text of the document of its id."""
     return _t(spark, d, "embeddings").where(SEARCHED).join(_t(spark, d, "documents"), F.col("vec_id") == F.col("doc_id")).select(F.col("vec_id").alias("query_id"), F.col("text").alias("query"))
@@ -98,7 +109,8 @@ def word_overlap(spark, d):
 
 
 def ground_sentences(spark, d):
-    return _by_turn(answering.ground(answering.sentences(_answers(spark, d)), _passages_before(spark, d)))
+    said = _by_turn(answering.sentences(_answers(spark, d))).withColumnRenamed("query_id", "thread")
+    return threads.ground_in_thread(said, _passages(spark, d).withColumnRenamed("query_id", "thread")).withColumnRenamed("thread", "query_id")
 
 
 def prompt(spark, d):
@@ -300,7 +312,7 @@ QUERIES = {
     for f in (
         english_topk, retrieved_payload, replace_chunks, chunk_count, pdf_median_size, pdf_text_items, pdf_outside_tables, pdf_gutters, pdf_reading_order, pdf_pages_to_recognise, pdf_block_rows,
         docx_block_rows, naive_extraction, dense_topk, lexical_simple_topk, hybrid_rrf, rerank_topk, sentences, word_overlap, ground_sentences, prompt, flatten_spans, naive_chunks, naive_chunk_attribution, structure_chunks,
-        content_hash_diff, upsert_documents, cascade_delete, html_detect, text_detect, html_block_rows, caption_flags, hit_and_mrr, nearest_rank_percentile, quality_rollup, doc_counts, doc_list,
+        indexed_topk, content_hash_diff, upsert_documents, cascade_delete, html_detect, text_detect, html_block_rows, caption_flags, hit_and_mrr, nearest_rank_percentile, quality_rollup, doc_counts, doc_list,
     )
 }
 
@@ -360,6 +372,7 @@ _LAYOUT = {
 ORACLES = {
     "dense_topk": f"WITH {_DENSE} SELECT query_id, chunk_id, score, rank FROM dense WHERE rank <= 10",
     "lexical_simple_topk": f"WITH {_LEXICAL} SELECT query_id, chunk_id, score, rank FROM lexical WHERE rank <= 10",
+    "indexed_topk": f"WITH {_LEXICAL} SELECT query_id, chunk_id, score, rank FROM lexical WHERE rank <= 10",
     "hybrid_rrf": f"""WITH {_DENSE}, {_LEXICAL_BY_TEXT}, u AS (SELECT query_id, chunk_id, rank, 0 AS src FROM dense WHERE rank <= 40 UNION ALL SELECT query_id, chunk_id, rank, 1 FROM lexical WHERE rank <= 40),
 h AS (SELECT query_id, chunk_id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score, min(src * 1000000 + rank) AS seen FROM u GROUP BY ALL),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, seen) AS rank FROM h) SELECT query_id, chunk_id, score, rank FROM r WHERE rank <= 10""",
