@@ -16,6 +16,7 @@ Repeated query ids count as one query with the lexemes of all. Further columns a
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,9 +25,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from docloom.operators.retrieval import BROADCAST_LEXEMES, postings, ranked, terms
+from docloom.operators.retrieval import BROADCAST_LEXEMES, ranked, terms
 
 SPAN, BUCKETS, WAVE = 4096, 64, 4
+#: Characters of text that a task cuts into blocks at once; files of a folder that one addition makes at most.
+PART_BYTES, FILES = 1 << 22, 8
 
 BLOCKS = "bucket int, lexeme string, win long, n int, most long, steps binary, counts binary"
 REMOVED = "chunk_id long"
@@ -36,44 +39,70 @@ def bucket(lexeme) -> F.Column:
     return F.pmod(F.xxhash64(lexeme), F.lit(BUCKETS)).cast("int")
 
 
+def _cut(lexemes: pa.Array, ids: np.ndarray, counts: np.ndarray, span: int) -> list[pa.Array]:
+    """lexeme, win, n, most, steps and counts of the blocks of postings, which are sorted by lexeme (dictionary-encoded) and id."""
+    code, win = lexemes.indices.to_numpy(), np.floor_divide(ids, span)
+    new = np.flatnonzero((np.diff(code, prepend=-1) != 0) | (np.diff(win, prepend=win[:1] - 1) != 0))
+    ends = np.append(new[1:], len(ids))
+    steps = np.diff(ids - win * span, prepend=0)
+    steps[new] = (ids - win * span)[new]
+    most = np.maximum.reduceat(counts, new) if len(new) else counts
+    packed = [pa.array([x[a:b].tobytes() for a, b in zip(new.tolist(), ends.tolist())], pa.binary()) for x in (steps.astype(np.uint16), counts.astype(np.uint32))]
+    return [lexemes.dictionary.take(pa.array(code[new])).cast(pa.string()), pa.array(win[new]), pa.array((ends - new).astype(np.int32)), pa.array(most.astype(np.int64)), *packed]
+
+
+def _part(ids: list[int], texts: list[str], span: int) -> pa.RecordBatch:
+    """The blocks of some chunks."""
+    found = [_WORD.findall(t) for t in texts]
+    words = pa.array([w for f in found for w in f], pa.string()).dictionary_encode()
+    of = np.repeat(np.array(ids, np.int64), [len(f) for f in found])
+    order = np.lexsort((of, words.indices.to_numpy()))
+    code, of = words.indices.to_numpy()[order], of[order]
+    new = np.flatnonzero((np.diff(code, prepend=-1) != 0) | (np.diff(of, prepend=of[:1] - 1) != 0))
+    counts = np.diff(np.append(new, len(of)))
+    return pa.RecordBatch.from_arrays(_cut(pa.DictionaryArray.from_arrays(pa.array(code[new]), words.dictionary), of[new], counts, span), _PART)
+
+
+_WORD = re.compile("[a-z0-9]+")
+_PART = ["lexeme", "win", "n", "most", "steps", "counts"]
+
+
 def blocks(chunks: DataFrame) -> DataFrame:
-    """BLOCKS of chunks (chunk_id, text). Ranges of lexemes and ids are cut into blocks as they pass, so a lexeme that all chunks have is spread over tasks."""
-    parts = int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = postings(chunks.where("chunk_id IS NOT NULL").select(F.col("chunk_id").cast("long").alias("chunk_id"), "text"))
-    rows = rows.select(bucket(F.col("lexeme")).alias("bucket"), "lexeme", "chunk_id", "tf").repartitionByRange(parts, "bucket", "lexeme", "chunk_id").sortWithinPartitions("bucket", "lexeme", "chunk_id")
-
-    def cut(table: pa.Table, last: bool) -> tuple[pa.RecordBatch | None, pa.Table]:
-        """Blocks of all rows but, unless these are the last, those of the last block, which may go on."""
-        lexemes = table.column("lexeme").combine_chunks().dictionary_encode()
-        ids, counts, code = table.column("chunk_id").to_numpy(), table.column("tf").to_numpy(), lexemes.indices.to_numpy()
-        win = np.floor_divide(ids, SPAN)
-        new = np.flatnonzero((np.diff(code, prepend=-1) != 0) | (np.diff(win, prepend=win[:1] - 1) != 0))
-        ends = np.append(new[1:], len(ids))
-        if not last:
-            new, ends = new[:-1], ends[:-1]
-        if not len(new):
-            return None, table
-        steps = np.diff(ids - win * SPAN, prepend=0)
-        steps[new] = (ids - win * SPAN)[new]
-        out = [
-            table.column("bucket").combine_chunks().take(pa.array(new)), lexemes.dictionary.take(pa.array(code[new])), pa.array(win[new]), pa.array((ends - new).astype(np.int32)), pa.array(np.maximum.reduceat(counts[: ends[-1]], new)),
-            *[pa.array([x[a:b].tobytes() for a, b in zip(new, ends)], pa.binary()) for x in (steps.astype(np.uint16), counts.astype(np.uint32))],
-        ]
-        return pa.RecordBatch.from_arrays(out, [x.split()[0] for x in BLOCKS.split(", ")]), table.slice(ends[-1])
+    """BLOCKS of chunks (chunk_id, text). Tasks cut the postings of PART_BYTES of text into blocks; those of one lexeme and window, SPAN at most, are put together."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
+        ids, texts, size = [], [], 0
         for batch in batches:
-            table = pa.Table.from_batches([batch])
-            held = table if held is None else pa.concat_tables([held, table]).combine_chunks()
-            if held.num_rows:
-                made, held = cut(held, False)
-                if made is not None:
-                    yield made
-        if held is not None and held.num_rows:
-            yield cut(held, True)[0]
+            for i, text in zip(*(batch.column(c).to_pylist() for c in ("chunk_id", "text"))):
+                ids.append(i)
+                texts.append(text)
+                size += len(text)
+                if size >= PART_BYTES:
+                    yield _part(ids, texts, SPAN)
+                    ids, texts, size = [], [], 0
+        if texts:
+            yield _part(ids, texts, SPAN)
+
+    rows = chunks.where("chunk_id IS NOT NULL AND text IS NOT NULL").select(F.col("chunk_id").cast("long").alias("chunk_id"), F.lower(F.col("text").cast("string")).alias("text"))
+    parts = rows.mapInArrow(run, "lexeme string, win long, n int, most long, steps binary, counts binary")
+    met = parts.groupBy("lexeme", "win").agg(F.sum("n").cast("int").alias("n"), F.max("most").alias("most"), F.collect_list(F.struct("steps", "counts")).alias("p"))
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            steps, counts = [], []
+            for p in batch.column("p").to_pylist():
+                if len(p) == 1:
+                    steps.append(p[0]["steps"])
+                    counts.append(p[0]["counts"])
+                    continue
+                at = np.concatenate([np.cumsum(np.frombuffer(x["steps"], np.uint16).astype(np.int64)) for x in p])
+                order = np.argsort(at)
+                steps.append(np.diff(at[order], prepend=0).astype(np.uint16).tobytes())
+                counts.append(np.concatenate([np.frombuffer(x["counts"], np.uint32) for x in p])[order].tobytes())
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("lexeme", "win", "n", "most")], pa.array(steps, pa.binary()), pa.array(counts, pa.binary())], _PART)
 
-    return rows.mapInArrow(run, BLOCKS)
+    whole = met.mapInArrow(joined, "lexeme string, win long, n int, most long, steps binary, counts binary")
+    return whole.select(bucket(F.col("lexeme")).alias("bucket"), *_PART)
 
 
 def _met(rows: list[dict], need: int, span: int) -> tuple[np.ndarray, np.ndarray]:
@@ -125,7 +154,9 @@ class InvertedIndex:
 
     def add(self, chunks: DataFrame) -> None:
         """Takes in chunks (chunk_id, text) with new ids. A run that breaks off leaves nothing behind, as its files are committed together."""
-        blocks(chunks).write.mode("append").partitionBy("bucket").option("compression", "zstd").parquet(f"{self.path}/blocks")
+        # a lexeme's windows may lie in several files of its folder, each sorted
+        made = blocks(chunks).repartition("bucket", F.pmod(F.xxhash64("lexeme", "win"), F.lit(FILES))).sortWithinPartitions("bucket", "lexeme", "win")
+        made.write.mode("append").partitionBy("bucket").option("compression", "zstd").parquet(f"{self.path}/blocks")
 
     def remove(self, ids: DataFrame) -> None:
         """Chunks with an id (chunk_id) in ids are found no longer."""

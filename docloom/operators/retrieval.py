@@ -134,15 +134,24 @@ def postings(chunks: DataFrame) -> DataFrame:
 
 
 def lexical(queries: DataFrame, chunks: DataFrame, k: int = 10) -> DataFrame:
-    """Chunks that have all terms of a query, by the mass of its terms: an equi-join on lexemes, no pairs of texts.
+    """Chunks that have all terms of a query, by the mass of its terms: equi-joins on lexemes, no pairs of texts.
 
-    Words that no query has go before any are counted; see operators.index for many searches of the same chunks.
+    Words that no query has go before any are counted. The rarest term of a query names its candidates, so
+    its frequent ones meet those alone. See operators.index for many searches of the same chunks.
     """
+    from docloom.operators.store import new_folder
+
     wanted = queries.select("query_id", F.array_distinct(terms(F.col("query"))).alias("t")).select("query_id", F.size("t").alias("need"), F.explode("t").alias("lexeme"))
     lexemes = wanted.select("lexeme").distinct()
-    lexemes = F.broadcast(lexemes) if lexemes.count() <= BROADCAST_LEXEMES else lexemes
-    words = chunks.select("chunk_id", F.explode(terms(F.col("text"))).alias("lexeme")).join(lexemes, "lexeme", "left_semi")
-    hits = words.groupBy("chunk_id", "lexeme").agg(F.count("*").alias("tf")).join(wanted, "lexeme").groupBy("query_id", "chunk_id", "need").agg(F.count("*").alias("have"), F.sum("tf").alias("mass"))
+    few = lexemes.count() <= BROADCAST_LEXEMES
+    words = chunks.select("chunk_id", F.explode(terms(F.col("text"))).alias("lexeme")).join(F.broadcast(lexemes) if few else lexemes, "lexeme", "left_semi")
+    path = new_folder(chunks.sparkSession, "postings")
+    words.groupBy("chunk_id", "lexeme").agg(F.count("*").alias("tf")).write.option("compression", "zstd").parquet(path)
+    posts = chunks.sparkSession.read.parquet(path)
+    df = posts.groupBy("lexeme").agg(F.count("*").alias("df"))
+    rarest = wanted.join(df, "lexeme").groupBy("query_id", "need").agg(F.count("*").alias("known"), F.min_by("lexeme", F.struct("df", "lexeme")).alias("lexeme")).where("known = need").drop("known")
+    candidates = posts.select("chunk_id", "lexeme").join(F.broadcast(rarest) if few else rarest, "lexeme").drop("lexeme")
+    hits = candidates.join(wanted.drop("need"), "query_id").join(posts, ["chunk_id", "lexeme"]).groupBy("query_id", "chunk_id", "need").agg(F.count("*").alias("have"), F.sum("tf").alias("mass"))
     return ranked(hits.where("have = need").select("query_id", "chunk_id", F.round(F.lit(0.1) * F.col("mass"), 6).alias("score")), k)
 
 
