@@ -16,11 +16,12 @@ from pyspark.sql import types as T
 
 from docloom.operators import layout
 from docloom.operators.detection import sniff
+from docloom.operators.models import OcrEngine
 from docloom.sources import docx, html, pdf
 
 BLOCK = "struct<ord: bigint, block_type: string, text: string, section_path: array<string>, page: int, from_ocr: boolean, table_rows: array<array<string>>, caption: string>"
 EXTRACTED = f"source_path string, content_hash string, doc_type string, confidence double, signals array<string>, blocks array<{BLOCK}>, failures array<string>, pages_total int, pages_processed int"
-LAYOUT = "pages array<struct<page: int, width: double, spans: array<struct<block: int, line: int, span: int, text: string, size: double, x0: double, y0: double, x1: double, y1: double>>, `table`: struct<x0: double, y0: double, x1: double, y1: double, `rows`: array<array<string>>>>>"
+LAYOUT = "pages array<struct<page: int, width: double, spans: array<struct<block: int, line: int, span: int, text: string, size: double, x0: double, y0: double, x1: double, y1: double>>, `tables`: array<struct<x0: double, y0: double, x1: double, y1: double, `rows`: array<array<string>>>>>>"
 MODES = ("structure_aware", "naive")
 _PDF = ("pdf_text", "pdf_scanned")
 
@@ -55,7 +56,7 @@ def _of_file(data: bytes | None, mode: str) -> tuple[str, float, list[str], list
             file, pages = pdf.PdfFile(data), []
             for i in range(len(file.pages)):
                 page = file.page(i)
-                pages.append({"page": i + 1, "width": page["width"], "spans": page["spans"], "table": pdf.ruled_table(page)})
+                pages.append({"page": i + 1, "width": page["width"], "spans": page["spans"], "tables": pdf.ruled_tables(page)})
             return kind, confidence, signals, [], [], pages
         if kind == "plain_text":
             blocks, failures = _text_blocks(data.decode("utf-8", "replace"))
@@ -89,29 +90,34 @@ def _read(files: DataFrame, mode: str) -> DataFrame:
     return hashed.mapInArrow(run, schema)
 
 
-def extract(files: DataFrame, mode: str = "structure_aware", ocr: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def extract(files: DataFrame, mode: str = "structure_aware", ocr: OcrEngine | Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """A row for each file: source_path, content_hash, doc_type, confidence, signals, blocks and quality.
 
-    ocr: from pages to recognise (doc, page) to doc, page, text; without one such pages are reported.
+    ocr: an OcrEngine, or a function as its recognise(), from pages to recognise (doc, page, and content, the
+    bytes of the page's file) to doc, page, text. Without one, and where text is null, such pages are reported.
     """
     if mode not in MODES:
         raise ValueError(f"unknown extraction {mode!r}; one of {', '.join(MODES)}")
     read = _read(files, mode)
     plain = read.where(~F.col("doc_type").isin(*_PDF) | F.lit(mode == "naive") | (F.size("failures") > 0)).drop("pages")
     quality = plain.withColumn("pages_needing_ocr", F.lit(0)).withColumn("pages_ocr_recovered", F.lit(0))
-    return _rated(quality if mode == "naive" else quality.unionByName(_laid_out(read, ocr)))
+    return _rated(quality if mode == "naive" else quality.unionByName(_laid_out(read, files, ocr)))
 
 
-def _laid_out(read: DataFrame, ocr) -> DataFrame:
+def _laid_out(read: DataFrame, files: DataFrame, ocr) -> DataFrame:
     whole = read.where(F.col("doc_type").isin(*_PDF) & (F.size("failures") == 0)).withColumn("doc", F.struct("source_path", "content_hash"))
     each = whole.select("doc", F.explode("pages").alias("p"))
     pages = each.select("doc", "p.page", "p.width")
     spans = each.select("doc", "p.page", F.explode("p.spans").alias("s")).select("doc", "page", "s.*")
-    tables = each.where("p.table IS NOT NULL").select("doc", "p.page", "p.table.*")
+    tables = each.select("doc", "p.page", F.explode("p.tables").alias("t")).select("doc", "page", "t.*")
     need = layout.pages_to_recognise(layout.page_items(spans, tables), pages)
-    found = ocr(need) if ocr else None
+    found, missing = None, "tesseract_not_installed"
+    if ocr:
+        sources = files.select(F.struct("source_path", F.sha2("content", 256).alias("content_hash")).alias("doc"), "content")
+        found = getattr(ocr, "recognise", ocr)(need.join(sources, "doc")).select("doc", "page", "text").dropDuplicates(["doc", "page"])
+        missing = "no_text_returned"
     seen = need.join(found, ["doc", "page"], "left") if ocr else need.withColumn("text", F.lit(None).cast("string"))
-    told = F.when(F.col("text") == "", F.format_string("page_%d_no_text_and_ocr_empty", "page")).when(F.col("text").isNull(), F.format_string("page_%d_ocr_failed: tesseract_not_installed", "page"))
+    told = F.when(F.col("text") == "", F.format_string("page_%d_no_text_and_ocr_empty", "page")).when(F.col("text").isNull(), F.format_string(f"page_%d_ocr_failed: {missing}", "page"))
     report = seen.groupBy("doc").agg(F.count("*").cast("int").alias("pages_needing_ocr"), F.count_if(F.col("text") != "").cast("int").alias("pages_ocr_recovered"), F.transform(F.sort_array(F.collect_list(F.when(told.isNotNull(), F.struct("page", told.alias("f"))))), lambda x: x["f"]).alias("told"))
     made = layout.pdf_blocks(spans, tables, pages, found)
     blocks = made.groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("ord", "block_type", "text", "section_path", F.col("page").cast("int").alias("page"), "from_ocr", "table_rows", "caption"))).alias("made"))

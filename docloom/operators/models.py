@@ -32,7 +32,8 @@ class Scorer(Protocol):
 
 
 class OcrEngine(Protocol):
-    def recognise(self, pages: DataFrame) -> DataFrame: ...
+    def recognise(self, pages: DataFrame) -> DataFrame:
+        """doc, page and text of pages (doc, page, content: the bytes of the page's file)."""
 
 
 class HashedEmbedder:

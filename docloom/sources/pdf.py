@@ -125,20 +125,44 @@ class PdfFile:
         return {"width": right - left, "spans": spans, "rules": rules}
 
 
-def ruled_table(page: dict) -> dict | None:
-    """The grid that horizontal and vertical rules make, with the texts in its cells; None where there is none of two columns and rows."""
-    across = sorted({round(y0, 1) for x0, y0, x1, y1 in page["rules"] if abs(y0 - y1) < 0.5 <= abs(x0 - x1)})
-    down = sorted({round(x0, 1) for x0, y0, x1, y1 in page["rules"] if abs(x0 - x1) < 0.5 <= abs(y0 - y1)})
-    if len(across) < 2 or len(down) < 2:
-        return None
-    rows = [["" for _ in down[1:]] for _ in across[1:]]
-    for _, _, _, text, _, x0, y0, x1, y1 in page["spans"]:
-        y, x = (y0 + y1) / 2, x0
-        row = next((i for i, (a, b) in enumerate(zip(across, across[1:])) if a <= y < b), None)
-        column = next((i for i, (a, b) in enumerate(zip(down, down[1:])) if a <= x < b), None)
-        if row is not None and column is not None:
-            rows[row][column] = f"{rows[row][column]} {text}".strip()
-    return {"x0": down[0], "y0": across[0], "x1": down[-1], "y1": across[-1], "rows": rows}
+#: How far rules may miss each other, in points.
+REACH = 1.0
+
+
+def ruled_tables(page: dict) -> list[dict]:
+    """The grids that horizontal and vertical rules make where they meet, each with the texts in its cells.
+
+    Rules that meet, directly or by others, are one grid. One of fewer than two columns or rows, as a frame, is none.
+    """
+    flat = [(min(x0, x1), max(x0, x1), y0) for x0, y0, x1, y1 in page["rules"] if abs(y0 - y1) < 0.5 <= abs(x0 - x1)]
+    steep = [(min(y0, y1), max(y0, y1), x0) for x0, y0, x1, y1 in page["rules"] if abs(x0 - x1) < 0.5 <= abs(y0 - y1)]
+    root = list(range(len(flat) + len(steep)))
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    for i, (x0, x1, y) in enumerate(flat):
+        for j, (y0, y1, x) in enumerate(steep, len(flat)):
+            if x0 - REACH <= x <= x1 + REACH and y0 - REACH <= y <= y1 + REACH:
+                root[find(i)] = find(j)
+    out = []
+    for r in sorted({find(i) for i in range(len(root))}):
+        across = sorted({round(y, 1) for i, (_, _, y) in enumerate(flat) if find(i) == r})
+        down = sorted({round(x, 1) for j, (_, _, x) in enumerate(steep, len(flat)) if find(j) == r})
+        if len(across) < 3 or len(down) < 3:
+            continue
+        rows = [["" for _ in down[1:]] for _ in across[1:]]
+        for _, _, _, text, _, x0, y0, x1, y1 in page["spans"]:
+            y = (y0 + y1) / 2
+            row = next((i for i, (a, b) in enumerate(zip(across, across[1:])) if a <= y < b), None)
+            column = next((i for i, (a, b) in enumerate(zip(down, down[1:])) if a <= x0 < b), None)
+            if row is not None and column is not None:
+                rows[row][column] = f"{rows[row][column]} {text}".strip()
+        out.append({"x0": down[0], "y0": across[0], "x1": down[-1], "y1": across[-1], "rows": rows})
+    return sorted(out, key=lambda t: (t["y0"], t["x0"]))
 
 
 def write_pdf(pages: list[dict]) -> bytes:
