@@ -27,6 +27,35 @@ def dense_topk(spark, d):
     return retrieval.dense(*_vectors(spark, d), 10)
 
 
+def _vector_index(spark, d):
+    """The vectors in an index, taken in in two parts."""
+    from docloom.operators.vectors import VectorIndex
+
+    made = VectorIndex(spark, store.new_folder(spark, "vectors"))
+    chunks = _vectors(spark, d)[1]
+    made.fit(chunks)
+    for part in (0, 1):
+        made.add(chunks.where(F.pmod(F.xxhash64("chunk_id"), F.lit(2)) == part))
+    return made
+
+
+def vector_index_topk(spark, d):
+    """What dense_topk finds, by the bounds of an index."""
+    return _vector_index(spark, d).search(_vectors(spark, d)[0], 10)
+
+
+#: Lists that are read for each query where some hits may be missed.
+PROBES = 40
+
+
+def vector_probe_recall(spark, d):
+    """For each query its number of exact hits, and how many of them the nearest lists alone find."""
+    from docloom.operators.vectors import recall
+
+    made, asked = _vector_index(spark, d), _vectors(spark, d)[0]
+    return recall(made.search(asked, 10, PROBES), retrieval.dense(asked, _vectors(spark, d)[1], 10))
+
+
 def _words_queries(spark, d):
     items = _t(spark, d, "benchmark")
     return items.select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
@@ -312,7 +341,7 @@ QUERIES = {
     for f in (
         english_topk, retrieved_payload, replace_chunks, chunk_count, pdf_median_size, pdf_text_items, pdf_outside_tables, pdf_gutters, pdf_reading_order, pdf_pages_to_recognise, pdf_block_rows,
         docx_block_rows, naive_extraction, dense_topk, lexical_simple_topk, hybrid_rrf, rerank_topk, sentences, word_overlap, ground_sentences, prompt, flatten_spans, naive_chunks, naive_chunk_attribution, structure_chunks,
-        indexed_topk, content_hash_diff, upsert_documents, cascade_delete, html_detect, text_detect, html_block_rows, caption_flags, hit_and_mrr, nearest_rank_percentile, quality_rollup, doc_counts, doc_list,
+        indexed_topk, vector_index_topk, vector_probe_recall, content_hash_diff, upsert_documents, cascade_delete, html_detect, text_detect, html_block_rows, caption_flags, hit_and_mrr, nearest_rank_percentile, quality_rollup, doc_counts, doc_list,
     )
 }
 
@@ -371,6 +400,7 @@ _LAYOUT = {
 
 ORACLES = {
     "dense_topk": f"WITH {_DENSE} SELECT query_id, chunk_id, score, rank FROM dense WHERE rank <= 10",
+    "vector_index_topk": f"WITH {_DENSE} SELECT query_id, chunk_id, score, rank FROM dense WHERE rank <= 10",
     "lexical_simple_topk": f"WITH {_LEXICAL} SELECT query_id, chunk_id, score, rank FROM lexical WHERE rank <= 10",
     "indexed_topk": f"WITH {_LEXICAL} SELECT query_id, chunk_id, score, rank FROM lexical WHERE rank <= 10",
     "hybrid_rrf": f"""WITH {_DENSE}, {_LEXICAL_BY_TEXT}, u AS (SELECT query_id, chunk_id, rank, 0 AS src FROM dense WHERE rank <= 40 UNION ALL SELECT query_id, chunk_id, rank, 1 FROM lexical WHERE rank <= 40),
