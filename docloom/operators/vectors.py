@@ -30,7 +30,7 @@ from pyspark.sql.window import Window
 from docloom.operators.retrieval import _dot, _rounded, ranked
 
 #: Values in the sample of the fit, and its rows at most; lists at most; dimensions of a book; rounds of k-means.
-SAMPLE_VALUES, SAMPLE_ROWS, LISTS, STEP, ROUNDS = 1 << 23, 40_000, 64, 2, 8
+SAMPLE_VALUES, SAMPLE_ROWS, LISTS, STEP, ROUNDS = 1 << 23, 40_000, 64, 1, 8
 #: Rows of a block; queries of a block; lists that give the first limit; folders.
 ROWS, QUERY_ROWS, WAVE, FOLDERS = 4096, 256, 8, 16
 #: What single precision may lose, and what rounding a score to six places may move.
@@ -64,6 +64,9 @@ def _unit(v: np.ndarray) -> np.ndarray:
 
 
 def _nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+    if x.shape[1] == 1:
+        order = np.argsort(c[:, 0], kind="stable")
+        return order[np.searchsorted((c[order[1:], 0] + c[order[:-1], 0]) / 2, x[:, 0])]
     half = (c * c).sum(axis=1) / 2
     return np.concatenate([np.argmax(x[a : a + ROWS] @ c.T - half, axis=1) for a in range(0, len(x), ROWS)] or [np.zeros(0, np.int64)])
 
