@@ -1,7 +1,7 @@
 """Document types from content.
 
 detect() is a column expression for what marks and characters tell; sniff() also looks into PDF and ZIP
-files and gives its reasons. Null and empty content is unknown.
+files and gives its reasons. Both decode by the same ladder and so agree on all other files. Null and empty content is unknown.
 """
 
 from __future__ import annotations
@@ -21,28 +21,45 @@ PDF_PAGES, PAGE_CHARS = 5, 20
 WEAK = ("<head", "<body", "<title", "<div", "<meta", "<script", "<p>", "<a href")
 
 
+#: A half of a surrogate pair without its other half, among hexadecimal units that end in a space.
+_LONE = r"\b{high}(?!{low})|(?<!\b{high})\b{low}"
+
+
 def _header(content: Column) -> Column:
-    """The first bytes as text; a character cut at the end is left off."""
-    return F.regexp_replace(F.make_valid_utf8(F.substring(content, 1, HEADER_BYTES).cast("string")), "\ufffd+$", "")
+    """The first bytes as text, by the ladder of decoded()."""
+    head = F.substring(content, 1, HEADER_BYTES)
+    cuts = [F.substring(content, 1, HEADER_BYTES - cut) for cut in range(4)]
+    whole = [F.when((F.length(head) >= HEADER_BYTES) if cut else F.lit(True), F.when(F.is_valid_utf8(x.cast("string")), x.cast("string"))) for cut, x in enumerate(cuts)]
+    big = F.hex(F.substring(head, 1, 2)) == "FEFF"
+    body = F.when(big | (F.hex(F.substring(head, 1, 2)) == "FFFE"), F.substring(head, 3, HEADER_BYTES)).otherwise(head)
+    units = F.regexp_replace(F.hex(body), "(....)", "$1 ")
+    lone = units.rlike(_LONE.format(high="..D[89AB] ", low="..D[C-F] "))
+    lone_big = units.rlike(_LONE.format(high="D[89AB].. ", low="D[C-F].. "))
+    even = F.length(head) % 2 == 0
+    return F.coalesce(*whole, F.when(even & big & ~lone_big, F.decode(body, "UTF-16BE")), F.when(even & ~big & ~lone, F.decode(body, "UTF-16LE")), F.decode(head, "ISO-8859-1"))
 
 
 def detect(content: Column) -> Column:
     """struct<doc_type, confidence> of bytes, by PDF and ZIP marks, HTML marks and the share of printable characters."""
-    text = F.regexp_replace(F.lower(_header(content)), "^[﻿ \t\r\n]+", "")
+    return F.get(F.transform(F.array(_header(content)), lambda raw: _told(content, raw)), 0)  # a lambda's variable is made once
+
+
+def _told(content: Column, raw: Column) -> Column:
+    """detect() of content whose header as text is raw."""
+    text = F.regexp_replace(F.lower(raw), "^[\ufeff \t\r\n]+", "")
     strong = F.lit(False)
     for s in STRONG:
         strong = strong | (F.instr(F.substring(text, 1, 512), s) > 0)
     weak = sum((F.when(F.instr(text, s) > 0, 1).otherwise(0) for s in WEAK), F.lit(0))
-    raw = _header(content)
-    ratio = F.length(F.regexp_replace(raw, r"[\p{C}\p{Z}\x{FFFD}&&[^\n\r\t ]]", "")) / F.length(raw)
-    latin = F.decode(F.substring(content, 1, 1024), "ISO-8859-1")
+    ratio = F.length(F.regexp_replace(raw, r"[\p{C}\p{Z}&&[^\n\r\t ]]", "")) / F.length(raw)
+    latin = F.decode(F.substring(content, 1, HEADER_BYTES), "ISO-8859-1")
     made = lambda kind, confidence: F.struct(F.lit(kind).alias("doc_type"), confidence.cast("double").alias("confidence"))
     return (
         F.when(content.isNull() | (F.length(content) == 0), made("unknown", F.lit(0.0)))
-        .when(F.instr(latin, "%PDF-") > 0, made("pdf", F.lit(0.7)))
+        .when(F.instr(F.substring(latin, 1, 1024), "%PDF-") > 0, made("pdf", F.lit(0.7)))
         .when(F.hex(F.substring(content, 1, 4)).isin("504B0304", "504B0506", "504B0708"), made("zip", F.lit(0.4)))
         .when(strong, made("html", F.least(F.lit(0.75) + 0.05 * F.least(weak, F.lit(5)), F.lit(0.99))))
-        .when(F.contains(F.decode(F.substring(content, 1, HEADER_BYTES), "ISO-8859-1"), F.lit("\0")), made("unknown", F.lit(0.2)))
+        .when(F.contains(latin, F.lit("\0")), made("unknown", F.lit(0.2)))
         .when(ratio >= 0.95, made("plain_text", F.least(F.lit(0.6) + 0.3 * ratio, F.lit(0.99))))
         .otherwise(made("unknown", F.lit(0.2)))
     )
