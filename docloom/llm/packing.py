@@ -143,7 +143,7 @@ def packed(docs: DataFrame, text: str = "text", key: str = "doc_id", path: str |
     """A row for each piece: key, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     spark = docs.sparkSession
     small_batches(spark)
-    docs = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
+    docs = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").cast("string").alias("text"))
     pieces = docs.mapInArrow(_pieces_of(path or bpe.default_path()), f"key {docs.schema['key'].dataType.simpleString()}, start long, length long, ids_crc32 long, doc_tokens long")
     pieces = written(pieces.withColumn("bucket", F.pmod(F.xxhash64("key", "start"), F.lit(BUCKETS))), "pieces")
     counts = written(pieces.groupBy("length", "bucket").agg(F.count("*").alias("c")), "piece-counts")

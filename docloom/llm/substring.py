@@ -291,7 +291,7 @@ def without_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", te
     spark = docs.sparkSession
     small_batches(spark)
     n = partitions(spark)
-    docs = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
+    docs = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").cast("string").alias("text"))
     schema = f"key {docs.schema['key'].dataType.simpleString()}, uid long, n long, text string, sha string"
     posted = docs.select("text").mapInArrow(_poster(8 * n), "bucket int, blob binary").repartition(n, "bucket").select("blob")
     runs = written(posted.mapInArrow(_repeated, "key long, uid long, s long, r long"), "runs")
