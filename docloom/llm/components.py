@@ -14,9 +14,10 @@ def components(edges: DataFrame) -> DataFrame:
     state = _state(e)
     while state[0]:
         both = e.unionByName(e.select(F.col("w").alias("v"), F.col("v").alias("w")))
-        least = both.groupBy("v").agg(F.least(F.min("w"), F.first("v")).alias("m"))
-        large = both.join(least, "v").where("w > v").select(F.col("w").alias("v"), F.col("m").alias("w")).where("v <> w").distinct()
-        least = large.groupBy("v").agg(F.min("w").alias("m"))
+        # least is written each time: with no aggregation beside the join, Spark can split the rows of a hub
+        least = written(both.groupBy("v").agg(F.least(F.min("w"), F.first("v")).alias("m")), "least")
+        large = written(both.join(least, "v").where("w > v").select(F.col("w").alias("v"), F.col("m").alias("w")).where("v <> w").distinct(), "large")
+        least = written(large.groupBy("v").agg(F.min("w").alias("m")), "least")
         small = large.join(least, "v").where("w <> m").select(F.col("w").alias("v"), F.col("m").alias("w"))
         e = written(small.unionByName(least.select("v", F.col("m").alias("w"))).distinct(), "edges")
         now = _state(e)

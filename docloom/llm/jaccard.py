@@ -503,7 +503,8 @@ def keep_near(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataF
     rows = _grouped(whole.select(F.struct(F.col(f"`{key}`").isNull().alias("none"), F.col(f"`{key}`").alias("key"), F.col(row)).alias("key"), F.col(f"`{text}`").cast("string").alias("text")))
     rows = written(rows.select("key", "comp"), "grouped")
     # the rows that go are fewer than those that stay
-    least = rows.where("comp IS NOT NULL").groupBy("comp").agg(F.min("key").alias("least"))
+    least = rows.where("comp IS NOT NULL").groupBy("comp").agg(F.min("key").alias("least"), F.count("*").alias("c")).where("c > 1").drop("c")
+    least = written(least, "least")
     gone = rows.join(least, "comp").where(F.col(f"key.{row}") != F.col(f"least.{row}")).select(F.col(f"key.{row}").alias(row))
     return whole.join(gone, row, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
