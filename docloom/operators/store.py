@@ -11,8 +11,11 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from docloom.operators.buckets import BUCKETS, Buckets, removed, there
+
 LOCAL_CHECKPOINTS = "file:///tmp/checkpoints/docloom"
 
 
@@ -45,8 +48,7 @@ def new_folder(spark: SparkSession, label: str) -> str:
 def _dropped(spark: SparkSession, path: str) -> None:
     if spark.sparkContext._jsc is not None:
         try:
-            where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+            removed(spark, path)
         except Exception:  # noqa: BLE001 - the JVM may be gone by now
             pass
 
@@ -102,75 +104,102 @@ CHUNKS = """id bigint, document_id bigint, chunk_index bigint, strategy string,
 from_table boolean, embedding array<float>, version bigint"""
 
 
+#: Schema, key and order within a bucket of the library's tables.
+TABLES = {"documents": (DOCUMENTS, "id", ["id", "version"]), "chunks": (CHUNKS, "document_id", ["document_id", "chunk_index"])}
+
+
 class Library:
-    """Two append-only Parquet tables under one path, for one writer at a time.
+    """Documents and chunks under one path, both dealt into buckets by the document's id; for one writer at a time.
 
     A document's rows are versions; the latest counts, unless it says deleted. Chunks count if their
     document's latest version is theirs, so writing the documents, which comes last, publishes both.
+    compact() leaves the rows that count and, of deleted documents, one row, so that no id is given again.
+    A library in the layout of before, two plain Parquet tables, is taken over when it is opened.
     """
 
-    def __init__(self, spark: SparkSession, path: str):
+    def __init__(self, spark: SparkSession, path: str, buckets: int = BUCKETS):
         self.spark, self.path = spark, path.rstrip("/")
-        for name, schema in (("documents", DOCUMENTS), ("chunks", CHUNKS)):
-            try:
-                self.spark.read.parquet(f"{self.path}/{name}").schema  # noqa: B018 - looks whether it is there
-            except Exception as wrong:  # noqa: BLE001
-                if "PATH_NOT_FOUND" not in str(wrong) and "UNABLE_TO_INFER_SCHEMA" not in str(wrong):
-                    raise
-                spark.createDataFrame([], schema).write.mode("append").parquet(f"{self.path}/{name}")
+        old = {name: f"{self.path}/{name}" for name in TABLES}
+        plain = all(there(spark, where) for where in old.values())
+        self.store = Buckets(spark, self.path, TABLES, buckets)
+        if plain and self.store.generation == 1:
+            self.store.compact({name: spark.read.schema(TABLES[name][0]).parquet(where) for name, where in old.items()})
 
-    def _rows(self, name: str) -> DataFrame:
-        return self.spark.read.schema(DOCUMENTS if name == "documents" else CHUNKS).parquet(f"{self.path}/{name}")
+    def _rows(self, name: str, whole: bool = True) -> DataFrame:
+        return self.store.rows(name, whole)
 
-    def _current(self) -> DataFrame:
+    def _latest(self) -> DataFrame:
+        """The last version of each document, deleted ones too; grouped within buckets."""
         rows = self._rows("documents")
-        latest = rows.groupBy("source_path").agg(F.max("version").alias("version"))
-        return rows.join(latest, ["source_path", "version"]).where("NOT deleted")
+        row = F.struct(*[c for c in rows.columns if c != "id"])
+        return rows.groupBy("id").agg(F.max_by(row, "version").alias("r")).select("id", "r.*")
+
+    def _current(self) -> DataFrame:
+        return self._latest().where("NOT deleted")
 
     def documents(self) -> DataFrame:
         return self._current().drop("version", "deleted")
 
     def document(self, document_id: int) -> DataFrame:
-        """The document of an id; no row where there is none."""
+        """The document of an id, from its bucket alone; no row where there is none."""
         return self.documents().where(F.col("id") == document_id)
 
-    def chunks(self) -> DataFrame:
-        owners = self._current().select(F.col("id").alias("document_id"), "version", F.col("source_path").alias("source_document"))
-        return self._rows("chunks").join(owners, ["document_id", "version"]).drop("version")
+    def _live(self, whole: bool = True) -> DataFrame:
+        owners = self._current().select(F.col("id").alias("document_id"), F.col("version").alias("_of"), F.col("source_path").alias("source_document"))
+        # no equality of versions in the join: they would count as keys, and the buckets are of the id alone
+        return self._rows("chunks", whole).join(owners, "document_id").where(F.col("version").between(F.col("_of"), F.col("_of"))).drop("_of")
+
+    def chunks(self, whole: bool = True) -> DataFrame:
+        """The chunks that count, joined bucket by bucket; whole=False for a join that Spark may split, where one document holds a large part of all chunks."""
+        return self._live(whole).drop("version")
 
     def count_chunks(self, document_id: int | None = None) -> int:
         rows = self.chunks()
         return (rows if document_id is None else rows.where(F.col("document_id") == document_id)).count()
 
+    def compact(self, buckets: int | None = None) -> None:
+        """Drops the rows of old versions and of runs that broke off, and may deal the rest into another number of buckets."""
+        self.store.reopen()
+        self.store.compact({"documents": self._latest(), "chunks": self._live().drop("source_document")}, buckets)
+
     def _next_version(self) -> int:
         """One that no row has, chunks of a run that broke off before its documents included."""
         return max(self._rows(name).agg(F.max("version")).first()[0] or 0 for name in ("documents", "chunks")) + 1
 
     def delete(self, source_path: str) -> bool:
         """Whether there was such a document; its chunks go with it."""
+        self.store.reopen()
         found = self._current().where(F.col("source_path") == source_path)
         if found.isEmpty():
             return False
         gone = _held(found.withColumn("version", F.lit(self._next_version()).cast("long")).withColumn("deleted", F.lit(True)))
-        self._append(gone, "documents", DOCUMENTS)
+        self._append(gone, "documents")
         return True
 
-    def _append(self, rows: DataFrame, name: str, schema: str) -> None:
-        names = [x.split()[0] for x in schema.replace("\n", " ").split(", ")]
-        rows.select(*names).write.mode("append").parquet(f"{self.path}/{name}")
+    def _append(self, rows: DataFrame, name: str) -> None:
+        self.store.append(name, rows)
+
+    def put(self, chunks: DataFrame, documents: DataFrame, version: int | None = None) -> None:
+        """Appends rows made elsewhere as one version, in place of what such documents had: chunks (document_id, ...) and documents (id, source_path, ...); columns that they lack are null."""
+        version = self._next_version() if version is None else version
+        for name, rows in (("chunks", chunks), ("documents", documents)):
+            fixed = {"version": F.lit(version).cast("long")} | ({"deleted": F.lit(False)} if name == "documents" else {})
+            lacking = {f.name: F.lit(None).cast(f.dataType) for f in T.StructType.fromDDL(TABLES[name][0]) if f.name not in rows.columns}
+            self._append(rows.withColumns(lacking | fixed), name)
 
     def ingest(self, files: DataFrame, embedder, ocr=None) -> DataFrame:
         """Takes files (source_path, content) in: source_path, status (indexed, skipped_unchanged or failed), document_id, chunks_indexed and reason.
 
         Unchanged files cost a hash; a changed one replaces only its own chunks; one that fails leaves what
-        is stored as it is. Of rows that repeat a path one is taken.
+        is stored as it is. Of rows that repeat a path the one with the greatest hash counts.
         """
         from docloom.operators.chunking import chunk_documents
         from docloom.operators.extraction import blocks_of, extract
         from docloom.operators.models import embedded
 
+        self.store.reopen()
         version = self._next_version()
-        files = files.dropDuplicates(["source_path"])
+        files = files.groupBy("source_path").agg(F.max_by("content", F.coalesce(content_hash(F.col("content")), F.lit(""))).alias("content"))
         hashed = _held(files.select("source_path", content_hash(F.col("content")).alias("content_hash")))
         known = _held(self._current().select("source_path", "id", F.col("content_hash").alias("old"), F.col("ingested_at").alias("since")))
         state = hashed.join(known, "source_path", "left")
@@ -185,11 +214,11 @@ class Library:
         chunks = embedded(chunks.join(ids.select(F.col("source_path").alias("doc"), F.col("id").alias("document_id")), "doc"), "text", embedder)
         base = self._rows("chunks").agg(F.coalesce(F.max("id"), F.lit(0)).alias("base"))
         chunks = numbered(chunks.withColumn("_order", F.struct("document_id", "chunk_index")), "_order", "n").crossJoin(F.broadcast(base)).withColumn("id", F.col("base") + F.col("n"))
-        self._append(chunks.withColumn("version", F.lit(version).cast("long")), "chunks", CHUNKS)
+        self._append(chunks.withColumn("version", F.lit(version).cast("long")), "chunks")
         written = self._rows("chunks").where(F.col("version") == version).groupBy("document_id").agg(F.count("*").cast("int").alias("chunks_indexed"))
         now = F.current_timestamp()
         documents = good.join(ids, "source_path").select("id", "source_path", "doc_type", "content_hash", "quality.*", F.coalesce("since", now).alias("ingested_at"), now.alias("updated_at"), F.lit(version).cast("long").alias("version"), F.lit(False).alias("deleted"))
-        self._append(documents, "documents", DOCUMENTS)
+        self._append(documents, "documents")
         done = good.join(ids, "source_path").select("source_path", F.col("id").alias("document_id")).join(written, "document_id", "left")
         report = done.select("source_path", F.lit("indexed").alias("status"), "document_id", F.coalesce("chunks_indexed", F.lit(0)).alias("chunks_indexed"), F.lit(None).cast("string").alias("reason"))
         nothing = [F.lit(None).cast("long").alias("document_id"), F.lit(0).alias("chunks_indexed")]

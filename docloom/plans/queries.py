@@ -211,6 +211,17 @@ def replace_chunks(spark, d):
     return store.replace_chunks(chunks, new).select("document_id", "chunk_index", F.sha2("text", 256).alias("text_sha256"))
 
 
+def bucketed_chunks(spark, d):
+    """Each document and its lines go into bucketed tables; those of quality 0 come again with their language as the one chunk, and are compacted."""
+    documents, chunks, changed = _two_tables(spark, d)
+    library = store.Library(spark, store.new_folder(spark, "bucketed"))
+    again = documents.join(changed.distinct(), "source_path", "left_semi")
+    for version, (owners, lines) in enumerate(((documents, chunks), (again, again.select(F.col("id").alias("document_id"), F.lit(0).cast("long").alias("chunk_index"), F.coalesce("lang", F.lit("")).alias("text")))), 1):
+        library.put(lines, owners.select("id", "source_path"), version)
+    library.compact()
+    return library.chunks().select("document_id", "source_document", "chunk_index", F.sha2("text", 256).alias("text_sha256"))
+
+
 def chunk_count(spark, d):
     return _blocks(spark, d).agg(F.count("*").alias("n"))
 
@@ -339,7 +350,7 @@ def doc_list(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        english_topk, retrieved_payload, replace_chunks, chunk_count, pdf_median_size, pdf_text_items, pdf_outside_tables, pdf_gutters, pdf_reading_order, pdf_pages_to_recognise, pdf_block_rows,
+        english_topk, retrieved_payload, replace_chunks, bucketed_chunks, chunk_count, pdf_median_size, pdf_text_items, pdf_outside_tables, pdf_gutters, pdf_reading_order, pdf_pages_to_recognise, pdf_block_rows,
         docx_block_rows, naive_extraction, dense_topk, lexical_simple_topk, hybrid_rrf, rerank_topk, sentences, word_overlap, ground_sentences, prompt, flatten_spans, naive_chunks, naive_chunk_attribution, structure_chunks,
         indexed_topk, vector_index_topk, vector_probe_recall, content_hash_diff, upsert_documents, cascade_delete, html_detect, text_detect, html_block_rows, caption_flags, hit_and_mrr, nearest_rank_percentile, quality_rollup, doc_counts, doc_list,
     )
@@ -436,6 +447,9 @@ SELECT doc_id + 1 AS id, 'doc-' || doc_id AS source_path, coalesce(n, 0) AS n_ch
     "replace_chunks": f"""WITH {_BLOCKS}, gone AS (SELECT DISTINCT doc_id FROM labels WHERE quality = 0)
 SELECT doc + 1 AS document_id, ord AS chunk_index, sha256(text) AS text_sha256 FROM b WHERE doc NOT IN (SELECT doc_id FROM gone WHERE doc_id IS NOT NULL)
 UNION ALL SELECT doc_id + 1, 0, sha256(coalesce(lang, '')) FROM documents JOIN gone USING (doc_id)""",
+    "bucketed_chunks": f"""WITH {_BLOCKS}, gone AS (SELECT DISTINCT doc_id FROM labels WHERE quality = 0)
+SELECT doc + 1 AS document_id, 'doc-' || doc AS source_document, ord AS chunk_index, sha256(text) AS text_sha256 FROM b WHERE doc NOT IN (SELECT doc_id FROM gone WHERE doc_id IS NOT NULL)
+UNION ALL SELECT doc_id + 1, 'doc-' || doc_id, 0, sha256(coalesce(lang, '')) FROM documents JOIN gone USING (doc_id)""",
     "chunk_count": f"WITH {_BLOCKS} SELECT count(*) AS n FROM b",
     **{name: f"WITH {_BLOCKS}, {_LAID_OUT} {sql}" for name, sql in _LAYOUT.items()},
     "docx_block_rows": f"""WITH {_BLOCKS}, t AS (SELECT doc, ord, regexp_replace(text, '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x{{FFFE}}\\x{{FFFF}}]', '', 'g') AS text FROM b), u AS (SELECT doc, ord, trim(text, {_SPACE}) AS text FROM t WHERE trim(text, {_SPACE}) <> ''),

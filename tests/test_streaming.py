@@ -28,6 +28,6 @@ def test_a_take_in_that_broke_off_leaves_no_chunk_twice(spark, tmp_path):
     store = Library(spark, str(tmp_path / "library"))
     files = spark.createDataFrame([("a.txt", bytearray(b"One passage."))], "source_path string, content binary")
     # what a run leaves that ends between its chunks and its documents
-    spark.createDataFrame([(1, 1, 0, "structure", "One passage.", None, [], 0, 12, False, [0.5], 1)], CHUNKS).write.mode("append").parquet(f"{store.path}/chunks")
+    store.store.append("chunks", spark.createDataFrame([(1, 1, 0, "structure", "One passage.", None, [], 0, 12, False, [0.5], 1)], CHUNKS))
     store.ingest(files, HashedEmbedder())
     assert store.count_chunks() == 1
