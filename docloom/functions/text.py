@@ -20,6 +20,12 @@ def strip(text: Column) -> Column:
     return F.regexp_replace(text, _ENDS, "")
 
 
+def strip_each(texts: Column) -> Column:
+    """An array's texts stripped; those that begin and end with printable ASCII have nothing to strip, and no pattern is tried on them."""
+    bare = lambda c: F.ascii(c).between(33, 126)
+    return F.transform(texts, lambda x: F.when(bare(x) & bare(F.substring(x, -1, 1)), x).otherwise(strip(x)))
+
+
 def word_set(text: Column) -> Column:
     """Distinct ASCII words of the lower-cased text; null gives none."""
     return F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0)))

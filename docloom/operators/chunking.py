@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from docloom.functions.text import strip
+from docloom.functions.text import strip, strip_each
 
 SEPARATOR = "\n\n"
 
@@ -18,7 +18,7 @@ SEPARATOR = "\n\n"
 def text_blocks(docs: DataFrame, key: str, text: str, separator: str = SEPARATOR) -> DataFrame:
     """Paragraph blocks of plain texts: split at the separator, stripped, empty ones dropped."""
     plain = F.regexp_replace(F.coalesce(F.col(text), F.lit("")), "\r\n?", "\n")
-    parts = F.filter(F.transform(F.split(plain, separator), strip), lambda p: p != "")
+    parts = F.filter(strip_each(F.split(plain, separator)), lambda p: p != "")
     return docs.select(F.col(key).alias("doc"), F.posexplode(parts).alias("ord", "text")).select("doc", F.col("ord").cast("long").alias("ord"), F.lit("paragraph").alias("block_type"), "text")
 
 

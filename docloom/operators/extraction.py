@@ -23,6 +23,8 @@ BLOCK = "struct<ord: bigint, block_type: string, text: string, section_path: arr
 EXTRACTED = f"source_path string, content_hash string, doc_type string, confidence double, signals array<string>, blocks array<{BLOCK}>, failures array<string>, pages_total int, pages_processed int"
 LAYOUT = "pages array<struct<page: int, width: double, spans: array<struct<block: int, line: int, span: int, text: string, size: double, x0: double, y0: double, x1: double, y1: double>>, `tables`: array<struct<x0: double, y0: double, x1: double, y1: double, `rows`: array<array<string>>>>>>"
 MODES = ("structure_aware", "naive")
+#: Files that leave a task at once, and bytes of them; a larger file leaves alone.
+FILES, FILE_BYTES = 256, 1 << 20
 _PDF = ("pdf_text", "pdf_scanned")
 
 
@@ -69,25 +71,36 @@ def _of_file(data: bytes | None, mode: str) -> tuple[str, float, list[str], list
 
 
 def _read(files: DataFrame, mode: str) -> DataFrame:
-    """EXTRACTED and the laid-out pages of PDF files, one row for each file."""
+    """EXTRACTED and the laid-out pages of PDF files, one row for each file; written once, as several jobs read it and a file is read by none of them again."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
+    from docloom.operators.store import new_folder
+
     schema = T.StructType.fromDDL(f"{EXTRACTED}, {LAYOUT}")
     arrow = to_arrow_schema(schema)
     spans = [f.name for f in schema["pages"].dataType.elementType["spans"].dataType.elementType]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, size = [], 0
         for batch in batches:
-            for path, data, digest in zip(*(batch.column(c).to_pylist() for c in ("source_path", "content", "content_hash"))):
+            for path, data, digest in zip(*(batch.column(c) for c in ("source_path", "content", "content_hash"))):
+                path, data, digest = path.as_py(), data.as_py(), digest.as_py()
                 kind, confidence, signals, blocks, failures, pages = _of_file(data, mode)
                 named = [{**b, "ord": b["order"]} for b in blocks]
                 laid = [{**p, "spans": [dict(zip(spans, s)) for s in p["spans"]]} for p in pages]
                 total = len(pages) if kind in _PDF and mode != "naive" and not failures else None
-                row = {"source_path": path, "content_hash": digest, "doc_type": kind, "confidence": confidence, "signals": signals, "blocks": named, "failures": failures, "pages_total": total, "pages_processed": total if total is not None else int(bool(blocks) or kind in ("html", "docx", "plain_text") and not any("error" in f or "failed" in f for f in failures)), "pages": laid}
-                yield pa.RecordBatch.from_pylist([row], arrow)
+                rows.append({"source_path": path, "content_hash": digest, "doc_type": kind, "confidence": confidence, "signals": signals, "blocks": named, "failures": failures, "pages_total": total, "pages_processed": total if total is not None else int(bool(blocks) or kind in ("html", "docx", "plain_text") and not any("error" in f or "failed" in f for f in failures)), "pages": laid})
+                size += len(data or b"")
+                if len(rows) == FILES or size >= FILE_BYTES:
+                    yield pa.RecordBatch.from_pylist(rows, arrow)
+                    rows, size = [], 0
+        if rows:
+            yield pa.RecordBatch.from_pylist(rows, arrow)
 
     hashed = files.select("source_path", "content", F.sha2("content", 256).alias("content_hash"))
-    return hashed.mapInArrow(run, schema)
+    path = new_folder(files.sparkSession, "extracted")
+    hashed.mapInArrow(run, schema).write.option("compression", "zstd").parquet(path)
+    return files.sparkSession.read.schema(schema).parquet(path)
 
 
 def extract(files: DataFrame, mode: str = "structure_aware", ocr: OcrEngine | Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
