@@ -39,3 +39,17 @@ def test_lines_are_stripped_of_all_white_space(spark):
     text = "\x1f a \n　b \nä c\n d!\x85\n\x1c\n~\nz "
     got = [r["text"] for r in chunking.text_blocks(spark.createDataFrame([(1, text)], "doc long, text string"), "doc", "text", "\n").orderBy("ord").collect()]
     assert got == ["a", "b", "ä c", "d!", "~", "z"]
+
+
+def test_english_search_analyses_texts_once(spark, monkeypatch):
+    from docloom.operators import retrieval
+
+    texts = ["cats chase mice", "a cat sleeps", "the mouse and the cat", "dogs bark at night", None, "mice at night, mice by day", ""]
+    asked = spark.createDataFrame([(1, "cats mouse"), (2, '"dog barks" or night -dog'), (3, "-cat"), (4, "the of"), (5, "unheard"), (6, None)], "query_id long, query string")
+    for few, kept in ((100_000, 1 << 18), (0, 1)):  # queries by broadcast; by shuffle, with tasks that remember a word
+        monkeypatch.setattr(retrieval, "BROADCAST_LEXEMES", few)
+        monkeypatch.setattr(retrieval, "WORDS_KEPT", kept, raising=False)
+        chunks, seen = counted(spark, spark.createDataFrame(list(enumerate(texts)), "chunk_id long, text string"), "text")
+        got = {(r["query_id"], r["chunk_id"]) for r in retrieval.english(asked, chunks).collect()}
+        assert got == {(1, 2), (2, 3), (2, 5), *[(3, i) for i in (3, 4, 5, 6)]}
+        assert seen.value == len(texts)
