@@ -53,3 +53,18 @@ def test_english_search_analyses_texts_once(spark, monkeypatch):
         got = {(r["query_id"], r["chunk_id"]) for r in retrieval.english(asked, chunks).collect()}
         assert got == {(1, 2), (2, 3), (2, 5), *[(3, i) for i in (3, 4, 5, 6)]}
         assert seen.value == len(texts)
+
+
+def test_postings_are_counted_by_text_and_dealt_by_their_number(spark, monkeypatch):
+    from docloom.operators import retrieval
+
+    texts = [(1, "Red fox, red hen"), (2, "red hen"), (3, None), (2, "fox fox"), (None, "red fox"), (4, "hen é red fox"), (5, "")]
+    chunks, seen = counted(spark, spark.createDataFrame(texts, "chunk_id long, text string").coalesce(1), "text")
+    counts = {(r["chunk_id"], r["lexeme"]): r["tf"] for r in retrieval.counted_terms(chunks.where("chunk_id IN (1, 3, 4)"), frozenset(["red", "fox"])).collect()}
+    assert counts == {(1, "red"): 2, (1, "fox"): 1, (4, "red"): 1, (4, "fox"): 1}
+    asked = spark.createDataFrame([(1, "red FOX"), (2, "hen"), (3, "owl red")], "query_id long, query string")
+    want = {(1, 1, 1, 0.3), (1, 2, 2, 0.3), (1, 4, 3, 0.2), (2, 1, 1, 0.1), (2, 2, 2, 0.1), (2, 4, 3, 0.1)}
+    for few, most in ((100_000, 1 << 20), (0, 1)):
+        monkeypatch.setattr(retrieval, "BROADCAST_LEXEMES", few)
+        monkeypatch.setattr(retrieval, "PART_POSTINGS", most)
+        assert {(r["query_id"], r["chunk_id"], r["rank"], r["score"]) for r in retrieval.lexical(asked, chunks).collect()} == want
