@@ -68,3 +68,21 @@ def test_postings_are_counted_by_text_and_dealt_by_their_number(spark, monkeypat
         monkeypatch.setattr(retrieval, "BROADCAST_LEXEMES", few)
         monkeypatch.setattr(retrieval, "PART_POSTINGS", most)
         assert {(r["query_id"], r["chunk_id"], r["rank"], r["score"]) for r in retrieval.lexical(asked, chunks).collect()} == want
+
+
+def test_scores_of_two_blocks_are_held_in_parts():
+    import tracemalloc
+
+    import numpy as np
+
+    from docloom.operators import retrieval
+
+    rng = np.random.default_rng(3)
+    q, c = rng.standard_normal((600, 16)), rng.standard_normal((8192, 16))
+    tracemalloc.start()
+    got = [(a, b) for i, j, _ in retrieval._best(q, c, np.arange(len(c)), 3) for a, b in zip(i.tolist(), j.tolist())]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    near = q @ c.T / np.sqrt((q * q).sum(1))[:, None] / np.sqrt((c * c).sum(1))
+    assert sorted(got) == sorted((i, j) for i, row in enumerate(np.argsort(-near, axis=1)[:, :3].tolist()) for j in row)
+    assert peak < 20 << 20
