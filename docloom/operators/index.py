@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -85,24 +86,28 @@ def blocks(chunks: DataFrame) -> DataFrame:
 
     rows = chunks.where("chunk_id IS NOT NULL AND text IS NOT NULL").select(F.col("chunk_id").cast("long").alias("chunk_id"), F.lower(F.col("text").cast("string")).alias("text"))
     parts = rows.mapInArrow(run, "lexeme string, win long, n int, most long, steps binary, counts binary")
-    met = parts.groupBy("lexeme", "win").agg(F.sum("n").cast("int").alias("n"), F.max("most").alias("most"), F.collect_list(F.struct("steps", "counts")).alias("p"))
+    # dealt out once, as add() writes them; a lexeme's windows may lie in several files of its folder
+    dealt = parts.withColumn("bucket", bucket(F.col("lexeme"))).withColumn("file", F.pmod(F.xxhash64("lexeme", "win"), F.lit(FILES))).repartition("bucket", "file")
+    met = dealt.groupBy("bucket", "file", "lexeme", "win").agg(F.sum("n").cast("int").alias("n"), F.max("most").alias("most"), F.collect_list(F.struct("steps", "counts")).alias("p"))
+
+    kept = ("bucket", "lexeme", "win", "n", "most")
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            steps, counts = [], []
-            for p in batch.column("p").to_pylist():
-                if len(p) == 1:
-                    steps.append(p[0]["steps"])
-                    counts.append(p[0]["counts"])
-                    continue
+            sizes = pc.list_value_length(batch.column("p")).to_numpy()
+            # most lexemes stand in one part alone, whose block passes as it is
+            alone, flat = sizes == 1, batch.column("p").flatten()
+            single, first = batch.filter(pa.array(alone)), pa.array((np.cumsum(sizes) - sizes)[alone])
+            yield pa.RecordBatch.from_arrays([*[single.column(c) for c in kept], *[flat.field(c).take(first) for c in ("steps", "counts")]], ["bucket", *_PART])
+            several, steps, counts = batch.filter(pa.array(~alone)), [], []
+            for p in several.column("p").to_pylist():
                 at = np.concatenate([np.cumsum(np.frombuffer(x["steps"], np.uint16).astype(np.int64)) for x in p])
                 order = np.argsort(at)
                 steps.append(np.diff(at[order], prepend=0).astype(np.uint16).tobytes())
                 counts.append(np.concatenate([np.frombuffer(x["counts"], np.uint32) for x in p])[order].tobytes())
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("lexeme", "win", "n", "most")], pa.array(steps, pa.binary()), pa.array(counts, pa.binary())], _PART)
+            yield pa.RecordBatch.from_arrays([*[several.column(c) for c in kept], pa.array(steps, pa.binary()), pa.array(counts, pa.binary())], ["bucket", *_PART])
 
-    whole = met.mapInArrow(joined, "lexeme string, win long, n int, most long, steps binary, counts binary")
-    return whole.select(bucket(F.col("lexeme")).alias("bucket"), *_PART)
+    return met.mapInArrow(joined, "bucket int, lexeme string, win long, n int, most long, steps binary, counts binary")
 
 
 def _met(rows: list[dict], need: int, span: int) -> tuple[np.ndarray, np.ndarray]:
@@ -154,8 +159,7 @@ class InvertedIndex:
 
     def add(self, chunks: DataFrame) -> None:
         """Takes in chunks (chunk_id, text) with new ids. A run that breaks off leaves nothing behind, as its files are committed together."""
-        # a lexeme's windows may lie in several files of its folder, each sorted
-        made = blocks(chunks).repartition("bucket", F.pmod(F.xxhash64("lexeme", "win"), F.lit(FILES))).sortWithinPartitions("bucket", "lexeme", "win")
+        made = blocks(chunks).sortWithinPartitions("bucket", "lexeme", "win")
         made.write.mode("append").partitionBy("bucket").option("compression", "zstd").parquet(f"{self.path}/blocks")
 
     def remove(self, ids: DataFrame) -> None:

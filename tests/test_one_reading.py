@@ -86,3 +86,19 @@ def test_scores_of_two_blocks_are_held_in_parts():
     near = q @ c.T / np.sqrt((q * q).sum(1))[:, None] / np.sqrt((c * c).sum(1))
     assert sorted(got) == sorted((i, j) for i, row in enumerate(np.argsort(-near, axis=1)[:, :3].tolist()) for j in row)
     assert peak < 20 << 20
+
+
+def test_an_index_deals_its_blocks_out_once(spark, monkeypatch):
+    from docloom.operators import index
+
+    monkeypatch.setattr(index, "PART_BYTES", 8)
+    made = index.blocks(spark.createDataFrame([(i, f"red w{i} " * (i % 3 + 1)) for i in range(40)] + [(5000, "red"), (None, "red")], "chunk_id long, text string").repartition(3))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        where = made.select("bucket", F.pmod(F.xxhash64("lexeme", "win"), F.lit(index.FILES)).alias("file"), F.spark_partition_id().alias("p")).distinct().collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert len({(r["bucket"], r["file"]) for r in where}) == len(where) and len({r["p"] for r in where}) > 1
+    got = {(r["lexeme"], r["win"]): (r["n"], r["most"]) for r in made.collect()}
+    assert got[("red", 0)] == (40, 3) and got[("red", 1)] == (1, 1) and got[("w4", 0)] == (1, 2) and len(got) == 42
+    assert all(r["bucket"] == spark.createDataFrame([(r["lexeme"],)], "l string").select(index.bucket("l")).first()[0] for r in made.where("lexeme IN ('red', 'w1')").collect())
