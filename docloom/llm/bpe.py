@@ -6,8 +6,9 @@ the last token of that prefix's encoding: the one token that ends there and stay
 the last token before it. A word's ids are read backwards along these states, so prefixes that
 words share are encoded once. Decoding looks up each id's token string and joins them by one space.
 
-Texts whose characters, and their lower case, lie below U+0250 take a fast path; others are normalised and split by the
-tokenizers library's own components. Special tokens' strings in a text become their ids.
+Texts whose characters, and their lower case, lie below U+0250 take a fast path: their words are found, told apart and
+turned into ids as arrays, many texts at once. Others are normalised and split by the tokenizers library's own components.
+Special tokens' strings in a text become their ids.
 
 Defined results: null counts as empty; an empty text has no ids and decodes to an empty text.
 Any length is handled; repeated rows repeat; an empty table gives an empty result.
@@ -31,9 +32,11 @@ from docloom.llm._shared import map_texts
 
 #: Words of a worker's store after which it starts a new generation; the generation before is kept beside it.
 CACHE_WORDS = 300_000
-#: Characters of texts whose words are looked up together.
+#: Characters of texts whose words are looked up together; a longer text on the fast path is cut at white space.
 BATCH_CHARS = 1 << 20
 _FAST = 0x250
+#: Kinds of characters on the fast path (white space is 0), and what stands in for those that are not on it.
+LETTER, NUMBER, OTHER, HIGH = 1, 2, 3, 0xFFFF
 #: Last characters by which the longest token that can end there is looked up.
 TAIL = 4
 
@@ -79,6 +82,15 @@ class WordBpe:
         self.fast = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{classes['L']}]+|[{classes['N']}]|[^{space}{classes['L']}{classes['N']}]+")
         grown = "".join(c for c in map(chr, range(_FAST)) if max(c.lower()) >= chr(_FAST))  # lower case leaves the fast path's characters
         self.slow = re.compile(f"[^\x00-{chr(_FAST - 1)}]|[{grown}]")
+        self.lower = np.full(1 << 16, HIGH, np.uint16)
+        self.kind = np.full(_FAST, OTHER, np.uint8)
+        for c in map(chr, range(_FAST)):
+            if c not in grown:
+                self.lower[ord(c)] = ord(c.lower())
+            if c in "\t\n\v\f\r \x85\xa0":
+                self.kind[ord(c)] = 0
+            elif (initial := unicodedata.category(c)[0]) in "LN":
+                self.kind[ord(c)] = LETTER if initial == "L" else NUMBER
         self._fits: dict[tuple[int, int], bool] = {}
         self._whole: dict[int, bool] = {}
         #: Tokens inside and at the end of a word, by their characters; the longest of them by its last TAIL characters.
@@ -214,14 +226,7 @@ class WordBpe:
                 out += self.fast.findall(segment.lower())
         return out
 
-    def _recall(self, needed: set) -> None:
-        """Starts a new generation of the store when it is full; words of the old one come along when needed."""
-        if len(self.ids) > CACHE_WORDS:
-            self.old, self.ids = self.ids, {}
-        if self.old:
-            self.ids.update({w: self.old[w] for w in needed if w in self.old and w not in self.ids})
-
-    def _learn(self, new: set) -> None:
+    def _learn(self, new: list) -> None:
         mapped: dict = {}
         for key in new:
             if isinstance(key, str):
@@ -232,11 +237,35 @@ class WordBpe:
             else:
                 self.ids[key] = key[0].to_bytes(4, "little")
         if self.by_library:
-            encoded = {word: [t.id for t in self.library.model.tokenize(word)] for word in set(mapped.values())}
+            tokenize = self.library.model.tokenize
+            for key, word in mapped.items():
+                self.ids[key] = array("I", [t.id for t in tokenize(word)]).tobytes()
         else:
             encoded = self.encode_words(set(mapped.values()))
-        for key, word in mapped.items():
-            self.ids[key] = array("I", encoded[word]).tobytes()
+            for key, word in mapped.items():
+                self.ids[key] = array("I", encoded[word]).tobytes()
+
+    def _known(self, keys: list) -> list[bytes]:
+        """The ids of each of the keys, which are distinct, by the store, which learns what it lacks.
+
+        A full store starts a new generation; words of the old one come along when needed.
+        """
+        if len(self.ids) > CACHE_WORDS:
+            self.old, self.ids = self.ids, {}
+        found = list(map(self.ids.get, keys))
+        lacking = [i for i, x in enumerate(found) if x is None]
+        if lacking:
+            new = []
+            for key in (keys[i] for i in lacking):
+                x = self.old.get(key)
+                if x is None:
+                    new.append(key)
+                else:
+                    self.ids[key] = x
+            self._learn(new)
+            for i in lacking:
+                found[i] = self.ids[keys[i]]
+        return found
 
     def decode(self, ids: bytes) -> str:
         """The text of ids, all of them the tokenizer's, as encode_texts gives them."""
@@ -244,24 +273,84 @@ class WordBpe:
         numbers.frombytes(ids)
         return " ".join(map(self.tokens.__getitem__, numbers))
 
+    def _codes(self, text: str) -> np.ndarray | None:
+        """The text's characters in lower case; None off the fast path."""
+        if self.cut is not None and "<|" in text:
+            return None
+        codes = self.lower[np.frombuffer(text.encode("utf-16-le", "surrogatepass"), "<u2")]
+        return None if codes.max(initial=0) == HIGH else codes
+
+    def _starts(self, codes: np.ndarray, kind: np.ndarray) -> np.ndarray:
+        """Marks of the characters that start a word, as self.fast finds them; two of white space must end the codes."""
+        start = kind != 0
+        start[1:] &= (kind[1:] != kind[:-1]) | (kind[1:] == NUMBER)
+        quote = np.flatnonzero(start & (codes == ord("'")))
+        one, two = codes[quote + 1], codes[quote + 2]
+        pair = np.zeros(len(quote), bool)
+        for x, y in ("re", "ve", "ll"):
+            pair |= (one == ord(x)) & (two == ord(y))
+        short = pair | np.isin(one, [ord(x) for x in "stmd"])
+        quote, after = quote[short], (quote + 2 + pair)[short]
+        start[quote + 1] = False
+        start[after[kind[after] == LETTER]] = True
+        return start
+
+    def _encode_codes(self, texts: list[np.ndarray]) -> list[bytes]:
+        """Ids of texts on the fast path: each distinct word is looked up once, and its ids copied to its places."""
+        gap = np.full(1, ord(" "), np.uint16)
+        codes = np.concatenate([*(x for t in texts for x in (t, gap)), gap])
+        kind = self.kind[codes]
+        start, inside = self._starts(codes, kind), kind != 0
+        letters = codes[inside]
+        first = np.append(np.flatnonzero(start[inside]), len(letters))
+        if len(first) == 1:
+            return [b""] * len(texts)
+        words = pa.Array.from_buffers(pa.large_binary(), len(first) - 1, [None, pa.py_buffer(2 * first), pa.py_buffer(letters)]).dictionary_encode()
+        _, offsets, data = words.dictionary.buffers()
+        bounds = np.frombuffer(offsets, np.int64, len(words.dictionary) + 1, 8 * words.dictionary.offset)
+        shown = data[: bounds[-1]].to_pybytes().decode("utf-16-le")
+        bounds = (bounds // 2).tolist()
+        keys = [shown[a:b] for a, b in zip(bounds, bounds[1:])]
+        parts = self._known(keys)
+        flat, sizes = np.frombuffer(b"".join(parts), "<u4"), np.fromiter(map(len, parts), np.int64, len(parts)) // 4
+        word = words.indices.to_numpy()
+        size = sizes[word]
+        end = np.cumsum(size)
+        ids = flat[np.repeat((np.cumsum(sizes) - sizes)[word] - end + size, size) + np.arange(end[-1])].tobytes()
+        until = np.searchsorted(np.flatnonzero(start), np.cumsum([len(t) + 1 for t in texts]))
+        cuts = [0, *np.append(0, 4 * end)[until].tolist()]
+        return [ids[a:b] for a, b in zip(cuts, cuts[1:])]
+
+    def _slices(self, codes: np.ndarray) -> list[np.ndarray]:
+        """A long text in parts that start at white space, of BATCH_CHARS or little more where there is any."""
+        gaps = np.flatnonzero(self.kind[codes] == 0)
+        near = np.searchsorted(gaps, np.arange(BATCH_CHARS, len(codes), BATCH_CHARS))
+        return np.split(codes, np.unique(gaps[near[near < len(gaps)]]))
+
     def encode_texts(self, texts: list[str], show: bool = True) -> list[tuple[bytes, str]]:
         """Ids as little-endian unsigned 32-bit integers, and if show the text decoded from them."""
         out: list[tuple[bytes, str]] = []
         at = 0
         while at < len(texts):
-            keys, size = [], 0
-            while at < len(texts) and (not keys or size + len(texts[at]) <= BATCH_CHARS):
+            first, size, plain, other = at, 0, {}, {}
+            while at < len(texts) and (at == first or size + len(texts[at]) <= BATCH_CHARS):
                 size += len(texts[at])
-                keys.append(self._pieces(texts[at]))
+                codes = self._codes(texts[at])
+                if codes is None:
+                    other[at] = self._pieces(texts[at])
+                else:
+                    plain[at] = codes
                 at += 1
-            new = set().union(*keys)
-            self._recall(new)
-            missing = new - self.ids.keys()
-            if missing:
-                self._learn(missing)
-            for words in keys:
-                ids = b"".join(map(self.ids.__getitem__, words))
-                out.append((ids, self.decode(ids) if show else ""))
+            done: dict[int, bytes] = {}
+            if size > BATCH_CHARS and plain:  # one long text
+                done[first] = b"".join([self._encode_codes([x])[0] for x in self._slices(plain[first])])
+            elif plain:
+                done = dict(zip(plain, self._encode_codes(list(plain.values()))))
+            if other:
+                keys = list(set().union(*other.values()))
+                known = dict(zip(keys, self._known(keys)))
+                done |= {i: b"".join(map(known.__getitem__, words)) for i, words in other.items()}
+            out += [(done[i], self.decode(done[i]) if show else "") for i in range(first, at)]
         return out
 
 

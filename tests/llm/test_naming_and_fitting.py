@@ -5,7 +5,7 @@ import random
 
 import numpy as np
 import pytest
-from docloom.llm import blocks, quality, toxicity
+from docloom.llm import blocks, bpe, quality, toxicity
 from docloom.llm._shared import map_texts
 from pyspark.sql import functions as F
 
@@ -90,3 +90,33 @@ def test_labels_that_miss_or_repeat(spark, module, label):
         if len(rows) != 6:
             assert got == [0.5] * 5
         assert map_texts(docs.where("false"), "text", ["doc_id"], module.score_texts(*model), "score double").count() == 0
+
+
+def test_words_of_many_texts_are_looked_up_once():
+    class Counted(dict):
+        asked = 0
+
+        def __getitem__(self, key):
+            Counted.asked += 1
+            return super().__getitem__(key)
+
+        def get(self, key, default=None):
+            Counted.asked += 1
+            return super().get(key, default)
+
+    coder = bpe.WordBpe(bpe.default_path(), True)
+    coder.ids = Counted()
+    text = "The quick brown fox doesn't jump; it's 12 lazy dogs'"
+    want = coder.library.encode(text, add_special_tokens=False).ids
+    assert all(np.frombuffer(ids, "<u4").tolist() == want for ids, _ in coder.encode_texts([text] * 200, show=False))
+    assert Counted.asked <= 40  # some 15 words, looked up and learnt; 200 times as many before
+
+
+def test_contractions_and_cut_texts_are_the_librarys(monkeypatch):
+    coder = bpe.WordBpe(bpe.default_path(), True)
+    texts = ["'", "'l", "x'l", "''s", "'s's'", "5's'1", "'twas 'rear we'LL 'LLama I'D", "\x00'\x00're", "é's\x85ÀB'd 's", "a's <|endoftext|>'s", "Σ's", "", " \n "]
+    texts += ["word's  and\n" * 40, "x" * 300, "y" * 200 + "\t" + "12's " * 50]
+    for size in (bpe.BATCH_CHARS, 64):
+        monkeypatch.setattr(bpe, "BATCH_CHARS", size)
+        for text, (ids, _) in zip(texts, coder.encode_texts(texts, show=False)):
+            assert np.frombuffer(ids, "<u4").tolist() == coder.library.encode(text, add_special_tokens=False).ids, text
