@@ -1,10 +1,12 @@
 """Blocks of PDF pages from tables of their text spans, ruled tables and page sizes.
 
 spans: doc, page, block, line, span, text, size, x0, y0, x1, y1; tables: doc, page, x0, y0, x1, y1,
-rows; pages: doc, page, width. Everything is joins and windows by document and page.
+rows; pages: doc, page, width. Everything is joins and windows by document and page: texts are dealt
+out once by page, where medians, tables and widths meet them, and once by document for what is ordered.
 
 Defined results: spans without text count for nothing. Ties in place keep the order of blocks, text
-before tables. Empty inputs give empty results.
+before tables. Empty inputs give empty results. doc and page are never null; of several widths of a
+page the greatest counts.
 """
 
 from __future__ import annotations
@@ -19,19 +21,28 @@ from docloom.functions.text import is_caption, strip
 NO_SIZE, HEADING_RATIO, HEADING_WORDS, TABLE_SHARE, GUTTER, OCR_CHARS = 10.0, 1.15, 15, 0.5, (0.35, 0.65), 20
 
 
-def median_sizes(spans: DataFrame) -> DataFrame:
-    """doc and the median size of its spans with text; NO_SIZE without any."""
-    full = F.when(strip(F.col("text")) != "", F.col("size"))
-    return spans.groupBy("doc").agg(F.coalesce(F.median(full), F.lit(NO_SIZE)).alias("median_size"))
+def _full() -> Column:
+    """The size of a span with text."""
+    return F.when(F.col("text").rlike(r"(?U)[^\s\x1c-\x1f]"), F.col("size"))
+
+
+def median_sizes(spans: DataFrame, *more: Column) -> DataFrame:
+    """doc and the median size of its spans with text; NO_SIZE without any. more: further aggregates."""
+    return spans.groupBy("doc").agg(F.coalesce(F.median(_full()), F.lit(NO_SIZE)).alias("median_size"), *more)
+
+
+def page_medians(spans: DataFrame) -> DataFrame:
+    """median_sizes for each page of the document, so that blocks meet them where their page is."""
+    return median_sizes(spans, F.collect_set("page").alias("pages")).select("doc", F.explode("pages").alias("page"), "median_size")
 
 
 def text_blocks(spans: DataFrame) -> DataFrame:
     """A row for each block with text: its text with white space collapsed, its largest size and its box."""
     pieces = F.transform(F.sort_array(F.collect_list(F.struct("line", "span", "text"))), lambda s: s["text"])
-    text = strip(F.regexp_replace(F.array_join(pieces, " "), r"(?U)[\s\x1c-\x1f]+", " "))
-    size = F.max(F.when(strip(F.col("text")) != "", F.col("size")))
+    text = F.trim(F.regexp_replace(F.array_join(pieces, " "), r"(?U)[\s\x1c-\x1f]+", " "))
+    size = F.max(_full())
     box = [F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1")]
-    return spans.groupBy("doc", "page", "block").agg(text.alias("text"), F.coalesce(size, F.lit(0.0)).alias("size"), *box).where("text <> ''")
+    return spans.repartition("doc", "page").groupBy("doc", "page", "block").agg(text.alias("text"), F.coalesce(size, F.lit(0.0)).alias("size"), *box).where("text <> ''")
 
 
 def outside_tables(blocks: DataFrame, tables: DataFrame) -> DataFrame:
@@ -44,26 +55,42 @@ def outside_tables(blocks: DataFrame, tables: DataFrame) -> DataFrame:
 
 
 def with_headings(blocks: DataFrame, medians: DataFrame) -> DataFrame:
-    """blocks with is_heading: large, short and without a sentence's end."""
+    """blocks with is_heading: large, short and without a sentence's end. medians: of median_sizes or page_medians."""
     words = F.size(F.split("text", " "))
     heading = (F.col("size") >= F.col("median_size") * HEADING_RATIO) & (words <= HEADING_WORDS) & ~F.col("text").rlike("[.,;]$")
-    return blocks.join(medians, "doc").withColumn("is_heading", heading).drop("median_size")
+    return blocks.join(medians, [c for c in ("doc", "page") if c in medians.columns]).withColumn("is_heading", heading).drop("median_size")
+
+
+def _middle(each=lambda c: c) -> Column:
+    """The middle between two columns, of a page's boxes and width; each: where they are aggregated."""
+    low, high = (F.col("width") * x for x in GUTTER)
+    clear = ~each(F.bool_or((F.col("x0") < high) & (F.col("x1") > low)))
+    both = each(F.bool_or(F.col("x1") <= low)) & each(F.bool_or(F.col("x0") >= high))
+    return F.when(clear & both & (F.col("width") > 0), (low + high) / 2)
 
 
 def gutters(items: DataFrame, pages: DataFrame) -> DataFrame:
     """doc, page and the middle between two columns; null where an item reaches into the band or a side is empty."""
-    low, high = (F.col("width") * x for x in GUTTER)
-    clear = ~F.bool_or((F.col("x0") < high) & (F.col("x1") > low))
-    both = F.bool_or(F.col("x1") <= low) & F.bool_or(F.col("x0") >= high)
-    found = items.join(pages, ["doc", "page"]).groupBy("doc", "page", "width").agg((clear & both).alias("two"))
-    return found.select("doc", "page", F.when(F.col("two") & (F.col("width") > 0), (low + high) / 2).alias("gutter"))
+    return items.join(pages, ["doc", "page"]).groupBy("doc", "page", "width").agg(_middle().alias("gutter")).drop("width")
 
 
 def reading_order(items: DataFrame, pages: DataFrame) -> DataFrame:
     """items with place: by column where the page has a gutter, then from top to bottom and left to right."""
+    return in_order(with_widths(items, pages))
+
+
+def with_widths(items: DataFrame, pages: DataFrame) -> DataFrame:
+    """items with the width of their page, which is null where pages lack it."""
+    return items.join(pages.groupBy("doc", "page").agg(F.max("width").alias("width")), ["doc", "page"], "left")
+
+
+def in_order(items: DataFrame) -> DataFrame:
+    """reading_order of items with the width of their page."""
+    page = Window.partitionBy("doc", "page")
+    placed = items.withColumn("gutter", _middle(lambda c: c.over(page)))
     column = F.when(F.col("gutter").isNull() | ((F.col("x0") + F.col("x1")) / 2 < F.col("gutter")), 0).otherwise(1)
     order = Window.partitionBy("doc", "page").orderBy("side", "y0", "x0", "kind", "seq")
-    return items.join(gutters(items, pages), ["doc", "page"], "left").withColumn("side", column).withColumn("place", F.row_number().over(order).cast("long")).drop("side", "gutter")
+    return placed.withColumn("side", column).withColumn("place", F.row_number().over(order).cast("long")).drop("side", "gutter", "width")
 
 
 def table_rows(rows: Column) -> Column:
@@ -78,12 +105,14 @@ def pages_to_recognise(items: DataFrame, pages: DataFrame) -> DataFrame:
     return pages.join(chars, ["doc", "page"], "left").where(F.coalesce("chars", F.lit(0)) < OCR_CHARS).select("doc", "page")
 
 
-def page_items(spans: DataFrame, tables: DataFrame) -> DataFrame:
-    """Texts outside of tables, and tables: doc, page, kind, seq, text, is_heading, table_rows and box."""
-    texts = with_headings(outside_tables(text_blocks(spans), tables), median_sizes(spans))
+def page_items(spans: DataFrame, tables: DataFrame, pages: DataFrame | None = None) -> DataFrame:
+    """Texts outside of tables, and tables: doc, page, kind, seq, text, is_heading, table_rows and box, and with pages their width."""
+    texts = with_headings(outside_tables(text_blocks(spans), tables), page_medians(spans))
     box = ["x0", "y0", "x1", "y1"]
     texts = texts.select("doc", "page", F.lit("text").alias("kind"), F.col("block").cast("long").alias("seq"), "text", "is_heading", F.lit(None).cast("array<array<string>>").alias("table_rows"), *box)
     ruled = tables.select("doc", "page", F.lit("table").alias("kind"), F.lit(0).cast("long").alias("seq"), F.lit(None).cast("string").alias("text"), F.lit(False).alias("is_heading"), table_rows(F.col("rows")).alias("table_rows"), *box)
+    if pages is not None:
+        texts, ruled = with_widths(texts, pages), with_widths(ruled, pages)
     return texts.unionByName(ruled)
 
 
@@ -93,7 +122,7 @@ def pdf_blocks(spans: DataFrame, tables: DataFrame, pages: DataFrame, recognised
     recognised: doc, page and text of pages read by OCR; such a text comes before its page's own items.
     A table takes a caption-like paragraph right before it along, which leaves a gap in the order.
     """
-    items = reading_order(page_items(spans, tables), pages).withColumn("from_ocr", F.lit(False))
+    items = in_order(page_items(spans, tables, pages).repartition("doc")).withColumn("from_ocr", F.lit(False))
     if recognised is not None:
         none = {c: F.lit(None).cast(items.schema[c].dataType) for c in ("table_rows", "x0", "y0", "x1", "y1")}
         ocr = recognised.where("text <> ''").select("doc", "page", F.lit("text").alias("kind"), F.lit(0).cast("long").alias("seq"), "text", F.lit(False).alias("is_heading"), F.lit(0).cast("long").alias("place"), F.lit(True).alias("from_ocr"), *[v.alias(c) for c, v in none.items()])

@@ -1,6 +1,8 @@
 """Frames and several ruled tables on a page, and engines that read pages without text."""
 
-from docloom.operators import extraction
+import re
+
+from docloom.operators import extraction, layout
 from docloom.sources.pdf import ruled_tables, write_pdf
 from pyspark.sql import functions as F
 
@@ -50,3 +52,20 @@ def test_an_ocr_engine_gets_the_file_and_its_texts_count(spark):
     assert (quality["pages_needing_ocr"], quality["pages_ocr_recovered"], quality["extraction_failures"]) == (2, 1, ["page_3_ocr_failed: no_text_returned"])
     assert [(b["text"], b["page"], b["from_ocr"]) for b in got["a.pdf"]["blocks"]] == [("a page with enough of text on it", 1, False), ("read from %PDF-", 2, True)]
     assert got["b.pdf"]["quality"]["pages_needing_ocr"] == 0 and got["c.txt"]["blocks"][0]["text"] == "text"
+
+
+def test_texts_of_pages_are_dealt_out_twice(spark):
+    spans = spark.createDataFrame([(1, 1, i, 0, 0, t, 10.0 + i, 40.0, 50.0 * i, 560.0, 50.0 * i + 10) for i, t in enumerate(["Big title", " \x1d ", " x  y\x1e"])], "doc long, page int, block int, line int, span int, text string, size double, x0 double, y0 double, x1 double, y1 double")
+    tables = spark.createDataFrame([], "doc long, page int, x0 double, y0 double, x1 double, y1 double, rows array<array<string>>")
+    pages = spark.createDataFrame([(1, 1, 600.0)], "doc long, page int, width double")
+    assert [(r["ord"], r["text"]) for r in layout.pdf_blocks(spans, tables, pages).orderBy("ord").collect()] == [(0, "Big title"), (1, "x y")]
+    assert layout.page_medians(spans).collect() == [(1, 1, 11.0)]
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = spark._jvm.PythonSQLUtils.explainString(layout.pdf_blocks(spans, tables, pages)._jdf.queryExecution(), "formatted")
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    dealt = re.findall(r"\) Exchange\nInput \[\d+\]: \[(.*)\]", plan)
+    # of spans by page and of items by document; buf: what is gathered of a block's texts
+    assert len(dealt) > 4 and len([x for x in dealt if "text#" in x or "block#" in x and "buf#" in x]) == 2, plan
